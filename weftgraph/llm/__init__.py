@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL
 MODULES = {
+    "op1_mixing": "mixing",
+    "op2_url_filter": "url_filter",
     "op4_ngram_join": "ngram_join",
+    "op6_sharding": "sharding",
 }
 
 

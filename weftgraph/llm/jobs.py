@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contract: runs of anything but ASCII white space.
@@ -79,3 +79,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if label is None:
         return least.select("node", F.col("to").alias("root"))
     return label
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with a gapless number from 0 in ascending order of a column of distinct values, null last.
+
+    Rows are dealt into ranges; a range is numbered by itself and shifted by the counts of the ranges before it.
+    """
+    spark = df.sparkSession
+    by = F.col(order).asc_nulls_last()
+    ranged = stored(df.repartitionByRange(partitions(spark), by).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
+    return ranged.withColumn("__own", own).join(shift, "__range").withColumn(name, F.col("__own") + F.col("__shift")).drop("__range", "__own", "__shift")
