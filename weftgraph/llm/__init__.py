@@ -13,6 +13,7 @@ MODULES = {
     "op2_url_filter": "url_filter",
     "op4_ngram_join": "ngram_join",
     "op6_sharding": "sharding",
+    "op9_secret_scan": "secret_scan",
 }
 
 

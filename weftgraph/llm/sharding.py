@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm import jobs
 from weftgraph.llm.mixing import words
 
-#: Hash buckets a shard; a group is an item of its own beyond this part of a shard, and is split beyond the next.
-BUCKETS, LARGE, CROWDED, PIECE = 256, 1 / 32, 1 / 2, 1 / 16
+#: Hash buckets a shard; a group beyond LARGE of a shard is placed by itself, in pieces of about PIECE that go to one
+#: shard together unless the group is beyond CROWDED.
+BUCKETS, LARGE, CROWDED, PIECE = 256, 1 / 32, 9 / 10, 1 / 64
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
@@ -46,7 +47,7 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
 
     docs has doc_id and text.  size is the UTF-8 bytes of the text plus `overhead`; a null text has no bytes and the
     checksum of the empty text, with which it shares a group.  law is `bytes`: the shards' sizes come out near equal.
-    Rows of equal text share a shard unless they hold more than half of one.  slot numbers a shard's rows from 0
+    Rows of equal text share a shard unless they would fill nine tenths of one.  slot numbers a shard's rows from 0
     without gaps.  grown_shard is null.  Null doc_ids and repeated rows are rows like others; an empty table stays so.
     """
     spark = docs.sparkSession
@@ -61,9 +62,10 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     part = F.greatest(*[F.col(c) * F.lit(shards / max(1, total[c])) for c in ("bytes", "tokens", "rows")])
     # at most shards / LARGE groups in each dimension are large
     large = groups.withColumn("part", part).where(F.col("part") > LARGE)
-    large = large.select("__group", F.when(F.col("part") > CROWDED, F.ceil(F.col("part") / PIECE)).otherwise(1).cast("int").alias("pieces"))
-    known = {r["__group"]: r["pieces"] for r in large.collect()}
-    large = spark.createDataFrame(sorted(known.items()), "__group long, pieces int")
+    large = large.select("__group", F.ceil(F.col("part") / PIECE).cast("int").alias("pieces"), (F.col("part") <= CROWDED).alias("together"))
+    known = sorted(large.collect())
+    whole = {str(r["__group"]) for r in known if r["together"]}
+    large = spark.createDataFrame([r[:2] for r in known], "__group long, pieces int")
 
     def itemised(df: DataFrame) -> DataFrame:
         held = df.join(F.broadcast(large), "__group", "left")
@@ -74,9 +76,13 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     sums = small.agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
     pieces = itemised(parts.join(F.broadcast(large.select("__group")), "__group", "left_semi")).groupBy("__item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     items = sorted((tuple(r) for r in sums.unionByName(pieces).collect()), key=lambda r: r[0])
-    place = pack(np.array([r[1:] for r in items], dtype=float).reshape(len(items), 3), shards)
+    units: dict[str, list[int]] = {}
+    for k, item in enumerate(items):
+        group = item[0].partition(":")[0] if ":" in item[0] else ""
+        units.setdefault(group if group in whole else item[0], []).append(k)
+    place = pack(np.array([np.sum([items[k][1:] for k in unit], axis=0) for unit in units.values()], dtype=float).reshape(len(units), 3), shards)
     first, used = [], np.zeros(shards, dtype=np.int64)
-    for item, at in zip(items, place, strict=True):
+    for item, at in ((items[k], at) for unit, at in zip(units.values(), place, strict=True) for k in unit):
         first.append((item[0], int(at), int(used[at])))
         used[at] += item[3]
     homes = spark.createDataFrame(first, "__item string, shard int, __first long")
