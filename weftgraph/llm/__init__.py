@@ -12,7 +12,9 @@ MODULES = {
     "op1_mixing": "mixing",
     "op2_url_filter": "url_filter",
     "op4_ngram_join": "ngram_join",
+    "op5_html_text": "html_text",
     "op6_sharding": "sharding",
+    "op7_decontamination": "decontamination",
     "op9_secret_scan": "secret_scan",
 }
 
