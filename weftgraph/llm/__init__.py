@@ -16,6 +16,7 @@ MODULES = {
     "op6_sharding": "sharding",
     "op7_decontamination": "decontamination",
     "op9_secret_scan": "secret_scan",
+    "op10_fingerprints": "fingerprints",
 }
 
 
