@@ -15,6 +15,7 @@ MODULES = {
     "op5_html_text": "html_text",
     "op6_sharding": "sharding",
     "op7_decontamination": "decontamination",
+    "op8_language_id": "language_id",
     "op9_secret_scan": "secret_scan",
     "op10_fingerprints": "fingerprints",
 }
