@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_mixing": "mixing",
     "op2_url_filter": "url_filter",
+    "op3_line_dedup": "line_dedup",
     "op4_ngram_join": "ngram_join",
     "op5_html_text": "html_text",
     "op6_sharding": "sharding",
