@@ -65,18 +65,21 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     stripped = articles = links = 0
     marked = False
     parts: list[str] = []
-    linked = 0
+    linked, gap = 0, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, gap
         text = " ".join("".join(parts).split())
-        out.append((text, max(0, len(text) - linked), articles > 0))
+        if text or gap:
+            out.append((text, max(0, len(text) - linked), articles > 0))
         parts.clear()
-        linked = 0
+        linked, gap = 0, False
 
     def put(text: str) -> None:
-        nonlocal linked
-        if not stripped:
+        nonlocal linked, gap
+        if stripped:
+            gap = gap or not text.isspace()
+        else:
             text = html.unescape(text)
             parts.append(text)
             if links:
