@@ -397,7 +397,7 @@ def test_fingerprints(spark, empty):
         if len(mine) > 600 and len(set(mine)) > 2:
             assert row["near_edited"] > 0.4 and row["near_edited"] > row["near_next"]
     assert found[ids[5]]["fingerprint"] == found[ids[20]]["fingerprint"]
-    one = fingerprints.compared(table.limit(1), np.arange(1000)).collect()
+    one = fingerprints.compared(table.where(f"doc_id = {ids[0]}"), np.arange(1000)).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprints.compared(empty.select("doc_id", "text"), np.arange(1000)).count() == 0
     assert base64.b64decode(prints[ids[0]].split(":")[0])
