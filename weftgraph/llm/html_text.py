@@ -186,6 +186,7 @@ def extract(pages: DataFrame, window: int = WINDOW, threshold: int = THRESHOLD)
 
     A null or empty html, or one without main text, has the empty text.  Pages are handled one by one and whole.
     """
+    jobs.small_batches(pages.sparkSession)
     kept = pages.drop("text", "n_chars")
     names = [c for c in kept.columns if c != "html"]
 

@@ -5,7 +5,8 @@ byte 2- and 3-grams with the word's ends, and of the learned lexicon's entry for
 languages of neighbouring words, so that a text that switches languages is labelled in stretches.  Forward-backward
 gives each word's probability of each language; a document gets the language with the largest sum.
 
-The model is fitted on the driver on SAMPLE documents at most, spread evenly over the languages.  Training sequences
+The model is fitted on the driver on SAMPLE documents of SAMPLE_CHARS characters together at most, spread evenly over
+the languages.  Training sequences
 are stretches of 6 to 40 words of different documents put in a row, so that switches occur in them.
 """
 
@@ -23,8 +24,9 @@ from pyspark.sql import types as T
 from weftgraph.llm import jobs, textkit
 from weftgraph.llm.textkit import U
 
-#: Labelled documents to fit on, hashed weights, entries of the lexicon, words of a training sequence, passes.
-SAMPLE, BUCKETS, LEXICON, LENGTH, PASSES = 1600, 1 << 16, 20_000, 48, 3
+#: Labelled documents, and their characters together, to fit on at most; hashed weights, entries of the lexicon, words
+#: of a training sequence, passes.
+SAMPLE, SAMPLE_CHARS, BUCKETS, LEXICON, LENGTH, PASSES = 1200, 3_000_000, 1 << 16, 20_000, 48, 3
 #: Steps of a block in forward-backward, and bytes handled at once.
 BLOCK, CHUNK = 64, 1 << 18
 UNKNOWN = "und"
@@ -260,15 +262,22 @@ def held_out() -> Column:
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of docs (doc_id, text, lang), held-out rows left aside: `sample` documents at most, by hash of doc_id."""
+    """The model of docs (doc_id, text, lang), held-out rows left aside: `sample` documents at most, by hash of doc_id.
+
+    Where they would have more than SAMPLE_CHARS characters, documents longer than the rest go until they fit.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     languages = max(1, known.agg(F.countDistinct("lang")).first()[0])
     order = Window.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(1, sample // languages))
-    picked = picked.select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang"))
-    rows = known.join(F.broadcast(picked), (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi").select("doc_id", "text", "lang").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return fit([(r["text"], r["lang"]) for r in rows[:sample]])
+    picked = known.select("doc_id", "lang", F.char_length("text").alias("chars")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(1, sample // languages))
+    # at most `sample` rows of ids and lengths
+    rows = sorted(picked.select("chars", "lang", "doc_id").collect(), key=lambda r: (r["chars"], r["lang"], str(r["doc_id"])))
+    fits = np.cumsum([r["chars"] for r in rows]) <= SAMPLE_CHARS
+    ids = docs.sparkSession.createDataFrame([r for r, fit_ in zip(rows, fits, strict=True) if fit_], known.select(F.char_length("text").alias("chars"), "lang", "doc_id").schema)
+    ids = ids.select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang")).distinct()
+    rows = known.join(F.broadcast(ids), (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi").select("doc_id", "text", "lang").limit(sample).collect()
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
+    return fit([(r["text"], r["lang"]) for r in rows])
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
@@ -276,6 +285,7 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
 
     The text alone decides.  A null text, or one without a letter, is `und` with score 0.  Texts are read whole.
     """
+    jobs.small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = kept.columns
