@@ -1,0 +1,14 @@
+"""Queries of the library's operators over the test tables."""
+
+from __future__ import annotations
+
+from weftgraph.plans import changing, counting, graphs, inference, joining, ranking, streams, texts, validation, whatif  # noqa: F401
+from weftgraph.plans.registry import ORACLES, QUERIES, Query
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
