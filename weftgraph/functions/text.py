@@ -97,7 +97,8 @@ def code_of(iri: Column, prefix: str = "") -> Column:
 
 def headings(text: Column, name: str) -> Column:
     """The body under a `## name` heading up to the next heading of that level; empty if there is none."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^##\s+{re.escape(name)}\s*$\n(.*?)(?=^##\s|\z)", 1))
+    body = F.regexp_extract(text, rf"(?ms)^##\s+{re.escape(name)}\s*$\n(.*?)(?=^##\s|\z)", 1)
+    return F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
 def sections(text: Column) -> Column:

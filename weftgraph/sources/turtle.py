@@ -1,4 +1,4 @@
-"""Turtle and TriG files as triples.  Files are parsed one by one in tasks; a file that does not parse gives an issue row."""
+"""Turtle, TriG and N-Quads files as triples.  Files are parsed one by one in tasks; a file that does not parse gives an issue row."""
 
 from __future__ import annotations
 
@@ -142,7 +142,7 @@ class _Reader:
                 self.take()
             while self.peek() == ("mark", ";"):
                 self.take()
-            if self.peek()[1] in (".", "]", "}", ""):
+            if self.peek()[1] in (".", "]", "}", "") or self.peek()[0] in ("iri", "blank"):
                 return
 
     def read(self) -> list[tuple]:
@@ -168,8 +168,12 @@ class _Reader:
                 if self.peek()[1] == "{":
                     self.block(subject[0])
                     continue
+                first = len(self.rows)
                 if self.peek()[1] != ".":
                     self.properties(subject)
+                if self.peek()[0] in ("iri", "blank"):  # the graph of an N-Quads line
+                    graph = self.node()[0]
+                    self.rows[first:] = [(graph, *row[1:]) for row in self.rows[first:]]
                 self.take(".")
         return self.rows
 
