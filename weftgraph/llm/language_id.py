@@ -267,11 +267,24 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
     Where they would have more than SAMPLE_CHARS characters, documents longer than the rest go until they fit.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    languages = max(1, known.agg(F.countDistinct("lang")).first()[0])
-    order = Window.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    picked = known.select("doc_id", "lang", F.char_length("text").alias("chars")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(1, sample // languages))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    need = max(1, sample // max(1, len(counts)))
+    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sized = known.select("doc_id", "lang", F.char_length("text").alias("chars"), hashed.alias("hash"))
+
+    def least(rows: DataFrame) -> list:
+        order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+        return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= need).select("chars", "lang", "doc_id").collect()
+
+    # hashes above a share that leaves several times the needed rows are not among the least; so a language's task gets few rows
+    shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (8 * need + 1000) / n)))]
+    rows = []
+    if counts:
+        rows = least(sized.where(F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") < F.create_map(*shares)[F.col("lang")] * 2.0**32))
+        if any(sum(r["lang"] == lang for r in rows) < min(need, n) for lang, n in counts.items()):
+            rows = least(sized)  # many rows of one doc_id
     # at most `sample` rows of ids and lengths
-    rows = sorted(picked.select("chars", "lang", "doc_id").collect(), key=lambda r: (r["chars"], r["lang"], str(r["doc_id"])))
+    rows.sort(key=lambda r: (r["chars"], r["lang"], str(r["doc_id"])))
     fits = np.cumsum([r["chars"] for r in rows]) <= SAMPLE_CHARS
     ids = docs.sparkSession.createDataFrame([r for r, fit_ in zip(rows, fits, strict=True) if fit_], known.select(F.char_length("text").alias("chars"), "lang", "doc_id").schema)
     ids = ids.select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang")).distinct()
