@@ -224,6 +224,15 @@ def test_html_text(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def test_html_text_sums_decide_on_marked_pages():
+    card = "<article><h3><a href=x>Another story</a></h3></article>"
+    gap = "<aside>x</aside>" * 3
+    assert html_text.main_text(f"<main></main><div id=content>{BODY}</div>") == TEXT
+    assert html_text.main_text(card * 3 + gap + f"<div id=content>{BODY}</div>" + gap + card) == TEXT
+    assert html_text.main_text(f"<article>{BODY}</article>" + gap + "<article><p>Read on.</p></article>") == TEXT
+    assert html_text.main_text(f"<article><h1><a href=x>Linked head</a></h1>{BODY}</article><div>{BODY}</div>") == f"Linked head {TEXT} {TEXT}"
+
+
 # 6
 
 

@@ -2,9 +2,10 @@
 
 Markup is stripped into lines, one for each block element, in page order.  Lines inside elements that hold no main text
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles), known by tag, role, class or
-id, become empty lines, as do lines outside the article where the page marks one.  The text lengths of WINDOW lines
-in a row are summed; a surge from below THRESHOLD opens a stretch of main text and a dive to zero closes it.  All lines
-between a surge and its dive are kept, however short.
+id, become empty lines.  The text lengths outside links of WINDOW lines in a row are summed; a surge from below
+THRESHOLD opens a stretch of main text and a dive to zero closes it.  All lines between a surge and its dive are kept,
+however short.  The same sums decide on all pages: in an article or main element a line only weighs BONUS times its
+length and one more, so its links and short lines do not close a stretch; no line is dropped for being outside one.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from weftgraph.llm import jobs
 
-#: Lines of a window, and its text length that makes a surge on a page that marks no article.
-WINDOW, THRESHOLD = 3, 86
+#: Lines of a window, its text length that makes a surge, and the weight of lengths inside a marked article.
+WINDOW, THRESHOLD, BONUS = 3, 86, 2
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -58,12 +59,11 @@ def _strips(tag: str, attributes: str) -> bool:
     return found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(HIDDEN.search(attributes))
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, length outside links, whether inside a marked article) of each line of the page, stripped lines empty; whether an article is marked."""
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, length outside links, whether inside a marked article) of each line of the page, stripped lines empty."""
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, stripped, article
     stripped = articles = links = 0
-    marked = False
     parts: list[str] = []
     linked, gap = 0, False
 
@@ -136,13 +136,12 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         strip = _strips(tag, attributes)
         article = not strip and not stripped and (tag in ("article", "main") or 'role="main"' in attributes or "articleBody" in attributes)
-        marked |= article
         stack.append((tag, strip, article))
         stripped += strip
         articles += article
         links += tag == "a"
     flush()
-    return out, marked
+    return out
 
 
 def stretches(lengths: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
@@ -171,14 +170,10 @@ def main_text(page: str, window: int = WINDOW, threshold: int = THRESHOLD) -> st
     """The main text of one page, blocks joined by a space; empty if there is none."""
     if not page:
         return ""
-    block, marked = lines(page)
-    if marked:
-        lengths = [len(text) if inside else 0 for text, _, inside in block]
-        kept = stretches(lengths, window, 1)
-    else:
-        lengths = [free for _, free, _ in block]
-        kept = stretches(lengths, window, threshold) or stretches(lengths, window, max(1, max(lengths, default=0)))
-    return " ".join(text for first, end in kept for text, _, inside in block[first:end] if text and (inside or not marked))
+    block = lines(page)
+    lengths = [BONUS * free + 1 if inside and text else free for text, free, inside in block]
+    kept = stretches(lengths, window, threshold) or stretches(lengths, window, max(1, max(lengths, default=0)))
+    return " ".join(text for first, end in kept for text, _, _ in block[first:end] if text)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:
