@@ -303,6 +303,39 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.index(table).count() > 0
 
 
+def test_decontamination_query_finds_near_phrases(spark, tmp_path):
+    import duckdb
+
+    w = [f"p{k}" for k in range(20)]
+    texts = [
+        " ".join(w), " ".join(w).replace("p5 ", "p5 extra ").replace("p12 ", "p12 extra "), "filler " * 30 + "last", " ".join(["p1", "p0", *w[2:13]]), " ".join(w).replace("p3 ", "p3 a b ").replace("p9 ", "p9 c d "),
+        " ".join(w).replace("p2 ", "p2 a b c d e ").replace("p9 ", "p9 f g h i j "), " ".join(w[:12]), "three only words", "three x x x only words", None, "", " ".join(w[::-1]), " ".join(f"p{k} p{k}" for k in range(13)), "p6 " * 40, " ".join(w[6:19]) + " p6",
+    ]
+    items = [("b1", " ".join(w)), ("b2", "only three words"), ("n", None)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = {}
+    for doc, text in enumerate(texts):
+        at, found = defaultdict(list), set()
+        for k, word in enumerate(alnum(text)):
+            at[word].append(k)
+        for name, item in items:
+            words = alnum(item)
+            for window in (words[i : i + 13] for i in range(max(1, len(words) - 12))):
+                if window and any(all(any(abs(p - s - k) <= 2 for p in at[word]) for k, word in enumerate(window)) for s in range(-3, len(alnum(text)) + 3)):
+                    found.add(name)
+        near[doc] = len(found)
+    result = decontamination.query(spark, str(tmp_path))
+    got = {r["doc_id"]: r for r in result.collect()}
+    assert {d: r["n_near_items"] for d, r in got.items()} == near
+    assert [d for d in near if near[d] and not got[d]["n_items"]] == [1, 3, 4, 7]
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    relation = connection.sql(decontamination.ORACLE_SQL)
+    assert sorted(relation.fetchall()) == sorted(tuple(r[c] for c in relation.columns) for r in got.values())
+
+
 # 8
 
 

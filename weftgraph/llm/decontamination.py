@@ -4,7 +4,9 @@ The index is dealt by document: a segment holds the postings (term, positions) o
 built and searched where its documents are and no posting list of a frequent term ever has to travel or to fit in one
 task.  A phrase is found by taking the postings of its rarest term in the segment, shifting them by the term's place in
 the phrase, and intersecting them with the shifted postings of the other terms from the rarer to the more frequent.
-With a slop, a posting up to that many words beside its place counts too, which gives proximity matches.
+With a slop, a posting up to that many words beside its place counts too, which gives proximity matches: there is a place
+for the phrase, which may be up to the slop away from where the rarest term puts it, such that each word stands at most
+the slop beside its own place.  They don't depend on which documents share a segment.
 """
 
 from __future__ import annotations
@@ -76,7 +78,11 @@ def segments(texts: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[
 
 
 def find(segment: dict[str, np.ndarray], windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position of its first word) of every occurrence in the segment."""
+    """(window, position of its first word) of every occurrence in the segment.
+
+    With a slop, a window is found at every position from which each of its words has a posting at most slop words beside
+    its place; repeated words may share one.
+    """
     terms, offsets, positions = segment["terms"], segment["offsets"], segment["positions"]
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(terms) or not len(windows.length):
@@ -93,6 +99,12 @@ def find(segment: dict[str, np.ndarray], windows: Windows, slop: int = 0) -> tup
     rank = np.argsort(counts, axis=1, kind="stable")
     span = int(positions.max()) + 2 * GAP + 2
     posted = np.repeat(np.arange(len(terms)), np.diff(offsets)) * span + positions  # ascending
+
+    def beside(want: np.ndarray, width: int) -> np.ndarray:
+        at = np.searchsorted(posted, want - width)
+        at[at == len(posted)] = len(posted) - 1
+        return (posted[at] >= want - width) & (posted[at] <= want + width)
+
     rarest = rank[:, 0]
     lists = place[np.arange(len(able)), rarest]
     sizes = offsets[lists + 1] - offsets[lists]
@@ -109,13 +121,20 @@ def find(segment: dict[str, np.ndarray], windows: Windows, slop: int = 0) -> tup
                 break
             more = k < length[window]
             column = rank[window, k]
-            want = place[window, column] * span + start + column
-            at = np.searchsorted(posted, want - slop)
-            at[at == len(posted)] = len(posted) - 1
-            held = ~more | (posted[at] >= want - slop) & (posted[at] <= want + slop)
+            # the rarest term may itself stand beside its place
+            held = ~more | beside(place[window, column] * span + start + column, 2 * slop)
             window, start = window[held], start[held]
-        found_window.append(able[window])
-        found_start.append(start)
+        for shift in range(-slop, slop + 1) if slop else ():
+            at_window, at_start = window, start + shift
+            for k in range(1, rank.shape[1]):
+                column = rank[at_window, k]
+                held = (k >= length[at_window]) | beside(place[at_window, column] * span + at_start + column, slop)
+                at_window, at_start = at_window[held], at_start[held]
+            found_window.append(able[at_window])
+            found_start.append(at_start)
+        if not slop:
+            found_window.append(able[window])
+            found_start.append(start)
         cut = stop
     return np.concatenate(found_window), np.concatenate(found_start)
 
@@ -130,8 +149,10 @@ def matches(segment: dict[str, np.ndarray], windows: Windows, slop: int) -> tupl
         if result is near and not slop:
             break
         window, start = find(segment, windows, width)
-        doc = np.searchsorted(begins, np.maximum(start, 0), side="right") - 1
-        for d, k in set(zip(doc.tolist(), windows.item[window].tolist(), strict=True)):
+        # the first word stands at most width words beside start, so start may lie before its document
+        doc = np.searchsorted(begins, start + width, side="right") - 1
+        pairs = np.unique(doc * (len(windows.names) + 1) + windows.item[window])
+        for d, k in zip(*(x.tolist() for x in np.divmod(pairs, len(windows.names) + 1)), strict=True):
             result[d].add(windows.names[k])
         if result is items and len(window):
             np.add.at(hit, start, 1)
@@ -201,6 +222,8 @@ def search(indexed: DataFrame, items: DataFrame, size: int = WINDOW, slop: int =
     contaminated if occurrences of windows cover a twentieth of its words or more.  n_near_items counts the items with
     a window whose words all stand at most `slop` words beside their place; 0 leaves that search out.
     """
+    if size + 2 * slop > GAP:
+        raise ValueError(f"a window of {size} words with a slop of {slop} reaches over the gap of {GAP} words between documents")
     shared = indexed.sparkSession.sparkContext.broadcast(_passes(items, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +248,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns; each batch is indexed and searched in place."""
+    """The rows of docs that are not contaminated, with all their columns; each batch is indexed and searched in place.
+
+    Proximity matches don't make a document contaminated, so they are not searched here.
+    """
     jobs.small_batches(docs.sparkSession)
     passes = _passes(items, size)
     shared = docs.sparkSession.sparkContext.broadcast((passes, _vocabulary(passes)))
@@ -239,8 +265,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole `documents` against all of `benchmark`."""
-    return contamination(jobs.table(spark, sf_dir, "documents"), jobs.table(spark, sf_dir, "benchmark"), slop=0).drop("n_near_items")
+    """Whole `documents` against all of `benchmark`: the columns of the SQL, and n_near_items, which it doesn't have."""
+    return contamination(jobs.table(spark, sf_dir, "documents"), jobs.table(spark, sf_dir, "benchmark"))
 
 
 ORACLE_SQL = r"""
