@@ -415,6 +415,21 @@ def test_secret_scan(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_ordinary_words_hide_no_secret():
+    def spans(text):
+        return [text[a:b] for a, _, b in secret_scan.random_spans(text, secret_scan.base_spans(text), secret_scan.VOCABULARY)]
+
+    rng = np.random.default_rng(3)
+    digits = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    for letters in (digits, digits[:52]):
+        secrets = ["".join(rng.choice(letters, 24)) for _ in range(100)]
+        for before in ("", "services/production/credentials/", "/home/user/projects/service/config/", "authorization-header/"):
+            assert all(any(secret in span for span in spans(f"key {before}{secret} end")) for secret in secrets)
+    assert spans("services/production/credentials/administration/configuration/documentation/organization/Zq9xK2vL+8RtY4mNc7B/J1hG5fD3aP6e") == ["Zq9xK2vL+8RtY4mNc7B/J1hG5fD3aP6e"]
+    for text in ("AbstractSingletonProxyFactoryBean getElementsByClassNameAndTagName", "internationalisation-of-words", "services/production/0123456789abcdef0123456789abcdef01234567", "ordinary/services/production/credentials/123e4567-e89b-12d3-a456-426614174000/configuration/administration/documentation"):
+        assert spans(text) == [], text
+
+
 # 10
 
 

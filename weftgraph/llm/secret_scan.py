@@ -1,9 +1,12 @@
 """Secret scans: patterns of known kinds, and a token-efficiency test for random strings of unknown kind.
 
 A byte-pair vocabulary made from ordinary text spends few characters a token on random strings.  Candidates are runs
-of letters, digits and `+/_-=` of 20 characters or more that mix digits with letters; those whose characters a token
-stay below EFFICIENCY are secrets of kind `random`.  Digests (whole runs of 32, 40, 56, 64, 96 or 128 hex digits),
-UUIDs, numbers, and strings that are listed as known are excluded, as are candidates that a base span overlaps.
+of letters, digits and `+/_-=` of 20 characters or more; those whose characters a token stay below EFFICIENCY are
+secrets of kind `random`.  In a run that isn't, so that ordinary words don't hide a secret beside them, candidates are its
+pieces between `+/_-=`, and stretches of pieces without ordinary ones (numbers, UUIDs, and letters that are one token
+or not below EFFICIENCY).  Digests (candidates of 32, 40, 56, 64, 96 or 128 hex digits), UUIDs, numbers, and strings
+that are listed as known are excluded, as are candidates that a base span overlaps, and two kinds of letters without
+digits: words joined by separators, and identifiers (IDENTIFIER: humps of a camel case of four letters or more each).
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+PIECE = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+IDENTIFIER = re.compile(r"(?:[a-z]{4,}|[A-Z]{4,}(?![a-z]))?(?:[A-Z][a-z]{3,}|[A-Z]{4,}(?![a-z]))+|[A-Z]?[a-z]+(?:[A-Z][a-z]{3,})+")
 KEYWORD = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
@@ -56,15 +61,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: str, known: frozenset[str] = frozenset(), efficiency: float = EFFICIENCY) -> list[tuple[int, int, int]]:
+    def below(part: str) -> bool:
+        return len(part) < efficiency * len(encoding(vocabulary).encode_ordinary(part))
+
+    def secret(part: str, start: int) -> bool:
+        if len(part) < LEAST or part in known or len(part) in DIGEST_LENGTHS and DIGEST.fullmatch(part) or UUID.fullmatch(part):
+            return False
+        if any(a < start + len(part) and start < b for a, _, b in taken):
+            return False
+        return bool(MIXED.match(part) or part.isalpha() and not IDENTIFIER.fullmatch(part)) and below(part)
+
+    def ordinary(piece: str) -> bool:
+        if piece.isalpha():
+            return not below(piece) or len(encoding(vocabulary).encode_ordinary(piece)) == 1
+        return piece.isdigit() or piece in known or bool(UUID.fullmatch(piece))
+
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if not MIXED.match(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run) or run in known:
+        if secret(m[0], m.start()):
+            found.append((m.start(), 3, m.end()))
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
+        pieces = [(m.start() + p.start(), m.start() + p.end()) for p in PIECE.finditer(m[0])]
+        if m[0] in known or len(pieces) < 2 or UUID.fullmatch(m[0]):
             continue
-        if len(run) < efficiency * len(encoding(vocabulary).encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        stretch: list[tuple[int, int]] = []
+        for a, b in [*pieces, (m.end(), m.end())]:
+            alone = secret(text[a:b], a)
+            if a < b and not alone and not ordinary(text[a:b]):
+                stretch.append((a, b))
+                continue
+            if len(stretch) > 1 and secret(text[stretch[0][0] : stretch[-1][1]], stretch[0][0]):
+                found.append((stretch[0][0], 3, stretch[-1][1]))
+            stretch = []
+            if alone:
+                found.append((a, 3, b))
     return found
 
 
