@@ -477,6 +477,28 @@ def test_entropy_levels_match_direct_counts():
     assert len(want) == len(level) and all(abs(a - b) <= 1 for a, b in zip(want, level.tolist(), strict=True))
 
 
+def test_every_byte_starts_a_window():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcde é7."), n)).encode() for n in (0, 31, 33, 40, 300, 5, 90)]
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    at = ends - [len(t) for t in texts]
+    text, level, hashed = fingerprints.windows(data, at, ends, 0)
+    want = [(k, [fingerprints._CLASS[b] for b in t[i : i + 32]]) for k, t in enumerate(texts) for i in range(len(t) - 31)]
+    assert text.tolist() == [k for k, _ in want]
+    assert all(abs(x + 200 * sum(c / 32 * math.log2(c / 32) for c in Counter(w).values())) <= 1 for x, (_, w) in zip(level.tolist(), want, strict=True))
+    rank = rng.permutation(fingerprints.LEVELS)
+    keys = [(int(rank[x]), int(h) >> 16) for x, h in zip(level, hashed, strict=True)]
+    near = [[keys[j] for j in range(max(0, i - 12), min(len(keys), i + 13)) if text[j] == text[i]] for i in range(len(keys))]
+    assert fingerprints.selected(text, level, hashed, rank).tolist() == [keys[i] == min(near[i]) for i in range(len(keys))]
+    rank = np.arange(fingerprints.LEVELS)
+    for n in range(50):
+        t = "".join(rng.choice(list("abcdefgh é"), 40))
+        features = fingerprints.windows(np.frombuffer(t.encode() + b" ", np.uint8), np.array([0]), np.array([len(t.encode())]), 0)[2]
+        (filters,) = fingerprints.chains([t.encode()], rank)
+        assert any((fingerprints.chain(features[k : k + 1]) & ~filters == 0).all() for k in range(len(features))), n
+
+
 # helpers
 
 

@@ -1,8 +1,8 @@
 """Document fingerprints by improbable features.
 
-A feature is a window of 32 bytes.  Windows start where the hash of 4 bytes is the least of its surroundings, so they
-follow the content, and each has the entropy of its bytes, folded to 32 classes.  How rare an entropy is among all windows of the corpus ranks the windows; the one of lowest rank
-among its neighbours is selected.  Distinct features go in order into a chain of Bloom filters of 256 bytes, 160
+A feature is a window of 32 bytes.  A window starts at every byte and has the entropy of its bytes, folded to 32
+classes.  How rare an entropy is among all windows of the corpus ranks the windows; the one of lowest rank among its
+neighbours is selected.  Distinct features go in order into a chain of Bloom filters of 256 bytes, 160
 features each.  Two filters are compared by their common bits beyond those expected by chance, over the most there
 could be; two chains by the mean, over the filters of
 the shorter one by their bits, of the best match in the other.
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm import jobs, textkit
 from weftgraph.llm.textkit import U
 
-#: Bytes of a window, places on either side of a start, entropy levels, windows on either side of a feature, bits and
-#: features of a filter, bits of a feature.
-WINDOW, AROUND, LEVELS, NEIGHBOURS, BITS, FEATURES, HASHES = 32, 2, 1000, 2, 2048, 160, 5
+#: Bytes of a window, places on either side of a thinned start, entropy levels, windows on either side of a feature, bits
+#: and features of a filter, bits of a feature.
+WINDOW, AROUND, LEVELS, NEIGHBOURS, BITS, FEATURES, HASHES = 32, 2, 1000, 12, 2048, 160, 5
 
 # letters regardless of case, white space, digits, punctuation, control bytes, lead and continuation bytes of UTF-8
 _CLASS = np.full(256, 28, np.int64)
@@ -37,47 +37,80 @@ _CLASS[0x80:0xC0] = 31
 _CLASS[0xC0:] = 30
 #: Four words of eight 8-bit counters: what a byte adds to each.
 _COUNTER = [np.where(_CLASS // 8 == k, U(1) << (8 * (_CLASS % 8)).astype(np.uint64), U(0)) for k in range(4)]
-_TERM = np.array([c * np.log2(c) if c else 0.0 for c in range(256)], np.float32)
+_FOLDED = _CLASS.astype(np.uint8)
+#: Terms of the entropy as whole numbers, so that running sums are exact wherever a text lies.
+_ONE = 1 << 32
+_TERM = np.array([round(c * np.log2(c) * _ONE) if c else 0 for c in range(WINDOW + 2)], np.int64)
+#: What the c-th byte of a class adds to the sum of terms.
+_GAIN = np.diff(_TERM, prepend=0)
+
+
+def terms(data: np.ndarray) -> np.ndarray:
+    """The sum of _TERM over the classes' counts in the WINDOW bytes from each position on."""
+    n = len(data) - WINDOW + 1
+    running = np.zeros((4, len(data) + 1), np.uint64)
+    for k in range(4):
+        np.cumsum(_COUNTER[k][data], out=running[k, 1:])
+    counts = (running[:, WINDOW:] - running[:, :-WINDOW]).astype("<u8").view(np.uint8).ravel()
+    folded = _FOLDED[data]
+    out = np.empty(n, np.int64)
+    out[0] = _TERM[np.bincount(folded[:WINDOW])].sum()
+    gone, new = folded[: n - 1], folded[WINDOW:]
+    byte = np.arange(32) // 8 * (8 * n) + np.arange(32) % 8  # of the first window's count of each class
+    here = np.arange(0, 8 * (n - 1), 8)
+    step = _GAIN[counts[byte[new] + here] + 1] - _GAIN[counts[byte[gone] + here]]
+    step[gone == new] = 0
+    np.cumsum(step, out=out[1:])
+    out[1:] += out[0]
+    return out
+
 
+def windows(data: np.ndarray, at: np.ndarray, ends: np.ndarray, around: int = AROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, entropy level, hash) of the windows of texts that lie in data from `at` up to `ends`, in order.
 
-def windows(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, entropy level, hash) of the windows of texts that lie in data from `at` up to `ends`, in order."""
+    around: only starts whose hash of 4 bytes is the least of so many places on either side; 0 for every byte, as the
+    operator has it.
+    """
     up, down = textkit._powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(textkit._BYTE[data] * up[:-1], out=sums[1:])
     if len(data) <= WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    short = np.full(len(data), ~U(0))
-    short[:-3] = textkit.mix((sums[4:] - sums[:-4]) * down[:-4])
-    for back in range(4):  # 4 bytes that reach beyond their text
-        short[np.maximum(ends - back, at)] = ~U(0)
-    low = np.ones(len(data), bool)
-    for d in range(1, AROUND + 1):
-        low[d:] &= short[d:] <= short[:-d]
-        low[:-d] &= short[:-d] <= short[d:]
-    start = np.flatnonzero(low)
-    text = np.searchsorted(at, start, side="right") - 1
-    inside = start + WINDOW <= ends[text]
-    start, text = start[inside], text[inside]
-    terms = np.zeros(len(start), np.float32)
-    for k in range(4):
-        running = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_COUNTER[k][data], out=running[1:])
-        terms += _TERM[(running[start + WINDOW] - running[start]).view(np.uint8)].reshape(-1, 8).sum(axis=1)
-    entropy = np.log2(WINDOW) - terms / WINDOW
-    level = np.clip((entropy * (LEVELS / np.log2(WINDOW))).astype(np.int64), 0, LEVELS - 1)
+    if around:
+        low = np.ones(len(data), bool)
+        short = np.full(len(data), ~U(0))
+        short[:-3] = textkit.mix((sums[4:] - sums[:-4]) * down[:-4])
+        for back in range(4):  # 4 bytes that reach beyond their text
+            short[np.maximum(ends - back, at)] = ~U(0)
+        for d in range(1, around + 1):
+            low[d:] &= short[d:] <= short[:-d]
+            low[:-d] &= short[:-d] <= short[d:]
+        start = np.flatnonzero(low)
+        text = np.searchsorted(at, start, side="right") - 1
+        inside = start + WINDOW <= ends[text]
+        start, text = start[inside], text[inside]
+    else:
+        sizes = np.maximum(0, ends - at - WINDOW + 1)
+        text = np.repeat(np.arange(len(at)), sizes)
+        start = np.arange(len(text)) + np.repeat(at - np.cumsum(sizes) + sizes, sizes)
+    scale = LEVELS / np.log2(WINDOW)
+    level = np.clip((LEVELS - terms(data)[start] * (scale / (_ONE * WINDOW))).astype(np.int64), 0, LEVELS - 1)
     return text, level, textkit.mix((sums[start + WINDOW] - sums[start]) * down[start])
 
 
 def selected(text: np.ndarray, level: np.ndarray, hashed: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which windows have the lowest rank, ties by hash, among NEIGHBOURS on either side in their text."""
     key = (rank[level].astype(np.uint64) << U(48)) | (hashed >> U(16))
-    keep = np.ones(len(key), bool)
-    for d in range(1, NEIGHBOURS + 1):
-        same = text[d:] == text[:-d]
-        keep[d:] &= ~same | (key[d:] <= key[:-d])
-        keep[:-d] &= ~same | (key[:-d] <= key[d:])
-    return keep
+    # texts lie farther apart than neighbours
+    place = np.arange(NEIGHBOURS, NEIGHBOURS + len(key)) + (NEIGHBOURS * text if len(key) else 0)
+    least = np.full((int(place[-1]) if len(key) else 0) + NEIGHBOURS + 1, ~U(0))
+    least[place] = key
+    width = 1
+    while width < 2 * NEIGHBOURS + 1:
+        step = min(width, 2 * NEIGHBOURS + 1 - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return key == least[place - NEIGHBOURS]
 
 
 def chain(features: np.ndarray) -> np.ndarray:
@@ -95,7 +128,7 @@ def chains(texts: Iterable[bytes], rank: np.ndarray) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for row, _, data, at in textkit.chunks(pa.array(list(texts), pa.binary()).cast(pa.large_binary()).view(pa.large_string())):
         ends = np.append(at[1:], len(data)) - 1
-        text, level, hashed = windows(data, at, ends)
+        text, level, hashed = windows(data, at, ends, 0)
         keep = selected(text, level, hashed, rank)
         text, hashed = text[keep], hashed[keep]
         first = np.searchsorted(text, np.arange(len(at) + 1))
@@ -142,7 +175,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
             for _, _, data, at in textkit.chunks(batch.column("text")):
-                total += np.bincount(windows(data, at, np.append(at[1:], len(data)) - 1)[1], minlength=LEVELS)
+                total += np.bincount(windows(data, at, np.append(at[1:], len(data)) - 1, 0)[1], minlength=LEVELS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["level", "n"])
 
