@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.storage import discard, shared_folder, stored
+
+__all__ = ["WORD", "components", "discard", "numbered", "partitions", "shared_folder", "small_batches", "stored", "table"]
+
 #: Words of the contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,36 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in local tests."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weft-checkpoint-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, with no lineage, whole after a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table made by stored() that nothing will read again."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows, and so the memory, of the Arrow batches that Python workers get; a smaller setting stays."""
+    """Bounds the rows, and so the memory, of the Arrow batches that Python workers get; a smaller setting stays.
+
+    Plans read this setting of the session when they run, so it can't be put back here.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
