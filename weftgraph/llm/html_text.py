@@ -1,17 +1,22 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped into lines, one for each block element, in page order.  Lines inside elements that hold no main text
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles), known by tag, role, class or
-id, become empty lines.  The text lengths outside links of WINDOW lines in a row are summed; a surge from below
-THRESHOLD opens a stretch of main text and a dive to zero closes it.  All lines between a surge and its dive are kept,
-however short.  The same sums decide on all pages: in an article or main element a line only weighs BONUS times its
-length and one more, so its links and short lines do not close a stretch; no line is dropped for being outside one.
+(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) become empty lines.  An element is
+known as such by its tag, or by a whole name in its class, id or role: a name marks it if it has a marking word and else
+only words of layout, so `cookie-notice` and `site-header` mark, `with-sidebar` and `legal-analysis` don't.  Where the
+word is one that articles are named by too (LOOSE), the element has to hold the lesser part of the page's text as well.
+
+The text lengths outside links of WINDOW lines in a row are summed; a surge from below THRESHOLD opens a stretch of main
+text and a dive to zero closes it.  All lines between a surge and its dive are kept, however short.  The same sums decide
+on all pages: in an article or main element a line only weighs BONUS times its length and one more, so its links and
+short lines do not close a stretch; no line is dropped for being outside one.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,39 +36,55 @@ RAW = frozenset(("script", "style", "title", "textarea", "noscript", "template",
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 PAGE = frozenset(("html", "body", "article", "main"))
-#: Elements without main text, and words in a class, id or role that mark one.
+#: Elements without main text, and words that mark one in a class, id or role.
 STRIPPED = frozenset("nav header footer aside form menu dialog select button object svg canvas audio video fieldset datalist".split())
-MARKS = frozenset(
-    """ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner sidebar sidebars aside
-    menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices notification alert
-    popup modal overlay newsletter subscribe subscription signup login form forms search share sharing social related recommended
-    comment comments commentlist disqus reply replies responses toolbar pagination pager copyright legal complementary contentinfo""".split()
+FIRM = frozenset(
+    """ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors menu menus nav navbar navigation breadcrumb breadcrumbs
+    cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments commentlist disqus reply replies responses pagination pager""".split()
 )
+LOOSE = frozenset(
+    """promo promos promotion banner sidebar sidebars aside header footer masthead notice notices notification alert popup modal overlay form forms search
+    share sharing social related recommended toolbar copyright legal complementary contentinfo""".split()
+)
+#: Words that may stand beside a marking one.
+LAYOUT = frozenset(
+    """a above area article articles bar below block body bottom box btn button buttons center col column container content desktop div entry fixed float footer
+    full global group head holder icon icons inline inner item items js large left link links list main mobile module nav narrow outer page panel post posts
+    primary reader readers reading region right row secondary section site slot small sticky stories story text thread title top unit user users view web
+    widget widgets wide wrap wrapper zone""".split()
+)
+SCOPES = frozenset(("td", "th", "li", "div", "blockquote", "section"))
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if "=" in text else {}
 
 
-def _strips(tag: str, attributes: str) -> bool:
+def _strips(tag: str, attributes: str) -> int:
+    """2: holds no main text; 1: by a name that articles have too; 0: neither."""
     if tag in PAGE:
-        return False
+        return 0
     if tag in STRIPPED:
-        return True
+        return 2
     if not attributes:
-        return False
+        return 0
     found = _attributes(attributes)
-    names = NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")))
-    if any(n.lower() in MARKS for n in names):
-        return True
-    return found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or bool(HIDDEN.search(attributes))
+    if found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or HIDDEN.search(attributes):
+        return 2
+    kind = 0
+    for name in " ".join(found.get(k, "") for k in ("class", "id", "role")).split():
+        words = {n.lower() for n in NAME.findall(name)}
+        if words <= FIRM | LOOSE | LAYOUT and (words & FIRM or words & LOOSE):
+            kind = max(kind, 2 if words & FIRM or tag in INLINE else 1)
+    return kind
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length outside links, whether inside a marked article) of each line of the page, stripped lines empty."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, stripped, article
-    stripped = articles = links = 0
+    out: list[tuple[str, int, bool, int]] = []  # the last: number of the loosely marked element, 0 outside
+    stack: list[tuple[str, int, bool, bool]] = []  # open elements: tag, stripped, article, whether a p is open in this scope
+    opened: Counter[str] = Counter()
+    stripped = articles = links = loose = elements = 0
     parts: list[str] = []
     linked, gap = 0, False
 
@@ -71,7 +92,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked, gap
         text = " ".join("".join(parts).split())
         if text or gap:
-            out.append((text, max(0, len(text) - linked), articles > 0))
+            out.append((text, max(0, len(text) - linked), articles > 0, elements if loose else 0))
         parts.clear()
         linked, gap = 0, False
 
@@ -86,15 +107,17 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 linked += len(" ".join(text.split()))
 
     def close(tag: str) -> None:
-        nonlocal stripped, articles, links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                for name, strip, article in stack[k:]:
-                    stripped -= strip
-                    articles -= article
-                    links -= name == "a"
-                del stack[k:]
-                return
+        nonlocal stripped, articles, links, loose
+        if not opened[tag]:
+            return
+        name = ""
+        while name != tag:
+            name, strip, article, _ = stack.pop()
+            opened[name] -= 1
+            stripped -= strip == 2
+            loose -= strip == 1
+            articles -= article
+            links -= name == "a"
 
     position, size = 0, len(page)
     while position < size:
@@ -124,10 +147,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag not in INLINE:
             flush()
-            if stack and stack[-1][0] == "p" or tag in ("p", "div", "ul", "ol", "table", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6"):
-                inside = [name for name, _, _ in stack]
-                if "p" in inside and not {"td", "th", "li", "div", "blockquote", "section"} & set(inside[inside.index("p") :]):
-                    close("p")
+            if stack and stack[-1][3] and (stack[-1][0] == "p" or tag in ("p", "div", "ul", "ol", "table", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6")):
+                close("p")
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 close(tag)
             if tag == "body":
@@ -136,12 +157,20 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         strip = _strips(tag, attributes)
         article = not strip and not stripped and (tag in ("article", "main") or 'role="main"' in attributes or "articleBody" in attributes)
-        stack.append((tag, strip, article))
-        stripped += strip
+        stack.append((tag, strip, article, tag == "p" or tag not in SCOPES and bool(stack) and stack[-1][3]))
+        opened[tag] += 1
+        stripped += strip == 2
+        elements += strip == 1 and not loose
+        loose += strip == 1
         articles += article
         links += tag == "a"
     flush()
-    return out
+    held = Counter()
+    for _, free, _, element in out:
+        held[element] += free
+    # a loosely marked element with most of the page's text is the article
+    lost = {e for e, free in held.items() if e and 2 * free <= held.total()}
+    return [("", 0, inside) if element in lost else (text, free, inside) for text, free, inside, element in out]
 
 
 def stretches(lengths: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
