@@ -6,14 +6,16 @@ languages of neighbouring words, so that a text that switches languages is label
 gives each word's probability of each language; a document gets the language with the largest sum.
 
 The model is fitted on the driver on SAMPLE documents of SAMPLE_CHARS characters together at most, spread evenly over
-the languages.  Training sequences
-are stretches of 6 to 40 words of different documents put in a row, so that switches occur in them.
+the languages (one document of each language is taken in any case).  Training sequences are stretches of 6 to 40 words of
+different documents put in a row, so that switches occur in them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -262,35 +264,46 @@ def held_out() -> Column:
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of docs (doc_id, text, lang), held-out rows left aside: `sample` documents at most, by hash of doc_id.
+    """The model of docs (doc_id, text, lang), held-out rows left aside: `sample` documents at most, by hash of doc_id and text.
 
-    Where they would have more than SAMPLE_CHARS characters, documents longer than the rest go until they fit.
+    Languages share the sample, and SAMPLE_CHARS characters, evenly; where a language has more characters, its longest
+    documents go until it fits, but one stays.  With more than `sample` languages, those of the least names are learned.
+    The same rows give the same model, however they are dealt.  Rows with a null doc_id count as those of an empty one.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    need = max(1, sample // max(1, len(counts)))
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = known.select("doc_id", "lang", F.char_length("text").alias("chars"), hashed.alias("hash"))
-
-    def least(rows: DataFrame) -> list:
-        order = Window.partitionBy("lang").orderBy("hash", "doc_id")
-        return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= need).select("chars", "lang", "doc_id").collect()
+    hashed = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    known = known.select("text", "lang", F.char_length("text").alias("chars"), hashed.alias("hash"))
+    # a row for each of the first languages
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(sample).collect()}
+    if not counts:
+        return fit([])
+    need = sample // len(counts)
+    room = SAMPLE_CHARS // len(counts)
+
+    def least(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("lang").orderBy("hash")
+        return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= need)
 
     # hashes above a share that leaves several times the needed rows are not among the least; so a language's task gets few rows
-    shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (8 * need + 1000) / n)))]
-    rows = []
-    if counts:
-        rows = least(sized.where(F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") < F.create_map(*shares)[F.col("lang")] * 2.0**32))
-        if any(sum(r["lang"] == lang for r in rows) < min(need, n) for lang, n in counts.items()):
-            rows = least(sized)  # many rows of one doc_id
-    # at most `sample` rows of ids and lengths
-    rows.sort(key=lambda r: (r["chars"], r["lang"], str(r["doc_id"])))
-    fits = np.cumsum([r["chars"] for r in rows]) <= SAMPLE_CHARS
-    ids = docs.sparkSession.createDataFrame([r for r, fit_ in zip(rows, fits, strict=True) if fit_], known.select(F.char_length("text").alias("chars"), "lang", "doc_id").schema)
-    ids = ids.select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang")).distinct()
-    rows = known.join(F.broadcast(ids), (F.col("doc_id") == F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi").select("doc_id", "text", "lang").limit(sample).collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
-    return fit([(r["text"], r["lang"]) for r in rows])
+    shares = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (8 * need + 1000) / n)))))
+    sized = known.select("lang", "chars", "hash").where(F.col("lang").isin(*counts))
+    picked = least(sized.where(F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") < shares[F.col("lang")] * 2.0**32)).select("lang", "chars", "hash").collect()
+    had = Counter(r["lang"] for r in picked)
+    if any(had[lang] < min(need, n) for lang, n in counts.items()):
+        picked = least(sized).select("lang", "chars", "hash").collect()  # many equal rows
+    picked.sort(key=lambda r: (r["lang"], r["chars"], r["hash"]))
+    chosen: Counter[tuple[str, str]] = Counter()
+    for _, rows in groupby(picked, key=lambda r: r["lang"]):
+        left = room
+        for k, r in enumerate(rows):
+            left -= r["chars"]
+            if k and left < 0:
+                break
+            chosen[r["lang"], r["hash"]] += 1
+    ids = docs.sparkSession.createDataFrame(list(chosen), "picked_lang string, picked_hash string")
+    texts = known.join(F.broadcast(ids), (F.col("lang") == F.col("picked_lang")) & (F.col("hash") == F.col("picked_hash"))).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    rows = [(r["text"], r["lang"]) for r in texts.collect() for _ in range(chosen[r["lang"], r["hash"]])]
+    return fit(sorted(rows, key=lambda r: (r[1], r[0])))
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
@@ -312,6 +325,38 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def words(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, word_no, word, lang, score): each word of code-switched texts, lower-cased, with its own language.
+
+    A word is a run of letters; score is its probability under the whole text.  Texts without letters have no rows.
+    """
+    jobs.small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column("text")):
+                data, start, end, _ = parsed([text.as_py() or ""])
+                if not len(start) or not shared.value.labels:
+                    continue
+                found = marginals(shared.value, emissions(shared.value, data, start, end), np.arange(len(start)) == 0)
+                best = found.argmax(axis=1)
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(np.full(len(start), k))),
+                        pa.array(np.arange(len(start)), pa.int64()),
+                        pa.array([raw[a:b].decode() for a, b in zip(start, end, strict=True)], pa.string()),
+                        pa.array([shared.value.labels[c] for c in best], pa.string()),
+                        pa.array(found[np.arange(len(start)), best], pa.float64()),
+                    ],
+                    names=["doc_id", "word_no", "word", "lang", "score"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, word_no long, word string, lang string, score double")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`."""
     docs = jobs.table(spark, sf_dir, "documents")
