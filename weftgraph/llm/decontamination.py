@@ -1,19 +1,22 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is dealt by document: a segment holds the postings (term, positions) of a few hundred documents, so it is
-built and searched where its documents are and no posting list of a frequent term ever has to travel or to fit in one
-task.  A phrase is found by taking the postings of its rarest term in the segment, shifting them by the term's place in
-the phrase, and intersecting them with the shifted postings of the other terms from the rarer to the more frequent.
-With a slop, a posting up to that many words beside its place counts too, which gives proximity matches: there is a place
-for the phrase, which may be up to the slop away from where the rarest term puts it, such that each word stands at most
-the slop beside its own place.  They don't depend on which documents share a segment.
+The index is a stored table dealt by document: a segment holds all postings (term, positions) of a few hundred documents,
+so that it is built and searched where its documents are, and no posting list of a frequent term ever has to travel or to
+fit in one task.  A phrase is found by taking the postings of its rarest term in the segment, shifting them by the term's
+place in the phrase, and intersecting them with the shifted postings of the other terms from the rarer to the more
+frequent.  With a slop, a posting up to that many words beside its place counts too, which gives proximity matches: there
+is a place for the phrase, which may be up to the slop away from where the rarest term puts it, such that each word stands
+at most the slop beside its own place.  They don't depend on which documents share a segment.
+
+Test items are a table as well.  Their words are dealt into passes of about PASS_WORDS words; each pass is sent to all
+tasks, searches the same index, and the passes' matches meet by document.  Words are equal where their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,56 +28,51 @@ from weftgraph.llm import jobs, textkit
 
 #: Words of a window, words between two documents in a segment's numbering, and phrase candidates handled at once.
 WINDOW, GAP, CANDIDATES = 13, 64, 1_000_000
-#: Words of items searched in one pass; more items take more passes over the same index rows.
-PASS_WORDS = 2_000_000
+#: Words of items searched in one pass, and of one piece of an item.
+PASS_WORDS, PIECE_WORDS = 200_000, 50_000
 
 
 @dataclass
 class Windows:
-    """Test phrases: term hashes by window (unused places repeat the first), lengths, item of each, item_ids."""
+    """Test phrases: distinct word hashes, the words side by side as numbers of them, first word, length, item_id number."""
 
-    terms: np.ndarray
+    vocabulary: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
     length: np.ndarray
     item: np.ndarray
     names: list[str]
+    size: int
 
     @classmethod
-    def of(cls, items: list[tuple[str, str]], size: int) -> Windows:
+    def of(cls, items: list[tuple[str, np.ndarray]], size: int) -> Windows:
         """Every `size` consecutive words of each item; an item of fewer words, but not none, is one window."""
-        rows, lengths, owner, names = [], [], [], []
-        for (name, _), words in zip(items, textkit.word_hashes([t for _, t in items], textkit.ALNUM), strict=True):
-            n = len(words)
-            if not n:
-                continue
-            k = min(n, size)
-            for a in range(n - k + 1):
-                rows.append(np.concatenate([words[a : a + k], np.repeat(words[a], size - k)]))
-                lengths.append(k)
-                owner.append(len(names))
-            names.append(name)
-        return cls(np.array(rows, np.uint64).reshape(len(rows), size), np.array(lengths, np.int64), np.array(owner, np.int64), names)
-
-
-def segments(texts: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    """(first row, end row, segment): document starts and word counts, sorted terms, their offsets, their positions.
-
-    vocabulary: keep the postings of these (sorted) terms only.
-    """
+        items = [(name, words) for name, words in items if len(words)]
+        counts = np.array([len(w) for _, w in items], np.int64)
+        begins = np.cumsum(counts) - counts
+        windows = np.maximum(counts - size, 0) + 1
+        item = np.repeat(np.arange(len(items)), windows)
+        first = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows - begins, windows)
+        vocabulary, words = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w in items)]), return_inverse=True)
+        return cls(vocabulary, words, first, np.minimum(counts, size)[item], item, [name for name, _ in items], size)
+
+
+def segments(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    """(first row, end row, segment): word counts of the documents, sorted terms, their offsets, their positions."""
     for row, end, data, at in textkit.chunks(texts):
         start, _, hashed = textkit.words(data, textkit.ALNUM)
         first = np.searchsorted(start, at)
         counts = np.diff(np.append(first, len(start)))
-        begin = np.cumsum(np.append(0, counts[:-1] + GAP))
-        position = np.arange(len(start)) + np.repeat(begin - first, counts)
-        if vocabulary is not None:
-            place = np.searchsorted(vocabulary, hashed)
-            place[place == len(vocabulary)] = 0
-            known = vocabulary[place] == hashed if len(vocabulary) else np.zeros(len(hashed), bool)
-            hashed, position = hashed[known], position[known]
+        position = np.arange(len(start)) + np.repeat(_begins(counts) - first, counts)
         order = np.argsort(hashed, kind="stable")
         hashed, position = hashed[order], position[order]
         new = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1])) if len(hashed) else np.zeros(0, np.int64)
-        yield row, end, {"begins": begin, "n_words": counts, "terms": hashed[new], "offsets": np.append(new, len(hashed)), "positions": position}
+        yield row, end, {"n_words": counts, "terms": hashed[new], "offsets": np.append(new, len(hashed)), "positions": position}
+
+
+def _begins(counts: np.ndarray) -> np.ndarray:
+    """Position of the first word of each document."""
+    return np.cumsum(np.append(0, counts[:-1] + GAP)) if len(counts) else counts
 
 
 def find(segment: dict[str, np.ndarray], windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +85,19 @@ def find(segment: dict[str, np.ndarray], windows: Windows, slop: int = 0) -> tup
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(terms) or not len(windows.length):
         return none
-    place = np.searchsorted(terms, windows.terms)
+    place = np.searchsorted(terms, windows.vocabulary)
     place[place == len(terms)] = 0
-    counts = np.where(terms[place] == windows.terms, offsets[place + 1] - offsets[place], 0)
-    able = np.flatnonzero((counts > 0).all(axis=1))
+    known = terms[place] == windows.vocabulary
+    # windows all of whose words have postings
+    have = np.concatenate([[0], np.cumsum(known[windows.words])])
+    able = np.flatnonzero(have[windows.first + windows.length] - have[windows.first] == windows.length)
     if not len(able):
         return none
-    place, counts, length = place[able], counts[able], windows.length[able]
+    length = windows.length[able]
+    column = np.arange(windows.size)
+    place = place[windows.words[windows.first[able][:, None] + np.minimum(column, length[:, None] - 1)]]
     # places beyond the window's length go last
-    counts = np.where(np.arange(counts.shape[1]) < length[:, None], counts, np.iinfo(np.int64).max)
+    counts = np.where(column < length[:, None], offsets[place + 1] - offsets[place], np.iinfo(np.int64).max)
     rank = np.argsort(counts, axis=1, kind="stable")
     span = int(positions.max()) + 2 * GAP + 2
     posted = np.repeat(np.arange(len(terms)), np.diff(offsets)) * span + positions  # ascending
@@ -139,129 +141,150 @@ def find(segment: dict[str, np.ndarray], windows: Windows, slop: int = 0) -> tup
     return np.concatenate(found_window), np.concatenate(found_start)
 
 
-def matches(segment: dict[str, np.ndarray], windows: Windows, slop: int) -> tuple[np.ndarray, list[set[str]], list[set[str]]]:
-    """By document of the segment: whether each word (side by side) is hit, item_ids of phrases, item_ids of near phrases."""
-    begins, counts = segment["begins"], segment["n_words"]
-    items: list[set[str]] = [set() for _ in begins]
-    near: list[set[str]] = [set() for _ in begins]
-    hit = np.zeros((int(begins[-1] + counts[-1]) if len(begins) else 0) + GAP + 1, np.int32)
-    for result, width in ((items, 0), (near, slop)):
-        if result is near and not slop:
-            break
-        window, start = find(segment, windows, width)
+def matches(segment: dict[str, np.ndarray], windows: Windows, slop: int) -> Iterator[tuple[int, np.ndarray, list[str], list[str]]]:
+    """(document of the segment, its hit words, item_ids of phrases, item_ids of near phrases), documents with any."""
+    counts = segment["n_words"]
+    begins = _begins(counts)
+
+    def by_document(window: np.ndarray, start: np.ndarray, width: int) -> dict[int, list[str]]:
         # the first word stands at most width words beside start, so start may lie before its document
         doc = np.searchsorted(begins, start + width, side="right") - 1
-        pairs = np.unique(doc * (len(windows.names) + 1) + windows.item[window])
-        for d, k in zip(*(x.tolist() for x in np.divmod(pairs, len(windows.names) + 1)), strict=True):
-            result[d].add(windows.names[k])
-        if result is items and len(window):
-            np.add.at(hit, start, 1)
-            np.add.at(hit, start + windows.length[window], -1)
+        found: dict[int, list[str]] = {}
+        for d, k in np.unique(np.stack([doc, windows.item[window]]), axis=1).T.tolist():
+            found.setdefault(d, []).append(windows.names[k])
+        return found
+
+    window, start = find(segment, windows)
+    items = by_document(window, start, 0)
+    near = by_document(*find(segment, windows, slop), slop) if slop else {}
+    hit = np.zeros((int(begins[-1] + counts[-1]) if len(begins) else 0) + GAP + 1, np.int32)
+    np.add.at(hit, start, 1)
+    np.add.at(hit, start + windows.length[window], -1)
     inside = np.cumsum(hit) > 0
-    return np.concatenate([inside[b : b + n] for b, n in zip(begins, counts, strict=True)]) if len(begins) else inside[:0], items, near
+    for d in sorted({*items, *near}):
+        yield d, np.flatnonzero(inside[begins[d] : begins[d] + counts[d]]), sorted(set(items.get(d, ()))), sorted(set(near.get(d, ())))
+
 
+def item_words(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(item_id, words, n): word hashes of each item of items (item_id, text), long ones in pieces that share size - 1 words.
 
-def _passes(items: DataFrame, size: int) -> list[Windows]:
-    """The items as windows, in passes of a bounded number of words.  Null item_ids count as the empty string."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    passes, held, words = [], [], 0
-    for row in rows.toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        words += row["text"].count(" ") + 1
-        if words >= PASS_WORDS:
-            passes.append(Windows.of(held, size))
-            held, words = [], 0
-    return [*passes, Windows.of(held, size)]
+    Null item_ids count as the empty string; null and wordless texts and repeated items add nothing.
+    """
+    jobs.small_batches(items.sparkSession)
+    if size > PIECE_WORDS // 2:
+        raise ValueError(f"a window of {size} words is too long for pieces of {PIECE_WORDS}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, hashes, counts = [], [], []
+            for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = textkit.word_hashes([text], textkit.ALNUM)[0]
+                for a in range(0, max(1, len(words) - size + 1) if len(words) else 0, PIECE_WORDS - size + 1):
+                    piece = words[a : a + PIECE_WORDS]
+                    names.append(name)
+                    hashes.append(piece.tobytes())
+                    counts.append(len(piece))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(hashes, pa.binary()), pa.array(counts, pa.int64())], names=["item_id", "words", "n"])
 
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "item_id string, words binary, n long").distinct()
 
-def _vocabulary(passes: list[Windows]) -> np.ndarray:
-    return np.unique(np.concatenate([w.terms.ravel() for w in passes]))
 
+_ARRAYS = {"terms": np.uint64, "offsets": np.int32, "positions": np.int32}
 
-_ARRAYS = {"begins": np.int64, "n_words": np.int64, "terms": np.uint64, "offsets": np.int64, "positions": np.int64}
 
+def index(docs: DataFrame) -> DataFrame:
+    """Segments of a positional index of docs (doc_id, text), ready to be written: (segment, doc_ids, n_words, arrays as binary).
 
-def index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """Segments of a positional index of docs (doc_id, text), ready to be written: doc_ids and the arrays as binary."""
+    offsets and positions are written as steps from the value before, which compress well.
+    """
     jobs.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for row, end, segment in segments(batch.column("text"), shared.value):
-                lists = pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), ids.slice(row, end - row))
-                yield pa.RecordBatch.from_arrays([lists, *(pa.array([segment[k].astype(t).tobytes()], pa.binary()) for k, t in _ARRAYS.items())], names=["doc_ids", *_ARRAYS])
-
-    schema = T.StructType([T.StructField("doc_ids", T.ArrayType(kind))] + [T.StructField(k, T.BinaryType()) for k in _ARRAYS])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def _verdicts(segment: dict[str, np.ndarray], passes: list[Windows], slop: int) -> list[tuple[int, int, int, str, int, bool]]:
-    """(n_words, n_hit, n_items, items_sha256, n_near, contaminated) of each document of the segment."""
-    hit, items, near = matches(segment, passes[0], slop)
-    for more in passes[1:]:
-        hit_too, items_too, near_too = matches(segment, more, slop)
-        hit |= hit_too
-        for mine, other in ((items, items_too), (near, near_too)):
-            for a, b in zip(mine, other, strict=True):
-                a |= b
-    out, at = [], 0
-    for k, n in enumerate(segment["n_words"].tolist()):
-        hits = int(hit[at : at + n].sum())
-        at += n
-        out.append((n, hits, len(items[k]), hashlib.sha256(",".join(sorted(items[k])).encode()).hexdigest(), len(near[k]), hits > 0 and 20 * hits >= n))
-    return out
+            for row, end, segment in segments(batch.column("text")):
+                one = pa.array([0, end - row], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, x) for x in (ids.slice(row, end - row), pa.array(segment["n_words"], pa.int64()))]
+                steps = {"terms": segment["terms"], "offsets": np.diff(segment["offsets"], prepend=0), "positions": np.diff(segment["positions"], prepend=0)}
+                yield pa.RecordBatch.from_arrays([*lists, *(pa.array([steps[k].astype(t).tobytes()], pa.binary()) for k, t in _ARRAYS.items())], names=["doc_ids", "n_words", *_ARRAYS])
 
+    schema = T.StructType([T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("n_words", T.ArrayType(T.LongType()))] + [T.StructField(k, T.BinaryType()) for k in _ARRAYS])
+    return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("segment", F.monotonically_increasing_id())
 
-def search(indexed: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, n_near_items, contaminated) of each document of an index.
 
-    items: (item_id, text), a stated query set that is sent to every task in passes of bounded size.  A document is
-    contaminated if occurrences of windows cover a twentieth of its words or more.  n_near_items counts the items with
-    a window whose words all stand at most `slop` words beside their place; 0 leaves that search out.
-    """
-    if size + 2 * slop > GAP:
-        raise ValueError(f"a window of {size} words with a slop of {slop} reaches over the gap of {GAP} words between documents")
-    shared = indexed.sparkSession.sparkContext.broadcast(_passes(items, size))
+def occurrences(indexed: DataFrame, windows: Windows, slop: int) -> DataFrame:
+    """(segment, nth, hits, items, near) of each document of a stored index that has matches; nth counts in its segment."""
+    shared = indexed.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for k in range(batch.num_rows):
                 segment = {name: np.frombuffer(batch.column(name)[k].as_py(), t) for name, t in _ARRAYS.items()}
-                rows = _verdicts(segment, shared.value, slop)
-                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, *(pa.array(c, t) for c, t in columns)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "n_near_items", "contaminated"])
+                for name in ("offsets", "positions"):
+                    segment[name] = np.cumsum(segment[name], dtype=np.int64)
+                segment["n_words"] = np.array(batch.column("n_words")[k].as_py(), np.int64)
+                number = batch.column("segment")[k].as_py()
+                rows += [(number, d, hits.tolist(), items, near) for d, hits, items, near in matches(segment, shared.value, slop)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["segment", "nth", "hits", "items", "near"])
+
+    return indexed.select("segment", "n_words", *_ARRAYS).mapInArrow(run, "segment long, nth int, hits array<int>, items array<string>, near array<string>")
+
 
-    kind = indexed.schema["doc_ids"].dataType.elementType.simpleString()
-    return indexed.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, n_near_items long, contaminated boolean")
+def search(indexed: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 2) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, n_near_items, contaminated) of each document of a stored index().
+
+    items: (item_id, text).  A document is contaminated if occurrences of windows cover a twentieth of its words or more.
+    n_near_items counts the items with a window whose words all stand at most `slop` words beside their place; 0 leaves
+    that search out.
+    """
+    if size + 2 * slop > GAP:
+        raise ValueError(f"a window of {size} words with a slop of {slop} reaches over the gap of {GAP} words between documents")
+    words = jobs.stored(item_words(items, size), "items")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    passes = max(1, -(-total // PASS_WORDS))
+    found = []
+    for k in range(passes):
+        held = words.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).orderBy("item_id", "words").collect()  # about PASS_WORDS words
+        found.append(occurrences(indexed, Windows.of([(r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in held], size), slop))
+    jobs.discard(words)
+    every = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hits", "items", "near")]
+    met = reduce(DataFrame.unionAll, found).groupBy("segment", "nth").agg(*every)
+    base = indexed.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("nth", "doc")).select("segment", "nth", "doc.doc_ids", "doc.n_words")
+    size_of = {c: F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("hits", "items", "near")}
+    digest = F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")).cast("binary"), 256)
+    contaminated = (size_of["hits"] > 0) & (20 * size_of["hits"] >= F.col("n_words"))
+    return base.join(met, ["segment", "nth"], "left").select(
+        F.col("doc_ids").alias("doc_id"), "n_words", size_of["hits"].alias("n_hit"), size_of["items"].alias("n_items"), digest.alias("items_sha256"), size_of["near"].alias("n_near_items"), contaminated.alias("contaminated")
+    )
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 2) -> DataFrame:
-    """search() over an index of docs that holds the postings of the items' words.
+    """search() over a stored index of docs, which is removed afterwards; the result is a stored table.
 
     docs has doc_id and text; a null or empty text has no words and is clean.  Repeated rows are judged each; items
     that are null, empty or repeated add nothing.  Without items or documents nothing is contaminated.
     """
-    return search(index(docs, _vocabulary(_passes(items, size))), items, size, slop)
+    indexed = jobs.stored(index(docs), "index", compression="zstd")
+    found = jobs.stored(search(indexed, items, size, slop), "contamination")
+    jobs.discard(indexed)
+    return found
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns; each batch is indexed and searched in place.
+    """The rows of docs that are not contaminated, with all their columns.
 
-    Proximity matches don't make a document contaminated, so they are not searched here.
+    The text alone decides, so texts stand for their rows.  Proximity matches don't make a document contaminated, so they
+    are not searched here.
     """
-    jobs.small_batches(docs.sparkSession)
-    passes = _passes(items, size)
-    shared = docs.sparkSession.sparkContext.broadcast((passes, _vocabulary(passes)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [not v[-1] for _, _, segment in segments(batch.column("text"), shared.value[1]) for v in _verdicts(segment, shared.value[0], 0)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    key = F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text"))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), items, size, 0)
+    lost = found.where("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    return docs.join(lost, key == F.col("__text"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
