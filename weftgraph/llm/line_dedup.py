@@ -5,8 +5,9 @@ so and both have LEAST characters or more.  A line is dropped wherever an earlie
 line number, is the same; blank lines are kept.
 
 1. Equal lines meet under two 64-bit hashes; only their earliest place goes on.
-2. Lines one edit apart agree in the first or the second half of their common length.  Lines that share no half with
-   another line have no near line and go no further; a Bloom filter of the others lets the text scan pass them alone.
+2. Lines one edit apart agree in the first or the second half of their common length.  Distinct lines that share no half
+   with another line have no near line and go no further; a Bloom filter of the others, where they are few enough to send
+   it to all tasks, lets the text scan pass them alone.
 3. The rest emit their deletion neighbourhood, the line and each variant with one character less, as hashed keys.
    Equal keys with the same place deleted are substitutions; a key that is itself a line is an insertion.  Each key
    needs its earliest line only, so no pairs are formed; the edit distance to that line is then verified on the texts.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import jobs, textkit
 from weftgraph.llm.textkit import U
 
-#: Characters from which an edit is allowed; blocks of 64 bits of the Bloom filter at most (16 bytes each).
+#: Characters from which an edit is allowed; blocks of 64 bits, each for four lines, up to which a Bloom filter is sent to
+#: all tasks (16 bytes each).
 LEAST, BLOCKS = 16, 1 << 20
 
 
@@ -58,20 +60,31 @@ def _variants(cases: DataFrame) -> DataFrame:
     return cases.select("doc_id", "line_no", "h1", "h2", "line").mapInArrow(run, f"v long, p int, doc_id {kind}, line_no int, h1 long, h2 long")
 
 
+def _halves() -> list[Column]:
+    """Keys of both halves of a line under its own length and under one less; lines one edit apart share one of them."""
+    keys = []
+    for size in (F.col("n") - 1, F.col("n")):
+        half = F.floor(size / 2).cast("int")
+        keys += [F.xxhash64(size, F.lit(0), F.substring("line", F.lit(1), half)), F.xxhash64(size, F.lit(1), F.substring("line", F.col("n") - size + half + 1, size - half))]
+    return keys
+
+
 def near_lines(every: DataFrame, firsts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h1, h2) of the distinct lines that are one edit from an earlier line."""
+    """(h1, h2) of the distinct lines that are one edit from an earlier line.
+
+    firsts: a stored row (h1, h2, doc_id, line_no, halves) for each distinct line.
+    """
     spark = every.sparkSession
     long = every.where(F.col("n") >= least)
-    halves = []
-    for size in (F.col("n") - 1, F.col("n")):
-        half = F.floor(size / 2).cast("int")
-        halves += [F.xxhash64(size, F.lit(0), F.substring("line", F.lit(1), half)), F.xxhash64(size, F.lit(1), F.substring("line", F.col("n") - size + half + 1, size - half))]
-    keyed = long.select("h1", "h2", F.explode(F.array(*halves)).alias("half")).repartition(jobs.partitions(spark), "half")
-    least_line, most_line = F.min(F.struct("h1", "h2")), F.max(F.struct("h1", "h2"))
-    shared = keyed.groupBy("half").agg(least_line.alias("a"), most_line.alias("b")).where("a <> b").select("half")
+    keyed = firsts.select("h1", "h2", F.explode("halves").alias("half"))
+    # minima and maxima of numbers are combined before the shuffle, so a frequent half is a row a task
+    shared = keyed.groupBy("half").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("h1", "h2")])
+    shared = jobs.stored(shared.where("least_h1 <> most_h1 or least_h2 <> most_h2").select("half"), "shared")
     cases = jobs.stored(keyed.join(shared, "half", "left_semi").select("h1", "h2").distinct(), "cases")
+    jobs.discard(shared)
+    count = cases.count()
     blocks = 1
-    while blocks < min(BLOCKS, cases.count() // 4):
+    while blocks < count // 4:
         blocks *= 2
 
     def block(h1: str) -> Column:
@@ -81,10 +94,13 @@ def near_lines(every: DataFrame, firsts: DataFrame, least: int = LEAST) -> DataF
         bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", F.col(h2), F.lit(6 * k)).bitwiseAND(F.lit(63).cast("bigint")).cast("int")) for k in range(5)]
         return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3]).bitwiseOR(bits[4])
 
-    bloom = F.broadcast(cases.groupBy(block("h1").alias("block")).agg(F.bit_or(mask("h2")).alias("bits")))
-    passed = long.select("h1", "h2", "line").withColumn("block", block("h1")).join(bloom, "block").where(F.col("bits").bitwiseAND(mask("h2")) == mask("h2"))
+    passed = long.select("h1", "h2", "line")
+    if blocks <= BLOCKS:
+        bloom = F.broadcast(cases.groupBy(block("h1").alias("block")).agg(F.bit_or(mask("h2")).alias("bits")))
+        passed = passed.withColumn("block", block("h1")).join(bloom, "block").where(F.col("bits").bitwiseAND(mask("h2")) == mask("h2"))
     texts = passed.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(cases, ["h1", "h2"], "left_semi").join(firsts, ["h1", "h2"])
     texts = jobs.stored(texts.select("h1", "h2", "line", "doc_id", "line_no"), "lines")
+    jobs.discard(cases)
     variants = _variants(texts).repartition(jobs.partitions(spark), "v").withColumn("me", F.struct("doc_id", "line_no", "h1", "h2"))
     itself = F.col("p") == -1
     same_place, same_key = Window.partitionBy("v", "p"), Window.partitionBy("v")
@@ -108,11 +124,16 @@ def dropped(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     jobs.small_batches(docs.sparkSession)
     every = lines(docs)
-    places = every.select("doc_id", "line_no", "h1", "h2")
-    firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("h1", "h2", "first.doc_id", "first.line_no")
-    firsts = jobs.stored(firsts, "firsts")
+    halves = [F.when(F.col("n") >= least, key).alias(f"half{k}") for k, key in enumerate(_halves())]
+    first = [F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), *[F.min(f"half{k}").alias(f"half{k}") for k in range(len(halves))]]
+    firsts = every.select("doc_id", "line_no", "h1", "h2", *halves).groupBy("h1", "h2").agg(*first)
+    firsts = jobs.stored(firsts.select("h1", "h2", "first.doc_id", "first.line_no", "times", F.array_compact(F.array(*[f"half{k}" for k in range(len(halves))])).alias("halves")), "firsts")
     near = near_lines(every, firsts, least).withColumn("near", F.lit(True))
-    kept = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    # a stored table, so that the places of a frequent line can be split among tasks
+    kept = firsts.join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    kept = jobs.stored(kept, "repeated")
+    jobs.discard(firsts)
+    places = every.select("doc_id", "line_no", "h1", "h2")
     lost = places.join(kept, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
     return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
