@@ -3,10 +3,12 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams, sorted.  Equal sets are one class, and only one
 set of each class takes part.  The join works in four steps, each of them linear in what it ships:
 
-1. *Tiles.*  Sets that are similar enough share one of their first `n - ceil(threshold * n) + 1` hashes in hash order.
-   Tasks send these hashes, packed, to key ranges; each key held by two sets or more gives a tile of its sets, cut into
-   size bands that no similar pair can straddle.  Tiles with the same members count once; a tile beyond TILE members is
-   dealt into blocks, and each pair of blocks whose sizes are compatible is a tile of its own.
+1. *Tiles.*  Sets that are similar enough share one of their first `n - ceil(threshold * n) + 1` hashes, in hash order with
+   the corpus's frequent shingles last.  Tasks send these hashes, packed, to key ranges; a frequent one that is still in a
+   prefix goes out under a key for each pair of blocks of its sets, so no task gets all of them.  Each key held by two
+   sets or more gives a tile of its sets, cut into size bands that no similar pair can straddle.  Tiles with the same
+   members count once; a tile beyond TILE members is dealt into blocks, and each pair of blocks whose sizes are
+   compatible is a tile of its own.
 2. *Bitmaps.*  In a tile, popcount(xor) of two parity bitmaps bounds the symmetric difference from below and so the
    overlap from above.  A spanning forest of the pairs that pass keeps their connectivity with fewer rows than members.
 3. *Clusters.*  Components of that forest gather the sets that have to meet; each set travels once, not once a pair.
@@ -20,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import jobs, textkit
 
 #: Sets in a tile, and sets or hashes in a cluster, before they are dealt into blocks (all pairs of blocks are joined).
 TILE, CLUSTER, SHINGLES = 2048, 16384, 4_000_000
+#: Shingles among which frequent ones are looked for at once, and frequent ones known to all tasks (16 bytes each).
+COUNTED, FREQUENT = 1_000_000, 100_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -114,25 +118,90 @@ def _set_hash(values: np.ndarray) -> int:
     return int(textkit.mix(both).view(np.int64)[0])
 
 
+def text_key() -> Column:
+    """Stands for a row's text where doc_ids repeat or are null."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _frequent(sets: list[np.ndarray]) -> bytes:
+    """(shingle, sets that have it) of the shingles that at least 8 and a 32nd of the sets have."""
+    keys, times = np.unique(np.concatenate(sets), return_counts=True)
+    often = times >= max(8, len(sets) // 32)
+    return np.stack([keys[often], times[often].astype(np.uint64)], axis=1).tobytes()
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, set_id, n, bitmap) of each row; set_id is null for an empty set."""
+    """(doc_id, text_key, set_id, n, bitmap, frequent) of each row; set_id is null for an empty set.
+
+    frequent has the shingles that many of the different sets of neighbouring rows have, with their counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, maps = [], [], []
-            for _, values in textkit.shingle_sets(batch.column("text"), shingle):
+            ids, sizes, maps, frequent = [], [], [], [None] * batch.num_rows
+            held: dict[int, np.ndarray] = {}
+            total = 0
+            for row, values in textkit.shingle_sets(batch.column("text"), shingle):
                 sizes.append(len(values))
                 ids.append(_set_hash(values) if len(values) else None)
                 maps.append(bitmap(values, int(width(len(values), 2))).tobytes() if len(values) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "set_id", "n", "bitmap"])
+                if len(values) and ids[-1] not in held:
+                    held[ids[-1]] = values
+                    total += len(values)
+                if held and (total > COUNTED or row == batch.num_rows - 1):
+                    frequent[row] = _frequent(list(held.values())) or None
+                    held, total = {}, 0
+            columns = zip((ids, sizes, maps, frequent), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(c, t) for c, t in columns)], names=["doc_id", "text_key", "set_id", "n", "bitmap", "frequent"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, set_id long, n long, bitmap binary, frequent binary"
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, schema)
+
+
+def frequent_shingles(signs: DataFrame) -> np.ndarray:
+    """Rows (shingle, times), by shingle, of the FREQUENT most frequent ones among those that signatures() met often.
+
+    They go last in the order of shingles, so that a passage of many documents is in few prefixes.  Any list gives the
+    same links, as every task has the same one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = np.frombuffer(b"".join(batch.column("frequent").to_pylist()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "times"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id long, n long, bitmap binary")
+    counts = signs.where("frequent is not null").select("frequent").mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
+    rows = counts.orderBy(F.desc("times"), "key").limit(FREQUENT).collect()
+    found = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2).view(np.uint64)
+    return found[np.argsort(found[:, 0])]
 
 
-def tiles(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def tiles(docs: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(tile, members): sets that share a prefix hash, in size bands; members are set_ids."""
     spark = docs.sparkSession
     ranges = 4 * jobs.partitions(spark)
+    shared = spark.sparkContext.broadcast(frequent)
+    half = TILE // 2
+
+    def prefix(values: np.ndarray, own: int) -> np.ndarray:
+        """The first hashes of a set, the frequent ones last; one that blocks of sets share is a key for each pair of blocks."""
+        count, known = prefix_length(len(values), percent), shared.value
+        if not len(known):
+            return values[:count]
+        at = np.searchsorted(known[:, 0], values)
+        at[at == len(known)] = 0
+        often = known[at, 0] == values
+        first = values[~often][:count]
+        if len(first) == count:
+            return first
+        keys, times = values[often], known[at[often], 1]
+        order = np.argsort(times, kind="stable")[: count - len(first)]
+        parts = [first]
+        for key, blocks in zip(keys[order], -(-times[order].astype(np.int64) // half), strict=True):
+            mine, each = own % int(blocks), np.arange(blocks)
+            pairs = np.minimum(each, mine) * blocks + np.maximum(each, mine)
+            parts.append(textkit.mix(key + textkit.U(0x9E3779B97F4A7C15) * (pairs.astype(np.uint64) + textkit.U(1))) if blocks > 1 else np.array([key]))
+        return np.concatenate(parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +210,8 @@ def tiles(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 if not len(values) or (own := _set_hash(values)) in seen:
                     continue
                 seen.add(own)
-                count = prefix_length(len(values), percent)
-                keys.append(values[:count])
-                owner.append(np.full(count, len(ids), np.int32))
+                keys.append(prefix(values, own))
+                owner.append(np.full(len(keys[-1]), len(ids), np.int32))
                 ids.append(own)
                 sizes.append(len(values))
             if not ids:
@@ -184,7 +252,6 @@ def tiles(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             if b - a <= TILE:
                 add(ids[a:b])
                 continue
-            half = TILE // 2
             blocks = [(x, min(x + half, b)) for x in range(a, b, half)]
             for p, (x, y) in enumerate(blocks):
                 for u, v in blocks[p:]:
@@ -218,16 +285,17 @@ def plausible(tiled: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 def verified(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) of spanning forests of the truly similar pairs in each cluster.
 
-    members: (doc_id, set_id, root, n), one document for each set of a cluster.
+    members: (doc_id, text_key, set_id, root, n), one row of docs for each set of a cluster.
     """
     spark = docs.sparkSession
     counts = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum("n") / SHINGLES)).cast("int").alias("parts"))
-    counts = counts.select("root", F.when(F.col("parts") <= 1, 1).otherwise(2 * F.col("parts")).alias("parts"))
+    # stored, as are other sides of joins here, so that the rows of one key can be split among tasks
+    counts = jobs.stored(counts.select("root", F.when(F.col("parts") <= 1, 1).otherwise(2 * F.col("parts")).alias("parts")), "parts")
     dealt = members.join(counts, "root").withColumn("part", F.expr("cast(pmod(xxhash64(set_id), parts) as int)"))
     # a set goes to the pairs of its block with each block, its own among them where there is only one
     pairs = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) as i, greatest(p, part) as j))")
     dealt = dealt.withColumn("pair", F.explode(pairs)).where("parts = 1 or pair.i <> pair.j")
-    dealt = dealt.select("doc_id", "set_id", F.xxhash64("root", "pair.i", "pair.j").alias("block"), "n")
+    dealt = dealt.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "set_id", F.xxhash64("root", "pair.i", "pair.j").alias("block"), "n")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -245,36 +313,76 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, percent: int) ->
                 if blocks[row] != block:
                     yield from links()
                     block, held = blocks[row], []
-                held.append((ids[row], values))
+                if not held or held[-1][0] != ids[row]:  # rows may repeat
+                    held.append((ids[row], values))
         yield from links()
 
-    sized = dealt.hint("shuffle_hash").join(docs.select("doc_id", "text"), "doc_id")
+    keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
+    sized = dealt.hint("shuffle_hash").join(keyed, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")))
     sized = sized.repartition(jobs.partitions(spark), "block").sortWithinPartitions("block", "n", "set_id")
     return sized.select("block", "set_id", "text").mapInArrow(intersect, "a long, b long")
 
 
+def classified(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, set_id, n) of each row, and (set_id, component_id, keeper) of each set that isn't empty; both stored.
+
+    keeper is the first row (doc_id, nulls last, then text_key) of the set's component.
+    """
+    jobs.small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    signs = jobs.stored(signatures(docs, shingle), "signatures")
+    full = signs.where("set_id is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    classes = jobs.stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min(row).alias("first"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "classes")
+    clusters = jobs.components(plausible(tiles(docs, shingle, percent, frequent_shingles(signs)), classes.select("set_id", "n", "bitmap"), percent))
+    members = jobs.stored(classes.join(clusters.withColumnRenamed("node", "set_id"), "set_id").select("first.doc_id", "first.text_key", "set_id", "root", "n"), "members")
+    jobs.discard(clusters)
+    links = jobs.components(verified(docs, members, shingle, percent))
+    jobs.discard(members)
+    rooted = jobs.stored(classes.join(links.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "root", "first_doc", "first"), "rooted")
+    names = jobs.stored(rooted.groupBy("root").agg(F.min("first_doc").alias("component"), F.min("first").alias("keeper")), "names")
+    named = rooted.join(names, "root").select("set_id", "component", "keeper")
+    home = classes.join(named, "set_id", "left").select("set_id", F.coalesce("component", "first_doc").alias("component_id"), F.coalesce("keeper", "first").alias("keeper"))
+    home = jobs.stored(home, "homes")
+    for done in (links, rooted, names, classes):
+        jobs.discard(done)
+    return signs.select("doc_id", "text_key", "set_id", "n"), home
+
+
 def join(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs, by links of Jaccard similarity >= percent / 100.
 
     docs has doc_id and text; other columns are not read.  A text of fewer than `shingle` words is one shingle; a null
     text, an empty one or one of white space has the empty set, links with nothing and is its own component.  Rows of
     equal sets are one class, so repeated rows and exact copies share a component.  component_id is the smallest
-    doc_id reachable by links, nulls apart.  An empty table gives an empty table.
+    doc_id reachable by links, nulls apart.  Rows that share a doc_id but not their text are judged each by its own text.
+    An empty table gives an empty table.
     """
-    jobs.small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    signs = jobs.stored(signatures(docs, shingle), "signatures")
-    full = signs.where("set_id is not null")
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"))
-    one = full.groupBy("set_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    clusters = jobs.components(plausible(tiles(docs, shingle, percent), one, percent))
-    members = classes.join(clusters.withColumnRenamed("node", "set_id"), "set_id").select(F.col("first_doc").alias("doc_id"), "set_id", "root", "n")
-    links = jobs.components(verified(docs, members.where("doc_id is not null"), shingle, percent))
-    rooted = classes.join(links.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "root", "first_doc")
-    names = rooted.groupBy("root").agg(F.min("first_doc").alias("component"))
-    named = rooted.join(names, "root").select("set_id", "component")
-    home = classes.join(named, "set_id", "left").select("set_id", F.coalesce("component", "first_doc").alias("component_id"))
-    return signs.join(home, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    signs, home = classified(docs, shingle, percent)
+    return signs.join(home.drop("keeper"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs less near copies: of each component the row of the smallest doc_id, null last.
+
+    Where rows of a component share that doc_id, one of them stays, even if they are equal.  Rows of an empty set stay.
+    """
+    signs, home = classified(docs, shingle, percent)
+    keeps = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key") == F.col("keeper")
+    judged = signs.join(home, "set_id").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"), keeps.alias("__keeps"))
+    judged = jobs.stored(judged, "judged")
+    jobs.discard(home)
+    same = text_key() == F.col("__text")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & same
+    rest = docs.join(judged.where("not __keeps").select("__doc", "__text").distinct(), same, "left_anti")
+    twins = judged.where("__keeps").groupBy("__doc", "__text").agg(F.count("*").alias("n")).where("n > 1").select("__doc", "__text")
+    twins = jobs.stored(twins, "twins")
+    if twins.isEmpty():
+        return rest
+    # equal rows are numbered when they are written, so a second run of a task can't choose another
+    equal = jobs.stored(rest.join(twins, same).withColumn("__n", F.monotonically_increasing_id()), "equal")
+    one = equal.groupBy("__doc", "__text").agg(F.min("__n").alias("__first")).select("__first")
+    return rest.join(twins, same, "left_anti").unionByName(equal.join(one, F.col("__n") == F.col("__first")).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
