@@ -14,15 +14,20 @@ from weftgraph.llm import decontamination, jobs, language_id, mixing, ngram_join
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows to which the model, fitted on the labelled rows of docs, gives a language; null and letterless texts go."""
+    """Rows to which the model, fitted on the labelled rows of docs, gives a language; null and letterless texts go.
+
+    Without labelled rows there is no model, and rows with a letter stay.
+    """
     model = language_id.trained(docs)
-    return language_id.predictions(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predictions(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score")}), model).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.drop("lang_pred", "score").withColumnsRenamed({f"__{c}": c for c in ("lang_pred", "score")}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document of the smallest doc_id; rows without a doc_id stay."""
-    others = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near duplicates the row of the smallest doc_id, null last; one row where rows are equal."""
+    return ngram_join.without_near_copies(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
