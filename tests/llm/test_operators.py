@@ -68,28 +68,49 @@ def brute_mix(rows: list[tuple], weights=(3, 1, 2), share=1.5, repeats=2) -> dic
         capped = over
     target = {s: min(float(repeats * sizes[s]), level * weight[s]) for s in order}
     entries, upto = [], defaultdict(int)
-    for unit in sorted(units, key=lambda u: (hashlib.md5(str(u[0]).encode()).hexdigest(), u[0], u[2])):
-        upto[unit[1]] += unit[2] * units[unit]
-        entries += [((e * sizes[unit[1]] + upto[unit[1]]) / weight[unit[1]], order.index(unit[1]), hashlib.md5(str(unit[0]).encode()).hexdigest(), unit) for e in range(repeats)]
+    keyed = [(hashlib.md5((str("" if u[0] is None else u[0]) + f"#{p}" * (p > 0)).encode()).hexdigest(), u, p) for u in units for p in range(units[u])]
+    for key, unit, part in sorted(keyed, key=lambda x: (x[0], x[1][0] is not None, x[1][0] or 0, x[1][2])):
+        upto[unit[1]] += unit[2]
+        entries += [((e * sizes[unit[1]] + upto[unit[1]]) / weight[unit[1]], order.index(unit[1]), key, unit, part) for e in range(repeats)]
     taken, total = Counter(), 0
-    for _, _, _, unit in sorted(entries, key=lambda x: x[:3]):
-        total += unit[2] * units[unit]
+    for _, _, _, unit, part in sorted(entries, key=lambda x: x[:3]):
+        total += unit[2]
         if total > budget:
             break
-        taken[unit] += 1
-    return {u: (sizes[u[1]], target[u[1]], taken[u]) for u in units}
-
-
-def test_mixing(docs, empty):
-    want = brute_mix(corpus())
-    got = {(r["doc_id"], r["source"], r["size"]): (r["source_size"], r["target"], r["copies"]) for r in mixing.mix(docs).collect()}
-    assert got == want
-    rows = mixing.mixed(docs).collect()
-    assert rows and set(rows[0].asDict()) == set(docs.columns)
-    counts = Counter((r["doc_id"], r["source"], len(word_list(r["text"]))) for r in rows)
-    once = Counter((r[0], r[3], len(word_list(r[1]))) for r in corpus())
-    assert counts == Counter({u: want[u][2] * once[u] for u in once if want[u][2]})
-    assert mixing.mix(empty).count() == 0
+        taken[unit, part] += 1
+    return {(u, p): (sizes[u[1]], target[u[1]], taken[u, p]) for _, u, p in keyed}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_mixing(spark, docs, empty, repeated):
+    rows = corpus()
+    if repeated:  # a third of the rows are one row, and many have no doc_id
+        rows = rows + [(77, "again and again and again", "en", "copies", "x", 7, None)] * 40 + [(None, "no id " * k, "en", "copies", "x", 7, None) for k in (1, 1, 2, 3)]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_mix(rows)
+    got = Counter((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6), r["copies"]) for r in mixing.mix(docs).collect())
+    assert got == Counter((*u, size, round(target, 6), copies) for (u, _), (size, target, copies) in want.items())
+    found = mixing.mixed(docs).collect()
+    assert found and set(found[0].asDict()) == set(docs.columns)
+    counts = Counter((r["doc_id"], r["source"], len(word_list(r["text"]))) for r in found)
+    copies = Counter()
+    for (u, _), (_, _, n) in want.items():
+        copies[u] += n
+    assert counts == +copies
+    spent = sum(n * u[2] for u, n in counts.items())
+    total = sum(u[2] * n for u, n in Counter((r[0], r[3], len(word_list(r[1]))) for r in rows).items())
+    assert 1.5 * total - max(len(word_list(r[1])) for r in rows) <= spent <= 1.5 * total
+    # in the merged order, no source runs ahead of its weight before one of them is dry
+    firsts = {(r["source"], r["doc_id"], r["size"]): r["finish"] for r in mixing.mix(docs).where("rows = 1").collect()}
+    if not repeated:
+        seen, finish = set(), []
+        for r in found:
+            unit = (r["source"], r["doc_id"], len(word_list(r["text"])))
+            if unit not in seen:
+                seen.add(unit)
+                finish.append(firsts[unit])
+        assert finish == sorted(finish)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
 # 2

@@ -2,11 +2,11 @@
 
 Each source is a queue that holds its documents `repeats` times over, in a shuffled order fixed by a hash.  The virtual
 finish time of a document is the words of its source up to its end, divided by the weight of the source.  All queues are
-merged by finish time and the merged order is cut where the total budget is spent.  A source that runs dry leaves its
-share to the others in proportion to their weights, which is the resharing that the targets describe.
+merged by a global range sort on finish time, and the merged order is cut where the total budget is spent.  A source that
+runs dry leaves its share to the others in proportion to their weights, which is the resharing that the targets describe.
 
-No task sees a whole source: running sums are taken in hash buckets of a source and shifted by the sums of the buckets
-before, and the merged order is cut in ranges of finish time of which only the range that holds the cut is sorted.
+No task sees a whole source: running sums are taken in hash buckets of a source, or in ranges of the merged order, and
+shifted by the sums of the buckets or ranges before.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import jobs
 
-#: Rows aimed at in a bucket or range.
-ROWS = 20_000
+#: Rows aimed at in a bucket, and units that rows of one (doc_id, source, size) are at most.
+ROWS, PARTS = 20_000, 1000
 WEIGHTS = (3, 1, 2)
 
 
@@ -47,82 +47,117 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", "rank", "weight", target.alias("target")), budget, level
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """(doc_id, source, size, rows, source_size, target, copies, finish): one row for each (doc_id, source, size) of docs.
+def queue(docs: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> tuple[DataFrame, float]:
+    """Stored units of docs with their place in the queue of their source, and the budget.
 
-    docs has doc_id, text and source; other columns are not read.  `rows` counts equal rows; they are queued together
-    and share their copies, so the result joins back to docs on the three columns.  `copies` is how often the mix takes
-    the document, 0 to repeats, and `finish` its first finish time.  Null texts have size 0; a null source is a source
-    of its own; null doc_ids are queued like others.  An empty table gives an empty result.
+    A unit is a row of docs.  Rows of one (doc_id, source, size) are one unit each too, numbered by `part`, up to PARTS of
+    them; beyond, each of PARTS units has a PARTS-th of the rows.
     """
-    spark = docs.sparkSession
-    units = docs.select("doc_id", "source", words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
-    units = jobs.stored(units.withColumn("shuffle_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "units")
+    groups = docs.select("doc_id", "source", words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    parts = F.least("n", F.lit(PARTS))
+    units = groups.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    units = units.withColumn("rows", F.floor(F.col("n") / F.col("parts")) + (F.col("part") < F.col("n") % F.col("parts")).cast("long"))
+    key = F.when(F.col("part") == 0, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).otherwise(F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("part")))
+    units = jobs.stored(units.withColumn("shuffle_key", F.md5(key)), "units")
+    size = F.col("size") * F.col("rows")
     count = units.count()
     digits = max(0, math.ceil(math.log(max(1, count / ROWS), 16)))
-    table, budget, level = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, share, repeats)
+    table, budget, _ = targets(units.groupBy("source").agg(F.sum(size).alias("source_size")), weights, share, repeats)
+    table = jobs.stored(table, "targets")
     units = units.withColumn("bucket", F.substring("shuffle_key", 1, digits))
     # running words of each source: sums of the buckets before, then inside the bucket
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = units.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("rows")).alias("bucket_size")).withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
+    offsets = units.groupBy("source", "bucket").agg(F.sum(size).alias("bucket_size")).withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     offsets = offsets.join(table.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named", "bucket_size")
     offsets = offsets.withColumnsRenamed({"source": "of_source", "bucket": "of_bucket"})
     inside = Window.partitionBy("source", "bucket").orderBy("shuffle_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = units.withColumn("inside", F.sum(F.col("size") * F.col("rows")).over(inside))
+    queued = units.withColumn("inside", F.sum(size).over(inside))
     queued = queued.join(offsets, (F.col("bucket") == F.col("of_bucket")) & F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source", "of_bucket")
     queued = queued.withColumn("end", F.col("offset") + F.col("inside"))
-    queued = jobs.stored(queued.select("doc_id", "source", "size", "rows", "source_size", "target", "rank", "weight", "shuffle_key", "end"), "queued")
-
-    def finish(epoch: Column) -> Column:
-        return (epoch * F.col("source_size") + F.col("end")).cast("double") / F.col("weight")
-
-    # the merged order in ranges of finish time; what lies beyond twice the fair level shares the last range
-    ranges = max(1, count // ROWS)
-    entries = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch")).withColumn("finish", finish(F.col("epoch")))
-    entries = entries.withColumn("range", F.least(F.lit(2 * ranges), F.floor(F.col("finish") * ranges / (level or 1.0))))
-    sums = entries.groupBy("range").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
-    upto = sums.withColumn("until", F.sum("words").over(Window.orderBy("range")))
-    held = upto.where(F.col("until") > budget).orderBy("range").first()
-    first = F.col("finish")
-    if held is None:
-        copies = F.lit(repeats)
-    else:
-        left = budget - float(held["until"] - held["words"])
-        order = [F.col(c) for c in ("finish", "rank", "shuffle_key", "doc_id", "size")]
-        running = F.sum(F.col("size") * F.col("rows")).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        last = entries.where(F.col("range") == held["range"]).withColumn("running", running).where(F.col("running") > left).orderBy("running").first()
-        # the first entry that would go over the budget, and all after it, stay out
-        key = (last["finish"], last["rank"], last["shuffle_key"])
-
-        def taken(epoch: int) -> Column:
-            at = finish(F.lit(epoch))
-            mine, cut = F.struct(at.alias("f"), F.col("rank").alias("r"), F.col("shuffle_key").alias("k")), F.struct(F.lit(key[0]).alias("f"), F.lit(key[1]).alias("r"), F.lit(key[2]).alias("k"))
-            return (mine < cut).cast("int")
-
-        copies = sum((taken(e) for e in range(repeats)), F.lit(0))
-    return queued.select("doc_id", "source", "size", "rows", "source_size", "target", copies.cast("int").alias("copies"), finish(F.lit(0)).alias("finish"))
-
-
-def mixed(docs: DataFrame, **parameters: object) -> DataFrame:
-    """The rows that the mix takes, each as often as it takes them, with the columns of docs."""
-    chosen = mix(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    sized = docs.withColumn("__words", words(F.col("text")))
-    joined = sized.join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = ["doc_id", "source", "size", "parts", "part", "rows", "source_size", "target", "rank", "weight", "shuffle_key", "end"]
+    queued = jobs.stored(queued.select(*kept), "queued")
+    jobs.discard(units)
+    return queued, budget
+
+
+def merged(queued: DataFrame, budget: float, repeats: int) -> DataFrame:
+    """The stored entries (a unit's columns, epoch, finish, rank, shuffle_key) that the budget has room for.
+
+    Entries are sorted into ranges of the whole order.  The first entry that would go over the budget, and all after it,
+    stay out.
+    """
+    order = [F.col(c) for c in ("finish", "rank", "shuffle_key", "doc_id", "size", "part")]
+    finish = (F.col("epoch") * F.col("source_size") + F.col("end")).cast("double") / F.col("weight")
+    entries = queued.select("doc_id", "source", "size", "parts", "part", "rows", "rank", "weight", "shuffle_key", "source_size", "end", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch"))
+    entries = entries.withColumn("finish", finish).drop("weight", "source_size", "end")
+    ranged = jobs.stored(entries.repartitionByRange(jobs.partitions(queued.sparkSession), *order).withColumn("range", F.spark_partition_id()), "entries")
+    size = F.col("size") * F.col("rows")
+    # a row for each range
+    before = F.coalesce(F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = ranged.groupBy("range").agg(F.sum(size).alias("words")).select(F.col("range").alias("of_range"), before.alias("shift"))
+    running = F.sum(size).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    taken = ranged.withColumn("running", running).join(F.broadcast(shifts), F.col("range") == F.col("of_range")).where(F.col("shift") + F.col("running") <= budget)
+    taken = jobs.stored(taken.drop("of_range", "shift", "running", "range"), "merged")
+    jobs.discard(ranged)
+    return taken
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """(doc_id, source, size, rows, source_size, target, copies, finish), a row for each unit of docs, see queue().
+
+    docs has doc_id, text and source; other columns are not read.  `copies` is how often the mix takes the rows of the
+    unit, 0 to repeats, and `finish` its first finish time.  Null texts have size 0; a null source is a source of its own;
+    null doc_ids are queued like others.  An empty table gives an empty result.
+    """
+    queued, budget = queue(docs, weights, share, repeats)
+    taken = merged(queued, budget, repeats).groupBy(F.col("shuffle_key").alias("of_key"), F.col("rank").alias("of_rank"), F.col("size").alias("of_size")).agg(F.count("*").alias("copies"))
+    same = (F.col("shuffle_key") == F.col("of_key")) & (F.col("rank") == F.col("of_rank")) & (F.col("size") == F.col("of_size"))
+    finish = F.col("end").cast("double") / F.col("weight")
+    return queued.join(taken, same, "left").select("doc_id", "source", "size", "rows", "source_size", "target", F.coalesce("copies", F.lit(0)).cast("int").alias("copies"), finish.alias("finish"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The rows that the mix takes, each as often as it takes them, with the columns of docs, sorted into the merged order."""
+    queued, budget = queue(docs, weights, share, repeats)
+    repeated = queued.where("parts > 1").select("doc_id", "source", "size", "parts").distinct()
+    entries = merged(queued, budget, repeats).select(*[F.col(c).alias(f"__of_{c}") for c in ("doc_id", "source", "size", "part", "finish", "rank", "shuffle_key")])
+    sized = docs.withColumn("__size", words(F.col("text"))).withColumn("__part", F.lit(0).cast("long"))
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in ("doc_id", "source")]
+    if not repeated.isEmpty():
+        twice = repeated.select(*[F.col(c).alias(f"__of_{c}") for c in ("doc_id", "source", "size", "parts")])
+        twin = same[0] & same[1] & (F.col("__size") == F.col("__of_size"))
+        # rows that can't be told apart are numbered when they are written: within a task, shifted by the tasks before it
+        equal = sized.join(twice, twin).drop("__of_doc_id", "__of_source", "__of_size").withColumns({"__task": F.spark_partition_id(), "__n": F.monotonically_increasing_id()})
+        equal = jobs.stored(equal, "equal")
+        group = [F.col("doc_id"), F.col("source"), F.col("__size")]
+        counts = equal.groupBy(*group, "__task").agg(F.count("*").alias("__rows"))
+        shift = F.coalesce(F.sum("__rows").over(Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        shifts = jobs.stored(counts.select(F.col("doc_id").alias("__a"), F.col("source").alias("__b"), F.col("__size").alias("__c"), F.col("__task").alias("__d"), shift.alias("__shift")), "shifts")
+        at = F.col("doc_id").eqNullSafe(F.col("__a")) & F.col("source").eqNullSafe(F.col("__b")) & (F.col("__size") == F.col("__c")) & (F.col("__task") == F.col("__d"))
+        own = F.row_number().over(Window.partitionBy(*group, "__task").orderBy("__n")) - 1
+        numbered = equal.withColumn("__own", own).join(shifts, at).withColumn("__part", (F.col("__own") + F.col("__shift")) % F.col("__of_parts"))
+        sized = sized.join(twice, twin, "left_anti").unionByName(numbered.select(*[F.col(f"`{c}`") for c in sized.columns]))
+    joined = sized.join(entries, same[0] & same[1] & (F.col("__size") == F.col("__of_size")) & (F.col("__part") == F.col("__of_part")))
+    order = [F.col(f"__of_{c}") for c in ("finish", "rank", "shuffle_key", "part")]
+    ranged = joined.repartitionByRange(jobs.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return ranged.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole `documents`, mixed to weights 3, 1, 2 of the sources in turn and 150 % of all words."""
+    """Whole `documents`, mixed to weights 3, 1, 2 of the sources in turn and 150 % of all words; finish is the first finish time."""
     found = mix(jobs.table(spark, sf_dir, "documents"))
     each = found.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "finish")
 
 
 ORACLE_SQL = r"""
-WITH units AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, count(*) AS n,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+WITH grouped AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, count(*) AS all_rows
   FROM documents GROUP BY ALL
+), units AS (
+  SELECT doc_id, source, size, p, all_rows // least(all_rows, 1000) + (p < all_rows % least(all_rows, 1000))::BIGINT AS n,
+         md5(coalesce(doc_id::VARCHAR, '') || CASE p WHEN 0 THEN '' ELSE '#' || p END) AS k
+  FROM grouped, unnest(range(least(all_rows, 1000))) AS t(p)
 ), sources AS (
   SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
@@ -144,13 +179,10 @@ WITH units AS (
 ), entries AS (
   SELECT *, (e * source_size + upto)::DOUBLE / weight AS finish FROM queued, (VALUES (0), (1)) epochs(e)
 ), merged AS (
-  SELECT *, sum(size * n) OVER (ORDER BY finish, rank, k, doc_id, size ROWS UNBOUNDED PRECEDING) AS running FROM entries
-), cut AS (
-  SELECT finish AS f, rank AS r, k AS ck FROM merged WHERE running > budget ORDER BY running LIMIT 1
+  SELECT *, sum(size * n) OVER (ORDER BY finish, rank, k, doc_id, size, p ROWS UNBOUNDED PRECEDING) AS running FROM entries
 ), chosen AS (
-  SELECT doc_id, source, size, n, source_size, target,
-         count(*) FILTER (WHERE (SELECT count(*) FROM cut) = 0 OR (finish, rank, k) < (SELECT (f, r, ck) FROM cut)) AS copies
+  SELECT doc_id, source, size, p, n, source_size, target, min(finish) AS finish, count(*) FILTER (WHERE running <= budget) AS copies
   FROM merged GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM chosen, unnest(range(n))
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, finish FROM chosen, unnest(range(n))
 """
