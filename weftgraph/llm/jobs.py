@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.storage import discard, shared_folder, stored
 
-__all__ = ["WORD", "components", "discard", "numbered", "partitions", "shared_folder", "small_batches", "stored", "table"]
+__all__ = ["WORD", "components", "discard", "numbered", "numbered_in_groups", "partitions", "shared_folder", "small_batches", "stored", "table"]
 
 #: Words of the contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,3 +78,20 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     shift = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
     return ranged.withColumn("__own", own).join(shift, "__range").withColumn(name, F.col("__own") + F.col("__shift")).drop("__range", "__own", "__shift")
+
+
+def numbered_in_groups(df: DataFrame, group: list[str], name: str) -> DataFrame:
+    """df with a gapless number from 0 in each group; null counts as a value.
+
+    The rows are written first, so that all later tasks agree on the numbers, of equal rows too.  No task sees a whole
+    group: rows are numbered within the task that wrote them and shifted by the counts of the tasks before it.
+    """
+    held = stored(df.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "rows")
+    counts = held.groupBy(*group, "__task").agg(F.count("*").alias("__rows"))
+    shift = F.coalesce(F.sum("__rows").over(Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [*group, "__task"]
+    shifts = stored(counts.select(*[F.col(c).alias(f"__key{k}") for k, c in enumerate(keys)], shift.alias("__shift")), "shifts")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__key{k}")) for k, c in enumerate(keys)))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy("__at")) - 1
+    numbered = held.withColumn("__own", own).join(shifts, same).withColumn(name, F.col("__own") + F.col("__shift"))
+    return numbered.drop("__task", "__at", "__own", "__shift", *[f"__key{k}" for k in range(len(keys))])

@@ -126,16 +126,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     if not repeated.isEmpty():
         twice = repeated.select(*[F.col(c).alias(f"__of_{c}") for c in ("doc_id", "source", "size", "parts")])
         twin = same[0] & same[1] & (F.col("__size") == F.col("__of_size"))
-        # rows that can't be told apart are numbered when they are written: within a task, shifted by the tasks before it
-        equal = sized.join(twice, twin).drop("__of_doc_id", "__of_source", "__of_size").withColumns({"__task": F.spark_partition_id(), "__n": F.monotonically_increasing_id()})
-        equal = jobs.stored(equal, "equal")
-        group = [F.col("doc_id"), F.col("source"), F.col("__size")]
-        counts = equal.groupBy(*group, "__task").agg(F.count("*").alias("__rows"))
-        shift = F.coalesce(F.sum("__rows").over(Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        shifts = jobs.stored(counts.select(F.col("doc_id").alias("__a"), F.col("source").alias("__b"), F.col("__size").alias("__c"), F.col("__task").alias("__d"), shift.alias("__shift")), "shifts")
-        at = F.col("doc_id").eqNullSafe(F.col("__a")) & F.col("source").eqNullSafe(F.col("__b")) & (F.col("__size") == F.col("__c")) & (F.col("__task") == F.col("__d"))
-        own = F.row_number().over(Window.partitionBy(*group, "__task").orderBy("__n")) - 1
-        numbered = equal.withColumn("__own", own).join(shifts, at).withColumn("__part", (F.col("__own") + F.col("__shift")) % F.col("__of_parts"))
+        equal = sized.join(twice, twin).drop("__of_doc_id", "__of_source", "__of_size")
+        numbered = jobs.numbered_in_groups(equal, ["doc_id", "source", "__size"], "__number").withColumn("__part", F.col("__number") % F.col("__of_parts"))
         sized = sized.join(twice, twin, "left_anti").unionByName(numbered.select(*[F.col(f"`{c}`") for c in sized.columns]))
     joined = sized.join(entries, same[0] & same[1] & (F.col("__size") == F.col("__of_size")) & (F.col("__part") == F.col("__of_part")))
     order = [F.col(f"__of_{c}") for c in ("finish", "rank", "shuffle_key", "part")]
