@@ -281,8 +281,40 @@ def test_sharding(spark, docs, empty):
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 50), st.integers(0, 50), st.integers(1, 5)), min_size=1, max_size=200), st.integers(1, 8))
 def test_pack_places_every_item(items, shards):
-    place = sharding.pack(np.array(items, float), shards)
-    assert len(place) == len(items) and place.min() >= 0 and place.max() < shards
+    sizes = np.array(items, float)
+    sizes /= np.where(sizes.sum(axis=0) > 0, sizes.sum(axis=0) / shards, 1)
+    left = np.ones((shards, 3))
+    place = sharding.pack(sizes, left)
+    # item by item, in plain Python
+    room, want = [[1.0] * 3 for _ in range(shards)], {}
+    for k in sorted(range(len(items)), key=lambda k: (-max(sizes[k]), k)):
+        fits = [s for s in range(shards) if all(room[s][d] >= sizes[k][d] - 1e-12 for d in range(3))]
+        dots = {s: sum(room[s][d] * sizes[k][d] for d in range(3)) for s in fits} or {s: min(room[s]) for s in range(shards)}
+        want[k] = dots
+        at = int(place[k])
+        assert at in dots and dots[at] >= max(dots.values()) - 1e-9
+        room[at] = [r - x for r, x in zip(room[at], sizes[k], strict=True)]
+    assert len(want) == len(place) == len(items) and np.allclose(left, room)
+
+
+def test_sharding_of_hot_and_odd_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    # a third of the rows are one row, many others share a doc_id or have none, and columns clash
+    rows = [(7, "same row " * 4)] * 900 + [(None, f"null {k} " * int(rng.integers(1, 9))) for k in range(300)] + [(8, f"eight {k}") for k in range(300)] + [(k, "y" * int(rng.integers(1, 300))) for k in range(1500)]
+    monkeypatch.setattr(sharding, "GROUPS", 200)
+    monkeypatch.setattr(sharding, "ROWS", 50)
+    table = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, pieces int, shard int, of_group int, tokens int").repartition(4)
+    found = sharding.shard(table, 6).collect()
+    assert Counter((r["doc_id"], r["text"], r["pieces"], r["of_group"], r["tokens"]) for r in found) == Counter((*r, 1, 3, 4) for r in rows)
+    sizes, counts, words, slots = Counter(), Counter(), Counter(), defaultdict(list)
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        counts[r["shard"]] += 1
+        words[r["shard"]] += len(word_list(r["text"]))
+        slots[r["shard"]].append(r["slot"])
+    for sums in (sizes, counts, words):
+        assert len(sums) == 6 and max(sums.values()) < 1.1 * min(sums.values()), sums
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 # 7
