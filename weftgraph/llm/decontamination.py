@@ -288,7 +288,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole `documents` against all of `benchmark`: the columns of the SQL, and n_near_items, which it doesn't have."""
+    """Whole `documents` against all of `benchmark`."""
     return contamination(jobs.table(spark, sf_dir, "documents"), jobs.table(spark, sf_dir, "benchmark"))
 
 
@@ -298,7 +298,7 @@ WITH doc AS (
 ), item AS (
   SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), test_window AS (
-  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS phrase
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS phrase, w[i:i + least(len(w), 13) - 1] AS words
   FROM item, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0
 ), doc_window AS (
   SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
@@ -307,10 +307,26 @@ WITH doc AS (
   SELECT DISTINCT doc_id, i, size, item_id FROM doc_window JOIN test_window USING (size, phrase)
 ), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id
+), posting AS (
+  SELECT doc_id, w[p] AS word, p FROM doc, unnest(range(1, len(w) + 1)) AS t(p)
+), term AS (
+  SELECT item_id, phrase, size, k, words[k + 1] AS word FROM test_window, unnest(range(size)) AS t(k)
+), rarest AS (
+  SELECT item_id, phrase, size, arg_min(word, (coalesce(n, 0), k)) AS word, min_by(k, (coalesce(n, 0), k)) AS k
+  FROM term LEFT JOIN (SELECT word, count(*) AS n FROM posting GROUP BY word) USING (word) GROUP BY ALL
+), place AS (
+  -- where the rarest word lets the phrase begin
+  SELECT DISTINCT doc_id, item_id, phrase, size, p - k + o AS s FROM rarest JOIN posting USING (word), unnest(range(-2, 3)) AS t(o)
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT doc_id, item_id, phrase, size, s
+    FROM (SELECT place.*, k, word, s + k + o AS p FROM place JOIN term USING (item_id, phrase, size), unnest(range(-2, 3)) AS t(o)) JOIN posting USING (doc_id, word, p)
+    GROUP BY ALL HAVING count(DISTINCT k) = size
+  ) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_near, 0)::BIGINT AS n_near_items, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """

@@ -388,3 +388,26 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`: the components of five-word shingle similarity of 0.8 or more."""
     return join(jobs.table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach(doc_id, other) AS (
+  SELECT DISTINCT x, x FROM both_ways UNION SELECT doc_id, y FROM reach JOIN both_ways ON other = x
+), least_id AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN least_id USING (doc_id)
+"""
