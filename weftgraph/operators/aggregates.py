@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import percentage, ratio
+from weftgraph.operators.windows import first_values
 
 
 def counts_by(rows: DataFrame, *keys: str, missing: str | None = None, name: str = "n") -> DataFrame:
@@ -110,8 +111,10 @@ def coverage(items: DataFrame, mapped: DataFrame, key: str, group: str | None =
 def gap(items: DataFrame, mapped: DataFrame, key: str, theme: str, name: str, themes: int = 8, samples: int = 5) -> DataFrame:
     """(theme, unmapped, samples): themes with most unmapped keys, ties by name, and the first names of each."""
     lost = items.dropDuplicates([key]).join(mapped.select(key).distinct(), key, "left_anti")
-    picked = lost.groupBy(theme).agg(F.count("*").alias("unmapped"), F.slice(F.array_sort(F.collect_set(name)), 1, samples).alias("samples"))
-    return picked.orderBy(F.desc("unmapped"), theme).limit(themes)
+    picked = lost.groupBy(theme).agg(F.count("*").alias("unmapped")).orderBy(F.desc("unmapped"), theme).limit(themes)
+    named = first_values(lost.join(F.broadcast(picked.select(theme)), theme, "left_semi"), [theme], name, samples, "samples")
+    none = F.array().cast("array<string>")
+    return picked.join(F.broadcast(named), theme, "left").withColumn("samples", F.coalesce("samples", none)).orderBy(F.desc("unmapped"), theme)
 
 
 def alignment(items: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
@@ -124,10 +127,10 @@ def alignment(items: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
 
 def families(entries: DataFrame, citations: int = 12) -> DataFrame:
     """(family, n, citations, restricted) of (family, citation, classification), most frequent first, ties by name."""
-    out = entries.groupBy("family").agg(
-        F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("citation")), 1, citations).alias("citations"), F.max(F.coalesce(F.col("classification") == "restricted", F.lit(False))).alias("restricted")
-    )
-    return out.orderBy(F.desc("n"), "family")
+    out = entries.groupBy("family").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("classification") == "restricted", F.lit(False))).alias("restricted"))
+    cited = first_values(entries, ["family"], "citation", citations, "citations")
+    out = out.join(cited, "family", "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))
+    return out.select("family", "n", "citations", "restricted").orderBy(F.desc("n"), "family")
 
 
 def daily_increase(rounds: DataFrame, day: Column, keys: Sequence[str]) -> DataFrame:

@@ -12,27 +12,33 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.storage import stored
+from weftgraph.storage import discard, stored
 
+#: Tables that a fixpoint keeps before it writes them as one.
+MOST_PARTS = 12
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: Sequence[str] | None = None, max_rounds: int = 200) -> DataFrame:
+
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: Sequence[str] | None = None) -> DataFrame:
     """The least table that holds seed and all that step(new, all) gives; rows are the same if their keys are.
 
     Columns must not be null.  Of several candidates for one key in a round any one is kept, so keys should be all
-    columns unless step gives one row a key.
+    columns unless step gives one row a key.  It ends when a round gives nothing new; a step that keeps making new keys
+    has no such table.
     """
     keys = list(keys or seed.columns)
     parts = [stored(seed.dropDuplicates(keys), "fixpoint")]
-    for _ in range(max_rounds):
-        total = parts[0]
-        for part in parts[1:]:
-            total = total.unionByName(part)
+    while True:
+        if len(parts) > MOST_PARTS:  # so that later rounds read few tables
+            older = parts
+            parts = [stored(_union(older[:-1]), "fixpoint"), older[-1]]
+            for part in older[:-1]:
+                discard(part)
+        total = _union(parts)
         new = step(parts[-1], total).select(*seed.columns).dropDuplicates(keys).join(total.select(*keys), keys, "left_anti")
         new = stored(new, "fixpoint")
         if new.isEmpty():
             return total
         parts.append(new)
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def derived_edges(entities: DataFrame, specs: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -117,43 +123,90 @@ def transitive_subjects(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return fixpoint(roots.select("node").distinct(), lambda new, _: new.join(hop, "node").select(F.col("_to").alias("node")))
 
 
+def peeled(edges: DataFrame) -> DataFrame:
+    """(src, dst): the edges left when those from a node without incoming, or to one without outgoing edges are taken off again and again.
+
+    No edges are left if there is no cycle; self loops are cycles.
+    """
+    left = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    count = left.count()
+    while count:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        old, left = left, stored(inner.select("src", "dst"), "edges")
+        discard(old)
+        before, count = count, left.count()
+        if count == before:
+            break
+    return left
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(node): nodes that lie on a cycle."""
-    return transitive_closure(edges).where("src = dst").select(F.col("src").alias("node"))
+    """(node): nodes that lie on a cycle.  Only what peeling leaves is closed."""
+    return transitive_closure(peeled(edges)).where("src = dst").select(F.col("src").alias("node"))
 
 
-def ancestors_with_depth(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def ancestors_with_depth(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): the least number of edges from src to each node above it; depth 0 is src itself."""
     hop = stored(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct(), "edges")
     nodes = hop.select("src").union(hop.select("dst")).distinct()
     seed = nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth"))
     up = hop.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
-    return fixpoint(seed, lambda new, _: new.join(up, "dst").select("src", F.col("_to").alias("dst"), (F.col("depth") + 1).alias("depth")), ["src", "dst"], max_rounds)
+    return fixpoint(seed, lambda new, _: new.join(up, "dst").select("src", F.col("_to").alias("dst"), (F.col("depth") + 1).alias("depth")), ["src", "dst"])
 
 
 def nearest_marked(edges: DataFrame, marked: DataFrame) -> DataFrame:
-    """(node, nearest, depth): the marked node (column node) fewest edges above each node, ties by name; nodes without one are left out."""
-    hits = ancestors_with_depth(edges).join(marked.select(F.col("node").alias("dst")).distinct(), "dst")
-    best = hits.groupBy("src").agg(F.min(F.struct("depth", "dst")).alias("best"))
-    return best.select(F.col("src").alias("node"), F.col("best.dst").alias("nearest"), F.col("best.depth").alias("depth"))
+    """(node, nearest, depth): the marked node (column node) fewest edges above each node, ties by name; nodes without one are left out.
+
+    The search goes down from the marked nodes, and each node is reached once.
+    """
+    hop = stored(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct(), "edges")
+    nodes = hop.select(F.col("src").alias("node")).union(hop.select("dst")).distinct()
+    seed = marked.select("node").distinct().join(nodes, "node", "left_semi").select("node", F.col("node").alias("nearest"), F.lit(0).alias("depth"))
+    down = hop.select(F.col("dst").alias("node"), F.col("src").alias("_to"))
+
+    def step(new: DataFrame, _: DataFrame) -> DataFrame:
+        reached = new.join(down, "node").groupBy(F.col("_to").alias("node")).agg(F.min("nearest").alias("nearest"), F.min("depth").alias("depth"))
+        return reached.select("node", "nearest", (F.col("depth") + 1).alias("depth"))
+
+    return fixpoint(seed, step, ["node"])
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(node, root): connected components of edges (a, b), for each node with an edge; root is one of its nodes.
+
+    Each round moves every node to its smallest neighbour and contracts the graph, so at least half of the nodes that
+    still have edges disappear a round.  Only map-side combined minima and equi-joins are shuffled; every round's
+    tables are written to the shared folder.  Self loops, nulls and repeated edges are ignored; no edges give no rows.
+    """
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    label = None
+    while True:
+        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
+        least = stored(least, "least")
+        if least.isEmpty():
+            return label if label is not None else least.select("node", F.col("to").alias("root"))
+        first, second = (least.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
+        old = edges
+        edges = stored(edges.join(first, "a").join(second, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).where("a <> b").distinct(), "edges")
+        discard(old)
+        if label is None:
+            label = least.select("node", F.col("to").alias("root"))
+        else:
+            moved = least.select(F.col("node").alias("root"), "to")
+            old = label
+            label = stored(label.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "label")
+            discard(old)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node of it; edges count both ways, self loops make a node known."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("a", "b").where("a is not null and b is not null").distinct()
-    both = stored(both, "edges")
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("component"))
-    label = stored(label, "label")
-    while True:
-        # each node takes the least label of its neighbours, then the label of its label
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        next_ = label.join(near, "node").select("node", F.least("component", "near").alias("component"))
-        jump = next_.join(next_.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
-        next_ = stored(jump.select("node", F.least("component", F.coalesce("further", "component")).alias("component")), "label")
-        moved = next_.join(label.withColumnRenamed("component", "before"), "node").where("component <> before")
-        if moved.isEmpty():
-            return next_
-        label = next_
+    edges = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a is not null and b is not null")
+    rooted = contracted(edges)
+    # stored, so that the nodes of a large component can be split among tasks
+    names = stored(rooted.groupBy("root").agg(F.min("node").alias("component")), "components")
+    alone = edges.select(F.col("a").alias("node")).where("a = b").distinct().join(rooted.select("node"), "node", "left_anti")
+    return rooted.join(names, "root").select("node", "component").unionByName(alone.select("node", F.col("node").alias("component")))
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -186,26 +239,25 @@ def one_sided(entities: DataFrame, edges: DataFrame, keywords: Sequence[str]) ->
     return sides.groupBy("id").agg(F.countDistinct("_domain").alias("domains"), F.max(hit).alias("hinted")).where("domains = 1 and hinted").select("id")
 
 
-def path_counts(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def path_counts(edges: DataFrame) -> DataFrame:
     """(node, paths): number of downward paths from each node along src -> dst, so a diamond's end counts twice.
 
-    Self loops are left out; a cycle raises an error.
+    Self loops are left out; a cycle raises an error.  Counts go up from the leaves: a node is done when all below it
+    are, so only nodes and edges are joined, never pairs of a node and its descendants.
     """
     hop = stored(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    front = hop.withColumn("n", F.lit(1).cast("long"))
-    total = []
-    for _ in range(max_rounds):
-        front = stored(front, "paths")
-        if front.isEmpty():
-            break
-        total.append(front)
-        down = hop.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
-        front = front.join(down, "dst").groupBy("src", F.col("_to").alias("dst")).agg(F.sum("n").alias("n"))
-    else:
+    if not peeled(hop).isEmpty():
         raise ValueError("the edges have a cycle")
-    if not total:
-        return hop.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("paths"))
-    return _union(total).groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("paths"))
+    nodes = hop.select(F.col("src").alias("node"))
+    done = hop.select(F.col("dst").alias("node")).distinct().join(nodes, "node", "left_anti").withColumn("paths", F.lit(0).cast("long"))
+    parts, left = [stored(done, "paths")], hop
+    while not left.isEmpty():
+        total = _union(parts)
+        waiting = left.join(total.select(F.col("node").alias("dst")), "dst", "left_anti").select("src").distinct()
+        ready = left.join(waiting, "src", "left_anti").join(total.withColumnRenamed("node", "dst"), "dst")
+        parts.append(stored(ready.groupBy(F.col("src").alias("node")).agg(F.sum(F.col("paths") + 1).alias("paths")), "paths"))
+        left = stored(left.join(parts[-1].select(F.col("node").alias("src")), "src", "left_anti"), "edges")
+    return _union(parts).join(nodes.distinct(), "node", "left_semi").select("node", "paths")
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

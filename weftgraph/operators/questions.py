@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import normalised, terms
 from weftgraph.operators.graph import Step, walk
 from weftgraph.operators.predicates import instance_signals
+from weftgraph.operators.windows import first_values
 
 # Weights of intent words and of named entities, and the least score of a match.
 INTENT, ENTITY, LEAST = 10.0, 3.0, 6.0
@@ -41,7 +42,17 @@ def scored(questions: DataFrame, items: DataFrame, names: DataFrame) -> DataFram
     halves = F.filter("_words", lambda w: ~F.col("_q").contains(w["norm"]) & (F.size(w["terms"]) >= 3) & (F.size(F.col("_terms")) > 0) & (2 * F.size(F.array_intersect(w["terms"], F.col("_terms"))) >= F.size(w["terms"])))
     relations = F.filter("_relations", lambda r: F.col("_q").contains(r))
     pairs = pairs.select("qid", "id", "bucket", "_q", "_types", F.concat(F.transform(hits, lambda w: w["raw"]), relations).alias("intent"), (INTENT * (F.size(hits) + 0.5 * F.size(halves) + F.size(relations))).alias("_words_score"))
-    named = asked.select("qid", "_q").join(names, F.col("_q").contains(F.col("name"))).select("qid", "type", F.col("id").alias("entity")).distinct()
+    # names meet the parts of questions that have the length of a name: an equal join, however many names there are
+    lengths = [r[0] for r in names.select(F.char_length("name")).distinct().collect()]  # a row for each length
+    size = F.char_length("_q")
+
+    def cut(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+        return F.when(size >= n, F.transform(places, lambda at: F.substring(F.col("_q"), at, F.lit(n))))
+
+    cuts = [cut(n) for n in lengths]
+    parts = F.array_distinct(F.flatten(F.array_compact(F.array(*cuts)))) if cuts else F.array().cast("array<string>")
+    named = asked.select("qid", F.explode(parts).alias("name")).join(names, "name").select("qid", "type", F.col("id").alias("entity")).distinct()
     needed = pairs.select("qid", F.col("id").alias("item"), F.explode("_types").alias("type")).distinct()
     anchors = needed.join(named, ["qid", "type"]).groupBy("qid", F.col("item").alias("id")).agg(F.array_sort(F.collect_set("entity")).alias("anchors"))
     out = pairs.join(anchors, ["qid", "id"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
@@ -65,14 +76,16 @@ def verdicts(questions: DataFrame, items: DataFrame, names: DataFrame) -> DataFr
 
 def probe_edges(edges: DataFrame, starts: DataFrame, steps: Sequence[Step], types: DataFrame, samples: int = 5) -> DataFrame:
     """(start, n, sample) of what the steps reach from each start (id); starts that reach nothing have 0."""
-    reached = walk(edges, starts, steps, types).groupBy("start").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("node")), 1, samples).alias("sample"))
+    nodes = walk(edges, starts, steps, types)
+    reached = nodes.groupBy("start").agg(F.count("*").alias("n")).join(first_values(nodes, ["start"], "node", samples, "sample"), "start", "left")
     return starts.select(F.col("id").alias("start")).distinct().join(reached, "start", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "sample": F.coalesce("sample", F.array().cast("array<string>"))})
 
 
 def probe_field(rows: DataFrame, value: Column, samples: int = 3) -> DataFrame:
     """One row: total, non_empty and a sample of ids whose array `value` holds something."""
     found = rows.select("id", F.filter(value, lambda v: v.isNotNull() & (v.cast("string") != "")).alias("v"))
-    return found.agg(F.count("*").alias("total"), F.count(F.when(F.size("v") > 0, 1)).alias("non_empty"), F.slice(F.array_sort(F.collect_set(F.when(F.size("v") > 0, F.col("id")))), 1, samples).alias("sample"))
+    sample = found.where(F.size("v") > 0).select("id").distinct().orderBy("id").limit(samples).agg(F.array_sort(F.collect_list("id")).alias("sample"))
+    return found.agg(F.count("*").alias("total"), F.count(F.when(F.size("v") > 0, 1)).alias("non_empty")).join(F.broadcast(sample), F.lit(True))
 
 
 def regression(expected: DataFrame, verdict: DataFrame) -> DataFrame:

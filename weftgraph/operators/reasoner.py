@@ -22,7 +22,12 @@ NOT_COVERED = [OWL + x for x in ("sameAs", "equivalentClass", "equivalentPropert
 
 @dataclass
 class Schema:
-    """Axioms by kind; each is a table of (a, b), chains of (a, first, second)."""
+    """Axioms by kind, each a table of (a, b), chains of (a, first, second), and the rules made of them.
+
+    alone: what one triple gives, (a, p, flip, o): with predicate a it gives predicate p, with its ends swapped where flip
+    is 1; o, where it isn't null, is the object (a type) instead.  The table is closed: what its rows give together is in
+    it too.  pairs: (p1, p2, q), x p1 y and y p2 z give x q z.
+    """
 
     subproperty: DataFrame
     domain: DataFrame
@@ -31,6 +36,8 @@ class Schema:
     transitive: DataFrame
     chain: DataFrame
     oversized_chains: DataFrame
+    alone: DataFrame
+    pairs: DataFrame
 
 
 def read_schema(triples: DataFrame) -> Schema:
@@ -46,64 +53,58 @@ def read_schema(triples: DataFrame) -> Schema:
     one = heads.join(first, "node").join(rest, "node").select("p", F.col("node").alias("head"), F.col("item").alias("first"), F.col("next").alias("node"))
     two = one.join(first, "node", "left").join(rest, "node", "left").select("p", "head", "first", F.col("item").alias("second"), F.col("next").alias("end"))
     good = (F.col("end") == NIL) & F.col("second").isNotNull()
-    return Schema(
-        stored(sub, "schema"),
-        stored(pairs(DOMAIN), "schema"),
-        stored(pairs(RANGE), "schema"),
-        stored(inverse.union(inverse.select("b", "a")).distinct(), "schema"),
-        stored(triples.where((F.col("p") == TYPE) & (F.col("o") == TRANSITIVE)).select(F.col("s").alias("a")).distinct(), "schema"),
-        stored(two.where(good).select(F.col("p").alias("a"), "first", "second").distinct(), "schema"),
-        stored(heads.join(two.where(good).select(F.col("head").alias("node")), "node", "left_anti").select("p").distinct(), "schema"),
-    )
+    inverse = stored(inverse.union(inverse.select("b", "a")).distinct(), "schema")
+    sub, domain, range_ = stored(sub, "schema"), stored(pairs(DOMAIN), "schema"), stored(pairs(RANGE), "schema")
+    transitive = stored(triples.where((F.col("p") == TYPE) & (F.col("o") == TRANSITIVE)).select(F.col("s").alias("a")).distinct(), "schema")
+    chain = stored(two.where(good).select(F.col("p").alias("a"), "first", "second").distinct(), "schema")
+    oversized = stored(heads.join(two.where(good).select(F.col("head").alias("node")), "node", "left_anti").select("p").distinct(), "schema")
+
+    # predicates that follow from a predicate, by steps up and over to inverses
+    move = sub.select(F.col("a").alias("p"), F.col("b").alias("to"), F.lit(0).alias("turn")).unionByName(inverse.select(F.col("a").alias("p"), F.col("b").alias("to"), F.lit(1).alias("turn")))
+    known = [d.select("a") for d in (sub, inverse, domain, range_)]
+    start = known[0].union(known[1]).union(known[2]).union(known[3]).distinct().select("a", F.col("a").alias("p"), F.lit(0).alias("flip"))
+    moved = fixpoint(start, lambda new, _: new.join(move, "p").select("a", F.col("to").alias("p"), ((F.col("flip") + F.col("turn")) % 2).alias("flip")))
+    # the subject of a triple is typed by the domain, or the range where the ends are swapped, of what follows
+    typed = [moved.join(d.select(F.col("a").alias("p"), F.col("b").alias("o")), "p").select("a", F.lit(TYPE).alias("p"), (F.col("flip") if side == 0 else 1 - F.col("flip")).alias("flip"), "o") for side, d in ((0, domain), (1, range_))]
+    alone = moved.where("a <> p or flip = 1").select("a", "p", "flip", F.lit(None).cast("string").alias("o")).unionByName(typed[0]).unionByName(typed[1]).distinct()
+    through = transitive.select(F.col("a").alias("p1"), F.col("a").alias("p2"), F.col("a").alias("q"))
+    upward = triples.sparkSession.createDataFrame([(TYPE, SUBCLASS, TYPE), (SUBCLASS, SUBCLASS, SUBCLASS)], "p1 string, p2 string, q string")
+    both = through.unionByName(chain.select(F.col("first").alias("p1"), F.col("second").alias("p2"), F.col("a").alias("q"))).unionByName(upward).distinct()
+    return Schema(sub, domain, range_, inverse, transitive, chain, oversized, stored(alone, "schema"), stored(both, "schema"))
 
 
 def blockers(schema: DataFrame, rule_texts: list[str] = (), shape_predicates: DataFrame | None = None, covered: list[str] = ()) -> list[str]:
     """Why the closure would not be sound for this schema: terms that are not covered, in it or in rules, chains of
     more than two, and predicates of shapes (column p) beyond `covered`.  Empty when it is."""
     found = [f"term {r['p']}" for r in schema.where(F.col("p").isin(*NOT_COVERED)).select("p").distinct().collect()]
-    found += [f"chain {r['p']}" for r in read_schema(schema).oversized_chains.limit(20).collect()]
+    found += [f"chain {r['p']}" for r in read_schema(schema).oversized_chains.collect()]  # of the schema
     found += [f"rule uses {t}" for t in NOT_COVERED if any(t in text or t.replace(OWL, "owl:") in text for text in rule_texts)]
     if shape_predicates is not None:
-        found += [f"shape uses {r['p']}" for r in shape_predicates.select("p").distinct().where(~F.col("p").isin(*covered)).limit(100).collect()]
+        found += [f"shape uses {r['p']}" for r in shape_predicates.select("p").distinct().where(~F.col("p").isin(*covered)).collect()]
     return sorted(found)
 
 
-def _triple(s: str, p, o: str, kind: str = "iri") -> list:
-    return [F.col(s).alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o"), F.lit(kind).alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")]
+def expanded(schema: Schema, triples: DataFrame) -> DataFrame:
+    """triples with what each of them gives by itself; a second run adds nothing."""
+    made = triples.withColumnsRenamed({"p": "a", "o": "_o"}).join(schema.alone.withColumnRenamed("o", "type"), "a").where("o_kind <> 'literal' or flip = 0")
+    subject = F.when(F.col("flip") == 1, F.col("_o")).otherwise(F.col("s"))
+    object_ = F.when(F.col("type").isNotNull(), F.col("type")).when(F.col("flip") == 1, F.col("s")).otherwise(F.col("_o"))
+    as_is = F.col("type").isNull() & (F.col("flip") == 0)
+    kind = F.when(as_is, F.col("o_kind")).when(F.col("type").isNull() & F.col("s").startswith("_:"), "bnode").otherwise("iri")
+    same = [F.when(as_is, F.col(c)).otherwise("").alias(c) for c in ("o_dt", "o_lang")]
+    return triples.select(*TRIPLE_COLUMNS).unionByName(made.select(subject.alias("s"), "p", object_.alias("o"), kind.alias("o_kind"), *same))
 
 
 def step(schema: Schema, new: DataFrame, every: DataFrame) -> DataFrame:
-    """What the rules derive from at least one new triple."""
-    node = F.col("o_kind") != "literal"
-    with_p = new.withColumnRenamed("p", "a")
-    out = [
-        with_p.join(schema.subproperty, "a").select("s", F.col("b").alias("p"), "o", "o_kind", "o_dt", "o_lang"),
-        with_p.join(schema.domain, "a").select(*_triple("s", TYPE, "b")),
-        with_p.where(node).join(schema.range, "a").select(*_triple("o", TYPE, "b")),
-        with_p.where(node).join(schema.inverse, "a").select(*_kinded("o", F.col("b"), "s")),
-    ]
-
-    def links(df: DataFrame, a: str, p: str, b: str) -> DataFrame:
-        return df.where(node).select(F.col("s").alias(a), F.col("p").alias(p), F.col("o").alias(b))
-
-    for left, right in ((new, every), (every, new)):
-        one, two = links(left, "x", "p1", "y"), links(right, "y", "p2", "z")
-        through = schema.transitive.select(F.col("a").alias("p1"))
-        out.append(one.join(through, "p1", "left_semi").join(two, "y").where("p1 = p2").select(*_kinded("x", F.col("p1"), "z")))
-        chained = one.join(schema.chain.select(F.col("a").alias("q"), F.col("first").alias("p1"), F.col("second").alias("p2")), "p1")
-        out.append(chained.join(two, ["y", "p2"]).select(*_kinded("x", F.col("q"), "z")))
-        upper = right.where(F.col("p") == SUBCLASS).select(F.col("s").alias("y"), F.col("o").alias("z"))
-        below = left.where(F.col("p").isin(TYPE, SUBCLASS)).select(F.col("s").alias("x"), F.col("p").alias("p1"), F.col("o").alias("y"))
-        out.append(below.join(upper, "y").select(*_kinded("x", F.col("p1"), "z")))
-    total = out[0]
-    for part in out[1:]:
-        total = total.unionByName(part)
-    return total
-
-
-def _kinded(s: str, p, o: str) -> list:
-    kind = F.when(F.col(o).startswith("_:"), "bnode").otherwise("iri")
-    return [F.col(s).alias("s"), p.alias("p"), F.col(o).alias("o"), kind.alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")]
+    """What two triples, at least one of them new, give together, expanded."""
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        one = left.where("o_kind <> 'literal'").select(F.col("s").alias("x"), F.col("p").alias("p1"), F.col("o").alias("y")).join(schema.pairs, "p1")
+        two = right.where("o_kind <> 'literal'").join(schema.pairs.select(F.col("p2").alias("p")).distinct(), "p", "left_semi").select(F.col("s").alias("y"), F.col("p").alias("p2"), F.col("o").alias("z"))
+        kind = F.when(F.col("z").startswith("_:"), "bnode").otherwise("iri")
+        return one.join(two, ["y", "p2"]).select(F.col("x").alias("s"), F.col("q").alias("p"), F.col("z").alias("o"), kind.alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+
+    return expanded(schema, met(new, every).unionByName(met(every, new)).distinct())
 
 
 def closure(triples: DataFrame, schema: Schema, start: DataFrame | None = None) -> DataFrame:
@@ -113,11 +114,18 @@ def closure(triples: DataFrame, schema: Schema, start: DataFrame | None = None)
     Blank nodes are named `_:...`.
     """
     triples = triples.select(*TRIPLE_COLUMNS)
+    triples = expanded(schema, triples)
+    # types that a domain or range gives have predicate type; only a schema about type itself has more to say of them
+    again = not schema.alone.where(F.col("a") == TYPE).isEmpty()
+
+    def grow(new: DataFrame, every: DataFrame) -> DataFrame:
+        return step(schema, new, every).unionByName(expanded(schema, new)) if again else step(schema, new, every)
+
     if start is None:
-        return fixpoint(triples, lambda new, every: step(schema, new, every))
+        return fixpoint(triples, grow)
     start = stored(start.select(*TRIPLE_COLUMNS), "closed")
     fresh = triples.join(start, TRIPLE_COLUMNS, "left_anti")
-    grown = fixpoint(fresh, lambda new, every: step(schema, new, every.unionByName(start)).join(start, TRIPLE_COLUMNS, "left_anti"))
+    grown = fixpoint(fresh, lambda new, every: grow(new, every.unionByName(start)).join(start, TRIPLE_COLUMNS, "left_anti"))
     return start.unionByName(grown)
 
 

@@ -30,7 +30,7 @@ def catalog(namespace: str) -> list[Rule]:
                 *[("?down", "a", "DownEvent"), ("?down", "affectsEquipment", "?tool"), ("?down", "validFrom", "?from1"), ("?down", "validTo", "?to1")],
                 *[("?run", "a", "ProcessingEvent"), ("?run", "usesEquipment", "?tool"), ("?run", "processesLot", "?lot"), ("?run", "validFrom", "?from2"), ("?run", "validTo", "?to2")],
             ],
-            filter=lambda v: (F.try_to_timestamp(v("?from1")) < F.try_to_timestamp(v("?to2"))) & (F.try_to_timestamp(v("?from2")) < F.try_to_timestamp(v("?to1"))),
+            overlap=(("?from1", "?to1"), ("?from2", "?to2")),
         ),
         Rule(
             "R-INF-004",

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.joins import interval_overlap
 from weftgraph.operators.reasoner import RDF, TYPE
 from weftgraph.schemas import TRIPLE_COLUMNS
 from weftgraph.storage import stored
@@ -42,6 +43,8 @@ Filter = Callable[[Callable[[str], Column]], Column]
 class Rule:
     """where: patterns, or several groups of (patterns, filter) that are alternatives in `either` on top of them.
 
+    overlap: two intervals of variables (start, end) of text timestamps that have to overlap.  The patterns that share a
+    variable with the first interval are joined with the others over time buckets, not on their common variable alone.
     mint: (variable, function from variables to the text of a new IRI).  `_:name` in construct is a node made anew for
     each solution, named by the rule and the solution so that a second run names it the same.
     """
@@ -53,6 +56,7 @@ class Rule:
     either: Sequence[tuple[Sequence[Pattern], Filter | None]] = ()
     unless: Sequence[Pattern] = ()
     mint: tuple[str, Filter] | None = None
+    overlap: tuple[tuple[str, str], tuple[str, str]] | None = None
     note: str = field(default="", compare=False)
 
 
@@ -121,8 +125,23 @@ def _text(name: str) -> Column:
     return F.col(f"`{name}`.v")
 
 
+def _overlapping(triples: DataFrame, rule: Rule, namespace: str) -> DataFrame:
+    """Solutions of rule.where with overlapping intervals: each interval's subject is solved by itself."""
+    sides = []
+    for interval in rule.overlap:
+        subject = next(p[0] for p in rule.where if p[2] == interval[0])
+        side = solve(triples, [p for p in rule.where if p[0] == subject], namespace)
+        sides.append(side.withColumns({"start": F.try_to_timestamp(_text(interval[0])), "end": F.try_to_timestamp(_text(interval[1]))}))
+    subjects = {next(p[0] for p in rule.where if p[2] == i[0]) for i in rule.overlap}
+    shared = [c for c in sides[0].columns if c in sides[1].columns and c not in ("start", "end")]
+    pairs = interval_overlap(sides[0], sides[1], shared)
+    pairs = pairs.drop("start", "end", "r_start", "r_end").withColumnsRenamed({c: c[2:] for c in pairs.columns if c.startswith("r_?")})
+    rest = [p for p in rule.where if p[0] not in subjects]
+    return solve(triples, rest, namespace, pairs) if rest else pairs
+
+
 def solutions(triples: DataFrame, rule: Rule, namespace: str) -> DataFrame:
-    found = solve(triples, rule.where, namespace)
+    found = _overlapping(triples, rule, namespace) if rule.overlap else solve(triples, rule.where, namespace)
     if rule.filter is not None:
         found = found.where(F.coalesce(rule.filter(_text), F.lit(False)))
     if rule.either:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.reasoner import FIRST, NIL, REST, TYPE
 from weftgraph.operators.graph import fixpoint
+from weftgraph.storage import stored
 
 SHACL = "http://www.w3.org/ns/shacl#"
 CONSTRAINT = "shape string, target_class string, branch string, path string, min_count int, max_count int, class string, datatype string, message string"
@@ -44,24 +45,31 @@ def targets(base: DataFrame) -> DataFrame:
 
 
 def violations(base: DataFrame, closed: DataFrame, constraints: DataFrame) -> DataFrame:
-    """(shape, node, path, component, message), one row for each constraint that a target breaks; a shape of branches gives one row, component `or`."""
-    aimed = constraints.join(targets(base), "target_class")
-    values = closed.select(F.col("s").alias("node"), F.col("p").alias("path"), "o", "o_kind", "o_dt", "o_lang").join(constraints.select("path").distinct(), "path", "left_semi")
-    typed = closed.where(F.col("p") == TYPE).select(F.col("s").alias("o"), F.col("o").alias("class")).distinct().withColumn("is_member", F.lit(True))
-    held = aimed.join(values.distinct(), ["node", "path"], "left").join(typed, ["o", "class"], "left")
-    has = F.col("o_kind").isNotNull()
-    bad_class = has & F.col("class").isNotNull() & ((F.col("o_kind") == "literal") | F.col("is_member").isNull())
-    datatype = F.when(F.col("o_dt") != "", F.col("o_dt")).otherwise(F.when(F.col("o_lang") != "", F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString")).otherwise(F.lit("http://www.w3.org/2001/XMLSchema#string")))
-    bad_datatype = has & F.col("datatype").isNotNull() & ((F.col("o_kind") != "literal") | (datatype != F.col("datatype")))
-    keys = ["shape", "node", "branch", "path", "min_count", "max_count", "class", "datatype", "message"]
-    counted = held.groupBy(*keys).agg(F.count(F.when(has, 1)).alias("n"), F.max(bad_class).alias("bad_class"), F.max(bad_datatype).alias("bad_datatype"))
+    """(shape, node, path, component, message), one row for each constraint that a target breaks; a shape of branches gives one row, component `or`.
+
+    Values are counted by node and path before constraints, of which there are few, meet them; messages come last.
+    """
+    constraints = stored(constraints.withColumn("_c", F.monotonically_increasing_id()), "constraints")
+    paths = constraints.select("path").distinct()
+    values = closed.select(F.col("s").alias("node"), F.col("p").alias("path"), "o", "o_kind", "o_dt", "o_lang").join(F.broadcast(paths), "path", "left_semi").distinct()
+    datatype = F.when(F.col("o_kind") != "literal", "").when(F.col("o_dt") != "", F.col("o_dt")).when(F.col("o_lang") != "", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString").otherwise("http://www.w3.org/2001/XMLSchema#string")
+    # a node's values of a path have few datatypes, "" for those that have none
+    counts = values.groupBy("node", "path").agg(F.count("*").alias("n"), F.collect_set(datatype).alias("datatypes"))
+    classes = constraints.where("class is not null").select("path", "class").distinct()
+    members = closed.where(F.col("p") == TYPE).select(F.col("s").alias("o"), F.col("o").alias("class")).join(F.broadcast(classes.select("class").distinct()), "class", "left_semi").distinct()
+    inside = values.where("o_kind <> 'literal'").join(F.broadcast(classes), "path").join(members, ["o", "class"]).groupBy("node", "path", "class").agg(F.count("*").alias("members"))
+    aimed = targets(base).join(F.broadcast(constraints.drop("message")), "target_class")
+    held = aimed.join(counts, ["node", "path"], "left").join(inside, ["node", "path", "class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bad_datatype = F.exists("datatypes", lambda t: t != F.col("datatype"))
     components = F.array(
-        F.when(F.col("n") < F.col("min_count"), "minCount"), F.when(F.col("n") > F.col("max_count"), "maxCount"), F.when(F.col("bad_class"), "class"), F.when(F.col("bad_datatype"), "datatype")
+        F.when(F.col("n") < F.col("min_count"), "minCount"), F.when(F.col("n") > F.col("max_count"), "maxCount"), F.when(F.col("class").isNotNull() & (F.coalesce("members", F.lit(0)) < F.col("n")), "class"), F.when(bad_datatype, "datatype")
     )
-    broken = counted.withColumn("component", F.explode_outer(F.filter(components, lambda c: c.isNotNull())))
-    single = broken.where("branch = '' and component is not null").select("shape", "node", "path", "component", "message")
-    branches = broken.where("branch <> ''").groupBy("shape", "node", "branch").agg(F.max(F.col("component").isNotNull()).alias("broken"), F.min("message").alias("message"))
-    every = branches.groupBy("shape", "node").agg(F.min("broken").alias("broken"), F.min("message").alias("message")).where("broken")
+    broken = held.select("shape", "node", "branch", "path", "_c", F.explode_outer(F.array_compact(components)).alias("component"))
+    texts = F.broadcast(constraints.select("_c", "message"))
+    single = broken.where("branch = '' and component is not null").join(texts, "_c").select("shape", "node", "path", "component", "message")
+    branches = broken.where("branch <> ''").groupBy("shape", "node", "branch").agg(F.max(F.col("component").isNotNull()).alias("broken"))
+    named = constraints.where("branch <> ''").groupBy("shape").agg(F.min("message").alias("message"))
+    every = branches.groupBy("shape", "node").agg(F.min("broken").alias("broken")).where("broken").join(F.broadcast(named), "shape")
     return single.unionByName(every.select("shape", "node", F.lit(None).cast("string").alias("path"), F.lit("or").alias("component"), "message"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.storage import stored
+
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in order; order should leave no ties."""
@@ -36,34 +38,68 @@ def even_positions(n: Column, k: Column) -> Column:
     return F.when((k <= 0) | (n <= 0), F.array().cast("array<bigint>")).when(k >= n, every).when(k == 1, F.array(F.floor(n / 2).cast("long"))).otherwise(F.array_distinct(some))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], group: str, name: str, total: str) -> DataFrame:
+    """rows with a gapless number from 0 in the order of each group, and the group's size; null is a group.
+
+    Rows are sorted into ranges of (group, order); a range numbers its rows and is shifted by the counts of the ranges
+    before it, so no task sees a whole group.
+    """
+    spark = rows.sparkSession
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    ranged = stored(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    # a row for each range and each group in it
+    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_rows"))
+    mine = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_rows").over(mine.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = stored(counts.select(F.col(group).alias("_of"), F.col("_range").alias("_in"), before.alias("_shift"), F.sum("_rows").over(mine).alias(total)), "shifts")
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*keys[1:])) - 1
+    joined = ranged.withColumn("_own", own).join(shifts, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    return joined.withColumn(name, F.col("_own") + F.col("_shift")).drop("_range", "_of", "_in", "_shift", "_own")
+
+
 def even_sample(rows: DataFrame, order: Sequence[str], k: Mapping[str, int] | int, group: str | None = None) -> DataFrame:
     """An evenly spaced sample in order, k rows of all or of each group (quotas by group value)."""
     marked = rows.withColumn("_group", F.col(group).cast("string") if group else F.lit(""))
-    window = Window.partitionBy("_group")
-    numbered = marked.withColumn("_at", (F.row_number().over(window.orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count("*").over(window))
-    quota = F.lit(k) if isinstance(k, int) else F.coalesce(F.create_map(*[x for name, n in k.items() for x in (F.lit(str(name)), F.lit(int(n)))])[F.col("_group")], F.lit(0))
-    return numbered.where(F.array_contains(even_positions(F.col("_n"), quota), F.col("_at"))).drop("_group", "_at", "_n")
+    if not isinstance(k, int):
+        quotas_ = rows.sparkSession.createDataFrame([(str(name), int(n)) for name, n in k.items()], "_group string, _quota int")
+        marked = marked.join(F.broadcast(quotas_), "_group")
+    else:
+        marked = marked.withColumn("_quota", F.lit(k))
+    placed = numbered(marked, order, "_group", "_at", "_n")
+    # whether the row's place is one of the quota's even places, by the place that is nearest to it
+    at, n, quota = F.col("_at"), F.col("_n"), F.col("_quota")
+    step = (n - 1) / F.greatest(quota - 1, F.lit(1))
+    near = F.bround(at / step, 0)
+    hit = F.exists(F.array(near - 1, near, near + 1), lambda i: (i >= 0) & (i < quota) & (F.bround(i.cast("double") * (n - 1) / F.greatest(quota - 1, F.lit(1)), 0).cast("long") == at))
+    taken = F.when(quota <= 0, False).when(quota >= n, True).when(quota == 1, at == F.floor(n / 2)).otherwise(hit)
+    return placed.where(taken).drop("_group", "_quota", "_at", "_n")
+
+
+def first_values(rows: DataFrame, group: Sequence[str], value: str, k: int, name: str) -> DataFrame:
+    """(the group's columns, an array of its k smallest distinct values); tasks pass on k values of a group at most."""
+    distinct = rows.select(*group, value).where(F.col(value).isNotNull()).distinct()
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(value))
+    return distinct.withColumn("_nth", nth).where(F.col("_nth") <= k).groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
 def quotas(sizes: Mapping[str, int], limit: int, floor: int = 1) -> dict[str, int]:
-    """How many of each kind to take: all if they fit, else a floor and then shares in proportion, never above the size.
+    """How many of each kind to take: all if they fit, else a floor for each and shares of the rest in proportion to what is left of it.
 
-    What rounding leaves over goes to the largest kinds first.
+    No kind gets more than its size; what rounding leaves over goes to the largest kinds, as much as they hold.  Floors
+    alone may be more than the limit.
     """
-    sizes = {k: n for k, n in sizes.items() if n > 0}
-    total = sum(sizes.values())
-    if total <= limit:
-        return dict(sizes)
-    given = {k: min(n, max(floor, limit * n // total)) for k, n in sizes.items()}
+    held = {k: n for k, n in sizes.items() if n > 0}
+    if limit >= sum(held.values()):
+        return held
+    given = {k: min(floor, n) if limit > 0 else 0 for k, n in held.items()}
+    rest, room = limit - sum(given.values()), sum(held.values()) - sum(given.values())
+    if rest > 0:
+        given = {k: g + rest * (held[k] - g) // room for k, g in given.items()}
     left = limit - sum(given.values())
-    by_size = sorted(sizes, key=lambda k: (-sizes[k], k))
-    while left > 0:
-        open_ = [k for k in by_size if given[k] < sizes[k]]
-        if not open_:
-            break
-        for k in open_[:left]:
-            given[k] += 1
-        left = limit - sum(given.values())
+    for k in sorted(held, key=held.get, reverse=True):
+        more = max(0, min(held[k] - given[k], left))
+        given[k] += more
+        left -= more
     return given
 
 
