@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.graph import contracted as components
 from weftgraph.storage import discard, shared_folder, stored
 
 __all__ = ["WORD", "components", "discard", "numbered", "numbered_in_groups", "partitions", "shared_folder", "small_batches", "stored", "table"]
@@ -33,39 +34,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges (a, b): a row (node, root) for each node with an edge; root is one of its nodes.
-
-    Each round moves every node to its smallest neighbour and contracts the graph, so at least half of the nodes that
-    still have edges disappear a round.  Only map-side combined minima and equi-joins are shuffled; every round's
-    tables are written to the shared folder.  Self loops, nulls and repeated edges are ignored; no edges give no rows.
-    """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    label = None
-    for _ in range(max_rounds):
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        least = stored(least, "least")
-        if least.isEmpty():
-            break
-        first, second = (least.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
-        old = edges
-        edges = stored(edges.join(first, "a").join(second, "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).where("a <> b").distinct(), "edges")
-        discard(old)
-        if label is None:
-            label = least.select("node", F.col("to").alias("root"))
-        else:
-            moved = least.select(F.col("node").alias("root"), "to")
-            old = label
-            label = stored(label.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "label")
-            discard(old)
-    else:
-        raise RuntimeError("components did not converge")
-    if label is None:
-        return least.select("node", F.col("to").alias("root"))
-    return label
-
-
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with a gapless number from 0 in ascending order of a column of distinct values, null last.
 
