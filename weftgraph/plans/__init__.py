@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import cataloged, changing, counting, graphs, handling, inference, joining, ranking, streams, texts, validation, whatif  # noqa: F401
+from weftgraph.plans import cataloged, changing, counting, graphs, handling, inference, joining, ranking, sourcing, streams, texts, validation, whatif  # noqa: F401
 from weftgraph.plans.registry import ORACLES, QUERIES, Query
 
 

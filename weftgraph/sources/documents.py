@@ -131,7 +131,12 @@ KNOWLEDGE = "id string, title string, domain string, summary string, content str
 
 def knowledge(spark: SparkSession, *paths: str) -> DataFrame:
     """Knowledge entries, one JSON document a file; what does not parse has a null id and is left out, restricted text is withheld."""
-    rows = spark.read.schema(KNOWLEDGE).json(list(paths), multiLine=True).where("id is not null")
+    return redacted(spark.read.schema(KNOWLEDGE).json(list(paths), multiLine=True))
+
+
+def redacted(entries: DataFrame) -> DataFrame:
+    """Entries with an id, restricted ones without summary and content."""
+    rows = entries.where("id is not null")
     open_ = ~F.coalesce(F.col("classification") == "restricted", F.lit(False))
     return rows.withColumns({"summary": F.when(open_, F.col("summary")), "content": F.when(open_, F.col("content"))})
 

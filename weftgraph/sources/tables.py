@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+# Fixed value: what headings of equipment end in.
+SCENE = "场景"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -25,9 +27,10 @@ def headers(spark: SparkSession, path: str, format_: str) -> list[str]:
     elif format_ == "parquet":
         names = spark.read.parquet(path).columns
     elif format_ == "json":
-        text = spark.read.text(path, wholetext=True).select(F.substring(F.col("value"), 1, 1_000_000).alias("v"), "value").first()
-        keys = F.json_object_keys(F.when(F.ltrim("value").startswith("["), F.get_json_object("value", "$[0]")).otherwise(F.col("value")))
-        row = spark.read.text(path, wholetext=True).select(keys.alias("k")).first() if text is not None else None
+        # a list of objects, one object, or one object a line
+        one = F.when(F.ltrim("value").startswith("["), F.get_json_object("value", "$[0]")).otherwise(F.substring_index(F.ltrim("value"), "\n", 1))
+        whole = F.coalesce(F.json_object_keys(one), F.json_object_keys("value"))
+        row = spark.read.text(path, wholetext=True).where(F.trim("value") != "").select(whole.alias("k")).first()
         names = list(row["k"] or []) if row is not None else []
     elif format_ == "xlsx":
         rows = cells(spark, path).where("sheet_no = 0 and row = 1").orderBy("col").collect()  # one header row
@@ -90,7 +93,11 @@ def _column(letters: str) -> int:
 
 def cells(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, sheet_no, sheet, row, col, value) of xlsx files, one file a task at most."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    return cells_of(spark.read.format("binaryFile").load(list(paths)).select("path", "content"))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """cells() of files (path, content)."""
     names = ["path", "sheet_no", "sheet", "row", "col", "value"]
     kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 
@@ -127,7 +134,7 @@ def _cells(line: str) -> list[str]:
     return [_clean(c) for c in line.strip().strip("|").split("|")]
 
 
-def markdown_tables(text: str, suffix: str = "场景") -> Iterator[tuple[int, list[str], list[list[str]]]]:
+def markdown_tables(text: str, suffix: str = SCENE) -> Iterator[tuple[int, list[str], list[list[str]]]]:
     """(number, columns, rows) of each pipe table; equipment is the `##` heading above it, phase the `###` one.
 
     A first body row that only names groups' parts is joined to the header above it; equal names get _1, _2; rows and

@@ -50,13 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def replace_all(tables: dict[str, DataFrame]) -> None:
     """Replaces the tables at several paths together: all are staged first; if a swap fails, all paths get their old tables back."""
-    staged = {}
-    for path, df in tables.items():
-        staged[path] = f"{path}.staged-{uuid.uuid4().hex}"
-        df.write.parquet(staged[path])
+    staged: dict[str, str] = {}
     done: list[tuple[str, str | None]] = []
     spark = next(iter(tables.values())).sparkSession if tables else None
     try:
+        for path, df in tables.items():
+            staged[path] = f"{path}.staged-{uuid.uuid4().hex}"
+            df.write.parquet(staged[path])
         for path, new in staged.items():
             backup = f"{path}.backup-{uuid.uuid4().hex}" if exists(spark, path) else None
             for old, to in ((path, backup), (new, path)):
