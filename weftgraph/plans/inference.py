@@ -81,11 +81,11 @@ def union_regex_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.constructed(triples, Rule("R-PATTERN", [("?p", "mode", Lit("systematic"))], [("?p", "a", "Part")], either=either), NS).select("s")
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, event_type FROM events),
-pair AS (SELECT a.event_id AS a, b.event_id AS b, b.user_id AS u FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts < b.ts + INTERVAL 1 HOUR AND b.ts < a.ts + INTERVAL 1 HOUR)
-SELECT kind, count(*) AS n FROM (SELECT DISTINCT a, u, 'edge' AS kind, 0 AS b FROM pair UNION ALL SELECT a, u, 'statement', b FROM pair) GROUP BY kind""")
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type FROM events)
+SELECT DISTINCT 'e:' || a.event_id AS s, 'impactsLot' AS p, 'lot:' || b.user_id AS o FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts < b.ts + INTERVAL 1 HOUR AND b.ts < a.ts + INTERVAL 1 HOUR
+UNION ALL SELECT 'e:' || a.event_id, 'derivedFrom', 'e:' || b.event_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts < b.ts + INTERVAL 1 HOUR AND b.ts < a.ts + INTERVAL 1 HOUR""")
 def impact_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plant rule of overlapping intervals: errors as down events, purchases as processing of a lot; edges and statements that it makes."""
+    """The plant rule of overlapping intervals: errors as down events, purchases as processing of a lot; edges that it makes, and what its statements rest on."""
     from weftgraph.operators.rule_catalog import catalog
 
     rule = next(r for r in catalog(NS) if r.id == "R-INF-003")
@@ -100,24 +100,31 @@ def impact_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in parts[1:]:
         triples = triples.unionByName(part)
     made = rules.constructed(triples, rule, NS)
-    kind = F.when(F.col("p") == NS + "impactsLot", "edge").when(F.col("p") == TYPE, "statement")
-    return made.withColumn("kind", kind).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+    edges = made.where(F.col("p") == NS + "impactsLot").select("s", F.lit("impactsLot").alias("p"), "o")
+    # the statements' ends: the down event that each is about and the run that it is derived from
+    about = made.where(F.col("p").endswith("#subject")).select(F.col("s").alias("node"), F.col("o").alias("s"))
+    sources = made.where(F.col("p") == NS + "derivedFrom").select(F.col("s").alias("node"), "o").join(about, "node").where("o <> s")
+    return edges.unionByName(sources.select("s", F.lit("derivedFrom").alias("p"), "o"))
 
 
 @query("""WITH l AS (SELECT o_orderkey, count(DISTINCT l_linenumber) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
-SELECT 'o:' || o_orderkey AS node, 'minCount' AS component FROM l WHERE n < 3 UNION ALL SELECT 'o:' || o_orderkey, 'maxCount' FROM l WHERE n > 6
-UNION ALL SELECT 'o:' || o_orderkey, 'class' FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE c_custkey IS NULL
-UNION ALL SELECT 'o:' || o_orderkey, 'or' FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'""")
+SELECT 'o:' || o_orderkey AS node, 'minCount' AS component, 'line' AS path, 'lines' AS message FROM l WHERE n < 3 UNION ALL SELECT 'o:' || o_orderkey, 'maxCount', 'line', 'lines' FROM l WHERE n > 6
+UNION ALL SELECT 'o:' || o_orderkey, 'class', 'by', 'customer' FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE c_custkey IS NULL
+UNION ALL SELECT 'o:' || o_orderkey, 'or', NULL, 'finish or urgency' FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'
+UNION ALL SELECT 'o:' || o_orderkey, 'datatype', 'placed', 'date' FROM orders WHERE o_orderkey % 3 = 0""")
 def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders need three to six lines, a customer in credit, and a finish or urgency."""
+    """Orders need three to six lines, a customer in credit, a date that is one, and a finish or urgency."""
     orders, lines, customers = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer"))
     o = "concat('o:', o_orderkey)"
     base = facts(orders, o, TYPE, "'Order'").unionByName(facts(orders, o, "by", "concat('c:', o_custkey)")).unionByName(facts(customers.where("c_acctbal > 0"), "concat('c:', c_custkey)", TYPE, "'Solvent'"))
     base = base.unionByName(facts(lines, "concat('o:', l_orderkey)", "line", "l_linenumber", "literal", "urn:int"))
     base = base.unionByName(facts(orders.where("o_orderstatus = 'F'"), o, "finished", "'yes'", "literal")).unionByName(facts(orders.where("o_orderpriority = '1-URGENT'"), o, "urgent", "'yes'", "literal"))
+    for rest, datatype in ((0, ""), (1, "urn:date"), (2, "urn:date")):
+        base = base.unionByName(facts(orders.where(f"o_orderkey % 3 = {rest}"), o, "placed", "date_format(o_orderdate, 'yyyy-MM-dd')", "literal", datatype))
     constraints = [
+        ("Date", "Order", "", "placed", None, None, None, "urn:date", "date"),
         *[("Lines", "Order", "", "line", 3, 6, None, "urn:int", "lines"), ("Payer", "Order", "", "by", None, None, "Solvent", None, "customer")],
         *[("Either", "Order", "a", "finished", 1, None, None, None, "finish or urgency"), ("Either", "Order", "b", "urgent", 1, None, None, None, "finish or urgency")],
     ]
     found = shapes.violations(base, base, spark.createDataFrame(constraints, shapes.CONSTRAINT))
-    return found.select("node", "component")
+    return found.select("node", "component", "path", "message")
