@@ -79,9 +79,10 @@ def verdicts(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataF
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with the columns host, path, rule and verdict, which replace columns of these names."""
     pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).drop("rule", "verdict")
-    found = verdicts(pages, rules, default).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "rule", "verdict")
-    joined = pages.join(found, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-    return joined.drop("__host", "__path").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    found = verdicts(pages, rules, default)
+    same = (F.col("page.host") == F.col("judged.host")) & (F.col("page.path") == F.col("judged.path"))
+    joined = pages.alias("page").join(found.alias("judged"), same, "left")
+    return joined.select("page.*", "judged.rule", F.coalesce("judged.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
