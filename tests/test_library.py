@@ -195,7 +195,7 @@ def test_paths_and_ties(spark):
     found = {r["node"]: (r["nearest"], r["depth"]) for r in graph.nearest_marked(up, spark.createDataFrame([("m1",), ("m2",), ("top",)], "node string")).collect()}
     assert found["x"] == ("m1", 1) and found["y"] == ("m1", 2) and found["m1"] == ("m1", 0) and "z" not in found
     with pytest.raises(ValueError):
-        graph.path_counts(up, 20)
+        graph.path_counts(up)
     empty = spark.createDataFrame([], "src string, dst string")
     assert graph.transitive_closure(empty).count() == 0 and graph.connected_components(empty).count() == 0
 
