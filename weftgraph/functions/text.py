@@ -147,6 +147,12 @@ def is_external(id_: Column) -> Column:
     return F.coalesce(id_.startswith("ext."), F.lit(False))
 
 
+def unwrapped_url(url: Column) -> Column:
+    """The address that a search engine's redirect leads to, in its `uddg` parameter; other addresses as they are."""
+    inner = F.regexp_extract(url, r"[?&]uddg=([^&#]*)", 1)
+    return F.when(inner != "", F.url_decode(inner)).otherwise(url)
+
+
 def compatible_unit(declared: Column, actual: Column) -> Column:
     """Equal, or the actual unit refines a placeholder of the declared one."""
     per_month = (declared == "unit/month") & actual.endswith("/month") & ~actual.startswith("CNY/")

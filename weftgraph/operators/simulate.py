@@ -183,6 +183,22 @@ def run(inputs: DataFrame, calculations: Sequence[Mapping], outputs: Sequence[st
     return results, summary.select("scenario", "model", payback.alias("payback_periods"), grade.alias("evidence_grade"), "errors")
 
 
+def sweep(models: DataFrame, problems: DataFrame, scenarios: DataFrame, summary: DataFrame, violations: DataFrame) -> DataFrame:
+    """(item, issue) of all models and scenarios at once.
+
+    models: (model); problems: (model, id, problem) of input_problems() and missing_inputs(); scenarios, summary and
+    violations as run() and assertion_violations() take and give them.  A scenario of an unknown model, or of one with
+    problems, is an issue itself.
+    """
+    of_models = problems.select(F.col("model").alias("item"), F.concat_ws(": ", "id", "problem").alias("issue"))
+    sound = models.select("model").join(problems.select("model"), "model", "left_anti")
+    lost = scenarios.join(sound, "model", "left_anti").select(F.col("scenario").alias("item"), F.concat(F.lit("no such model: "), F.col("model")).alias("issue"))
+    tried = scenarios.join(sound, "model", "left_semi").select("scenario")
+    errors = summary.join(tried, "scenario", "left_semi").select(F.col("scenario").alias("item"), F.explode("errors").alias("issue"))
+    broken = violations.join(tried, "scenario", "left_semi").select(F.col("scenario").alias("item"), F.concat_ws(" ", "variable", "problem").alias("issue"))
+    return of_models.unionByName(lost).unionByName(errors).unionByName(broken).distinct()
+
+
 def assertion_violations(results: DataFrame, assertions: DataFrame) -> DataFrame:
     """(scenario, variable, type, problem) of assertions (scenario, variable, type) that the results break."""
     joined = assertions.join(results, ["scenario", "variable"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from weftgraph.operators.reasoner import SUBCLASS, TYPE
 from weftgraph.plans.graphs import part_of
 from weftgraph.plans.inference import facts
 from weftgraph.plans.registry import query, table
+from weftgraph.storage import shared_folder
 
 
 @query("""SELECT p_partkey, p_type || ' ' || p_name AS collapsed, sha256(p_name || chr(10) || p_type) AS fingerprint, 'Dear ' || p_name || ', $other ' || p_size AS filled, p_partkey % 4 = 0 AS external, (26 * (p_partkey % 3 + 1) + p_size % 26)::INTEGER AS column_no,
@@ -256,3 +259,32 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("e"))
     rows.select("user_id", F.concat(F.array_join(F.transform("e", lambda x: x["props"]), "\n"), F.lit("\n")).alias("text")).createOrReplaceTempView("weft_lines")
     return spark.sql("SELECT user_id, c.chunk_no, c.chunk FROM weft_lines, LATERAL byte_chunks(text, 64) AS c")
+
+
+@query("""SELECT url, min(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY url""")
+def unwrapped_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results, every other one behind a redirect; each address once, at its first place."""
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    behind = F.concat(F.lit("https://search.example/l/?kh=1&uddg="), F.url_encode("url"), F.lit("&rut=x"))
+    rows = pages.select("page_id", T.unwrapped_url(F.when(F.col("page_id") % 2 == 0, behind).otherwise(F.col("url"))).alias("url"))
+    return windows.first_per_key(rows, ["url"], ["page_id"])
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS model FROM orders GROUP BY 1) SELECT model AS item, 'price: negative' AS issue FROM m WHERE model LIKE '5%' UNION ALL SELECT 'a:' || model, 'no such model: ' || model FROM m WHERE model LIKE '5%'
+UNION ALL SELECT 'b:' || model, 'no such model: x' FROM m UNION ALL SELECT 'c:' || model, 'units is negative' FROM m WHERE model NOT LIKE '5%' UNION ALL SELECT 'c:' || model, 'revenue fell' FROM m WHERE model NOT LIKE '5%' UNION ALL SELECT 'c:' || model, 'no such model: ' || model FROM m WHERE model LIKE '5%'""")
+def project_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is wrong with the models of priorities and their scenarios, written as JSON and read again."""
+    models = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model")).distinct()
+    price = F.when(F.col("model").startswith("5"), -1.0).otherwise(10.0)
+    values = F.array(F.struct(F.lit("units").alias("id"), F.lit(5.0).alias("value"), F.lit("unit").alias("unit")), F.struct(F.lit("price").alias("id"), price.alias("value"), F.lit("CNY").alias("unit")))
+    inputs = models.select("model", F.explode(values).alias("v"), F.lit("assumption").alias("source")).select("model", "v.*", "source")
+    none = F.lit(None).cast("string")
+    problems = simulate.input_problems(inputs.withColumns({"declared_unit": none, "source_ref": none, "ontology_ref": none}), spark.createDataFrame([], "ontology_ref string"))
+    kinds = models.select("model", F.explode(F.array(*map(F.lit, "abc"))).alias("kind"))
+    scenarios = kinds.select(F.concat_ws(":", "kind", "model").alias("scenario"), F.when(F.col("kind") == "b", "x").otherwise(F.col("model")).alias("model"))
+    steps = scenarios.where("scenario like 'c:%'").select("scenario", F.lit("units").alias("variable"), F.lit("multiply").alias("operation"), F.lit(-1.0).alias("value"), F.lit(0).alias("ord"))
+    results, summary = simulate.run(inputs, [{"id": "revenue", "algorithm": "finance.revenue", "inputs": ["units", "price"], "unit": "CNY"}], ["revenue"], scenarios, steps)
+    violations = simulate.assertion_violations(results, steps.select("scenario", F.lit("revenue").alias("variable"), F.lit("nondecreasing").alias("type")))
+    path = f"{shared_folder(spark)}/weft-sweep-{uuid.uuid4().hex}"
+    simulate.sweep(models, problems, scenarios, summary, violations).write.json(path)
+    return spark.read.schema("item string, issue string").json(path)
