@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftgraph.llm import decontamination, fingerprints, html_text, jobs, language_id, line_dedup, mixing, ngram_join, secret_scan, sharding, textkit, url_filter
 
@@ -127,6 +128,9 @@ def test_url_filter(spark):
         fits = [(len(h + p), h + p, v) for h, p, v in listed if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits)[1:] if fits else (None, "allow")
         assert (row["host"], row["path"], row["rule"], row["verdict"]) == (host, path, rule, verdict), row
+    clashing = spark.createDataFrame([(1, "http://a.net/", "h", "p", "r", "b", "k", "q")], "page_id long, url string, host string, __host string, rule string, block string, key string, __path string")
+    row = url_filter.judge(clashing, rules).collect()[0]
+    assert (row["host"], row["path"], row["rule"], row["verdict"], row["__host"], row["block"]) == ("a.net", "/", "net/", "block", "p", "b")
     none = spark.createDataFrame([], "rule_host string, rule_path string, verdict string")
     assert {r["verdict"] for r in url_filter.judge(pages, none).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
@@ -142,7 +146,7 @@ def distance_one(a: str, b: str) -> bool:
     return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
 
-def test_line_dedup(spark, docs, empty):
+def test_line_dedup(spark, docs, empty, monkeypatch):
     line = "the quick brown fox jumps over"
     texts = [line + "\nshort\n\n" + line + "!", line[:-1] + "\nshoru", line.replace("q", "k") + "\nshort", "café " + line + "\n" + line[1:], line[:10] + "z" + line[10:] + "\n \nunique line of its own", line[2:], None, "", "x" * 40, "x" * 39, "x" * 41 + "\n" + "x" * 40]
     table = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)] + [(None, line, "b")], "doc_id long, text string, dropped string").repartition(3)
@@ -155,6 +159,8 @@ def test_line_dedup(spark, docs, empty):
     kept = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(table).collect()}
     assert kept[None] == line and kept[6] is None
     assert kept[1] == "shoru" and kept[0] == line + "\nshort\n"
+    monkeypatch.setattr(line_dedup, "BLOCKS", 0)  # too many lines for a Bloom filter
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.dropped(table).collect()} == dict(want)
     assert line_dedup.dropped(empty).count() == 0
     assert line_dedup.deduplicated(docs).count() == docs.count()
 
@@ -202,6 +208,41 @@ def test_ngram_join(spark, docs, empty, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_components(rows)
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    near = base + " tail"
+    other = " ".join(f"z{k}" for k in range(40))
+    rows = [(5, base), (5, other), (None, near), (None, near + " more"), (9, other + " end"), (9, other + " end"), (3, None), (3, ""), (7, "one"), (None, "lonely text of its own here")]
+    table = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, row long, text_key string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(table).collect()), key=repr)
+    assert got == sorted([(5, 36, 5), (5, 36, 5), (None, 37, 5), (None, 38, 5), (9, 37, 5), (9, 37, 5), (3, 0, 3), (3, 0, 3), (7, 1, 7), (None, 2, None)], key=repr)
+    kept = ngram_join.without_near_copies(table)
+    assert kept.columns == table.columns
+    assert sorted(r["row"] for r in kept.collect()) == [0, 1, 6, 7, 8, 9]
+    equal = spark.createDataFrame([(1, base, k) for k in range(5)] + [(2, near, 9)], "doc_id long, text string, row long").repartition(4)
+    assert [r["doc_id"] for r in ngram_join.without_near_copies(equal).collect()] == [1]
+
+
+def test_frequent_shingles_go_last(spark, monkeypatch):
+    """A passage that most documents share, and a large group of near copies, dealt into blocks by their frequent shingles."""
+    rng = np.random.default_rng(7)
+    shared = [f"s{k}" for k in range(30)]
+    rows = []
+    for k in range(60):
+        own = [f"d{k}x{j}" for j in range(40)]
+        rows.append((k, " ".join(own[:20] + shared + own[20:])))
+    words = [f"c{k}" for k in range(60)]
+    for k in range(60, 120):
+        words = list(words)
+        words[int(rng.integers(0, 60))] = f"n{k}"
+        rows.append((k, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    signs = ngram_join.signatures(table, 5)
+    assert len(ngram_join.frequent_shingles(signs)) >= 26
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table).collect()} == brute_components(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=40), min_size=2, max_size=12))
 def test_bitmaps_lose_no_link(sets):
@@ -254,6 +295,81 @@ def test_html_text_sums_decide_on_marked_pages():
     assert html_text.main_text(f"<article><h1><a href=x>Linked head</a></h1>{BODY}</article><div>{BODY}</div>") == f"Linked head {TEXT} {TEXT}"
 
 
+def brute_text(lines: list[tuple[str, int, bool]]) -> str:
+    """Line blocks read from left to right: (text, characters in links, in an article); empty texts stand for what is stripped."""
+    weight = [(len(t) - linked) * 2 + 1 if inside and t else len(t) - linked for t, linked, inside in lines]
+    for threshold in (86, max(1, max(weight, default=0))):
+        kept, running = [False] * len(lines), False
+        for k in range(len(lines)):
+            block = sum(weight[k : k + 3])
+            if running and block == 0:
+                running = False
+            if not running and block >= threshold and weight[k]:
+                running = True
+                for back in range(k - 1, -1, -1):
+                    if not weight[back]:
+                        break
+                    kept[back] = True
+            kept[k] = kept[k] or running
+        if any(kept):
+            return " ".join(t for (t, _, _), keep in zip(lines, kept, strict=True) if keep and t)
+    return ""
+
+
+def test_html_text_by_brute_force():
+    rng = np.random.default_rng(12)
+
+    def words(n: int) -> str:
+        return " ".join("".join(rng.choice(list("abcdefg"), int(rng.integers(1, 8)))) for _ in range(n))
+
+    hidden = ["<nav><p>{}</p></nav>", "<div class='cookie-notice'>{}</div>", "<footer>{}</footer>", "<aside><ul><li>{}</ul></aside>", "<div id=comments><p>{}</p></div>", "<script>var a = '{}';</script>", "<p hidden>{}</p>", "<div class=\"x ad-slot\">{}</div>"]
+    shown = ["<p>{}</p>", "<div class='with-sidebar'>{}</div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<div class=legal-analysis><section>{}</section></div>", "<table><tr><td>{}</td></tr></table>"]
+    for _ in range(300):
+        page, lines = ["<html><head><title>t</title></head><body>"], []
+        inside = False
+        for _ in range(int(rng.integers(1, 14))):
+            text = words(int(rng.integers(1, 14)))
+            pick = rng.random()
+            if pick < 0.15:
+                page.append("</article>" if inside else "<article>")
+                inside = not inside
+            elif pick < 0.45:
+                form = hidden[int(rng.integers(len(hidden)))]
+                page.append(form.format(text))
+                if "script" not in form:
+                    lines.append(("", 0, inside))
+            elif pick < 0.6:
+                page.append(f"<p><a href=x>{text}</a></p>")
+                lines.append((text, len(text), inside))
+            else:
+                page.append(shown[int(rng.integers(len(shown)))].format(text.replace(" ", "\n ", 1)))
+                lines.append((text, 0, inside))
+        assert html_text.main_text("".join(page)) == brute_text(lines), "".join(page)
+
+
+def test_html_text_of_given_pages():
+    """Every article of the test pages comes out whole, with nothing else."""
+    import html
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    for page in pq.read_table(path, columns=["html"]).column("html").to_pylist():
+        article = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+        plain = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article)))
+        assert html_text.main_text(page) == " ".join(plain.split())
+
+
+def test_html_text_marks_whole_names_only():
+    for around in ("<div class='content with-sidebar'>%s</div>", "<div class='legal-analysis'>%s</div>", "<article><div class='social-policy'>%s</div></article>", "<div class=notice>%s</div>"):
+        assert html_text.main_text(around % BODY) == TEXT
+    assert html_text.main_text(f"<article>{BODY}</article><div class='notice'>Short notice.</div>") == TEXT
+    assert html_text.main_text("<div>" * 20_000 + BODY + "</nothing>" * 20_000) == TEXT
+
+
 # 6
 
 
@@ -389,6 +505,23 @@ def test_decontamination_query_finds_near_phrases(spark, tmp_path):
     assert sorted(relation.fetchall()) == sorted(tuple(r[c] for c in relation.columns) for r in got.values())
 
 
+def test_decontamination_in_passes(spark, docs, monkeypatch):
+    """Items beyond a pass, and long items in pieces, give what one pass gives."""
+    rng = np.random.default_rng(2)
+    words = [f"q{k}" for k in range(40)]
+    long = rng.choice(words, 300).tolist()
+    items = spark.createDataFrame([("long", " ".join(long)), ("a", " ".join(words[:20])), ("b", " ".join(words[5:12])), ("c", "only three words")], "item_id string, text string")
+    texts = [" ".join(long[k : k + 60]) for k in range(0, 240, 20)] + [" ".join(words), " ".join(words[4:14]), "only three words " + "x " * 80, None, " ".join(long)]
+    table = spark.createDataFrame([(k % 9, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    one = sorted(map(tuple, decontamination.contamination(table, items).collect()))
+    monkeypatch.setattr(decontamination, "PASS_WORDS", 40)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 30)
+    monkeypatch.setattr(decontamination, "SEGMENT", 500)
+    assert sorted(map(tuple, decontamination.contamination(table, items).collect())) == one
+    assert sum(r[-1] for r in one) >= len(texts) - 4
+    assert decontamination.decontaminated(table, items).count() == sum(not r[-1] for r in one)
+
+
 # 8
 
 
@@ -429,7 +562,7 @@ def language_rows(n: int) -> list[tuple]:
     return rows
 
 
-def test_language_id(spark):
+def test_language_id(spark, monkeypatch):
     rows = language_rows(400)
     odd = [(1000, None, "en"), (1001, "12 !!", "en"), (1002, "", None), (1003, "the with that " * 20_000, None), (None, "der die und", "de")]
     table = spark.createDataFrame([(*r, 1.0) for r in rows + odd], "doc_id long, text string, lang string, score double")
@@ -442,6 +575,15 @@ def test_language_id(spark):
     assert found[1003]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in found.values())
     mixed = language_id.label(model, ["the with and that " * 5 + "der die und schung heit " * 9])
     assert mixed[0][0] == "de" and 0.4 < mixed[0][1] < 0.9
+    again = language_id.trained(table.repartition(7).orderBy("text"), sample=150)
+    assert all(np.array_equal(getattr(model, c), getattr(again, c)) for c in ("weights", "lexicon", "transition", "start"))
+    words = language_id.words(spark.createDataFrame([(1, "the with and that 12 the and with der die und schung heit die der und"), (2, None), (3, "12")], "doc_id long, text string"), model).orderBy("word_no").collect()
+    assert {r["doc_id"] for r in words} == {1} and [r["word"] for r in words][:5] == ["the", "with", "and", "that", "the"]
+    assert sum(r["lang"] == ("en" if r["word_no"] < 7 else "de") for r in words) >= len(words) - 2 and all(0 < r["score"] <= 1 for r in words)
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 3000)
+    learned = next(k for k in range(5000, 6000) if zlib.crc32(str(k).encode()) % 3 != 1)
+    few = language_id.trained(table.unionByName(table.limit(1).select(F.lit(learned).cast("long").alias("doc_id"), F.lit("qu ".ljust(9000, "x")).alias("text"), F.lit("zz").alias("lang"), "score")))
+    assert "zz" in few.labels
     bare = language_id.trained(table.where("lang = 'none'"))
     assert {r["lang_pred"] for r in language_id.predictions(table, bare).collect()} == {"und"}
 
@@ -513,21 +655,65 @@ def test_fingerprints(spark, empty):
     assert base64.b64decode(prints[ids[0]].split(":")[0])
 
 
-def test_entropy_levels_match_direct_counts():
-    text = b"Some text, with 12 digits and \xc3\xa9 in it, long enough for a few windows of bytes to be counted."
-    data = np.frombuffer(text + b" ", np.uint8)
-    _, level, _ = fingerprints.windows(data, np.array([0]), np.array([len(text)]))
-    up, down = textkit._powers(len(data) + 1)
-    want = []
-    heads = []
-    for start in range(len(text) - 3):
-        head = sum(int(textkit._BYTE[b]) * int(up[start + j]) for j, b in enumerate(text[start : start + 4]))
-        heads.append(int(textkit.mix(np.array([head * int(down[start]) % 2**64], np.uint64))[0]))
-    for start in range(len(text) - 31):
-        if heads[start] == min(heads[max(0, start - 2) : start + 3]):
-            counts = Counter(int(fingerprints._CLASS[b]) for b in text[start : start + 32])
-            want.append(-sum(c / 32 * math.log2(c / 32) for c in counts.values()) / 5 * 1000)
-    assert len(want) == len(level) and all(abs(a - b) <= 1 for a, b in zip(want, level.tolist(), strict=True))
+def brute_chains(text: bytes, rank) -> list[set[int]]:
+    """The bits of each filter of a text, window by window in plain Python."""
+    mask = 2**64 - 1
+
+    def mix(x: int) -> int:
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def kind(b: int) -> int:
+        c = chr(b)
+        if b < 128 and c.isalpha():
+            return ord(c.lower()) - 97
+        return 26 if b in b" \t\n\r\x0b\x0c" else 27 if 48 <= b < 58 else 29 if b < 32 else 31 if 128 <= b < 192 else 30 if b >= 192 else 28
+
+    keys = []
+    for i in range(len(text) - 31):
+        window = text[i : i + 32]
+        sums = sum(round(c * math.log2(c) * 2**32) for c in Counter(map(kind, window)).values())
+        level = min(999, max(0, int(1000 - sums * (1000 / 5 / (2**32 * 32)))))
+        hashed = mix(sum(int(textkit._BYTE[b]) * pow(0x9E3779B97F4A7C15, j, 2**64) for j, b in enumerate(window)) & mask)
+        keys.append((int(rank[level]), hashed >> 16, hashed))
+    chosen = [k for i, k in enumerate(keys) if k[:2] == min(x[:2] for x in keys[max(0, i - 12) : i + 13])]
+    features = list(dict.fromkeys(k[2] for k in chosen))
+    if not features and text:
+        features = [int.from_bytes(hashlib.sha256(text).digest()[:8], "big")]
+    return [{(f >> (11 * k)) % 2048 for f in features[a : a + 160] for k in range(5)} for a in range(0, len(features), 160)]
+
+
+def brute_likeness(a: list[set[int]], b: list[set[int]]) -> float:
+    if not a or not b:
+        return float(len(a) == len(b))
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    score = 0.0
+    for f in short:
+        best = []
+        for g in long:
+            chance = len(f) * len(g) / 2048
+            best.append(min(1.0, max(0.0, (len(f & g) - chance) / max(max(len(f), len(g)) - chance, 1e-9))))
+        score += len(f) * max(best)
+    return min(1.0, score / sum(map(len, short)))
+
+
+def test_fingerprints_by_brute_force():
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh éÀ7.,\t"), 5)) for _ in range(int(n))).encode() for n in (0, 1, 4, 6, 7, 30, 400, 900)] + [b"z" * 100]
+    rank = rng.permutation(fingerprints.LEVELS)
+    got = fingerprints.chains(texts, rank)
+    want = [brute_chains(t, rank) for t in texts]
+    assert [[set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in c] for c in got] == want
+    for a, x in zip(got, want, strict=True):
+        for b, y in zip(got, want, strict=True):
+            assert abs(fingerprints.likeness(a, b) - brute_likeness(x, y)) < 1e-9
+    # a text with its last quarter replaced stays far nearer than another text
+    long = [t for t in texts if len(t) > 1500]
+    for t, other in zip(long, reversed(long), strict=True):
+        edited = t[: len(t) - len(t) // 4] + other[: len(t) // 4]
+        mine, changed, far = fingerprints.chains([t, edited, other], rank)
+        assert fingerprints.likeness(mine, changed) > 0.5 > fingerprints.likeness(mine, far) + 0.2
 
 
 def test_every_byte_starts_a_window():
@@ -536,7 +722,7 @@ def test_every_byte_starts_a_window():
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     at = ends - [len(t) for t in texts]
-    text, level, hashed = fingerprints.windows(data, at, ends, 0)
+    text, level, hashed = fingerprints.windows(data, at, ends)
     want = [(k, [fingerprints._CLASS[b] for b in t[i : i + 32]]) for k, t in enumerate(texts) for i in range(len(t) - 31)]
     assert text.tolist() == [k for k, _ in want]
     assert all(abs(x + 200 * sum(c / 32 * math.log2(c / 32) for c in Counter(w).values())) <= 1 for x, (_, w) in zip(level.tolist(), want, strict=True))
@@ -547,7 +733,7 @@ def test_every_byte_starts_a_window():
     rank = np.arange(fingerprints.LEVELS)
     for n in range(50):
         t = "".join(rng.choice(list("abcdefgh é"), 40))
-        features = fingerprints.windows(np.frombuffer(t.encode() + b" ", np.uint8), np.array([0]), np.array([len(t.encode())]), 0)[2]
+        features = fingerprints.windows(np.frombuffer(t.encode() + b" ", np.uint8), np.array([0]), np.array([len(t.encode())]))[2]
         (filters,) = fingerprints.chains([t.encode()], rank)
         assert any((fingerprints.chain(features[k : k + 1]) & ~filters == 0).all() for k in range(len(features))), n
 

@@ -2,10 +2,9 @@
 
 A feature is a window of 32 bytes.  A window starts at every byte and has the entropy of its bytes, folded to 32
 classes.  How rare an entropy is among all windows of the corpus ranks the windows; the one of lowest rank among its
-neighbours is selected.  Distinct features go in order into a chain of Bloom filters of 256 bytes, 160
-features each.  Two filters are compared by their common bits beyond those expected by chance, over the most there
-could be; two chains by the mean, over the filters of
-the shorter one by their bits, of the best match in the other.
+neighbours is selected.  Distinct features go in order into a chain of Bloom filters of 256 bytes, 160 features each.
+Two filters are compared by their common bits beyond those expected by chance, over the most there
+could be; two chains by the mean, over the filters of the shorter one by their bits, of the best match in the other.
 """
 
 from __future__ import annotations
@@ -23,9 +22,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm import jobs, textkit
 from weftgraph.llm.textkit import U
 
-#: Bytes of a window, places on either side of a thinned start, entropy levels, windows on either side of a feature, bits
-#: and features of a filter, bits of a feature.
-WINDOW, AROUND, LEVELS, NEIGHBOURS, BITS, FEATURES, HASHES = 32, 2, 1000, 12, 2048, 160, 5
+#: Bytes of a window, entropy levels, windows on either side of a feature, bits and features of a filter, bits of a feature.
+WINDOW, LEVELS, NEIGHBOURS, BITS, FEATURES, HASHES = 32, 1000, 12, 2048, 160, 5
+#: Bytes of text handled at once; their counters stay in a core's cache.
+PART = 1 << 16
 
 # letters regardless of case, white space, digits, punctuation, control bytes, lead and continuation bytes of UTF-8
 _CLASS = np.full(256, 28, np.int64)
@@ -65,36 +65,24 @@ def terms(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(data: np.ndarray, at: np.ndarray, ends: np.ndarray, around: int = AROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, entropy level, hash) of the windows of texts that lie in data from `at` up to `ends`, in order.
+def levels(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, entropy level) of the windows of texts that lie in data from `at` up to `ends`, in order."""
+    none = np.zeros(0, np.int64)
+    if len(data) <= WINDOW:
+        return none, none, none
+    sizes = np.maximum(0, ends - at - WINDOW + 1)
+    text = np.repeat(np.arange(len(at)), sizes)
+    start = np.arange(len(text)) + np.repeat(at - np.cumsum(sizes) + sizes, sizes)
+    scale = LEVELS / np.log2(WINDOW)
+    return text, start, np.clip((LEVELS - terms(data)[start] * (scale / (_ONE * WINDOW))).astype(np.int64), 0, LEVELS - 1)
 
-    around: only starts whose hash of 4 bytes is the least of so many places on either side; 0 for every byte, as the
-    operator has it.
-    """
+
+def windows(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, entropy level, hash) of the windows."""
+    text, start, level = levels(data, at, ends)
     up, down = textkit._powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(textkit._BYTE[data] * up[:-1], out=sums[1:])
-    if len(data) <= WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if around:
-        low = np.ones(len(data), bool)
-        short = np.full(len(data), ~U(0))
-        short[:-3] = textkit.mix((sums[4:] - sums[:-4]) * down[:-4])
-        for back in range(4):  # 4 bytes that reach beyond their text
-            short[np.maximum(ends - back, at)] = ~U(0)
-        for d in range(1, around + 1):
-            low[d:] &= short[d:] <= short[:-d]
-            low[:-d] &= short[:-d] <= short[d:]
-        start = np.flatnonzero(low)
-        text = np.searchsorted(at, start, side="right") - 1
-        inside = start + WINDOW <= ends[text]
-        start, text = start[inside], text[inside]
-    else:
-        sizes = np.maximum(0, ends - at - WINDOW + 1)
-        text = np.repeat(np.arange(len(at)), sizes)
-        start = np.arange(len(text)) + np.repeat(at - np.cumsum(sizes) + sizes, sizes)
-    scale = LEVELS / np.log2(WINDOW)
-    level = np.clip((LEVELS - terms(data)[start] * (scale / (_ONE * WINDOW))).astype(np.int64), 0, LEVELS - 1)
     return text, level, textkit.mix((sums[start + WINDOW] - sums[start]) * down[start])
 
 
@@ -126,9 +114,9 @@ def chain(features: np.ndarray) -> np.ndarray:
 def chains(texts: Iterable[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """The chain of each text; a text without a whole window is one feature, an empty one has no filter."""
     out: list[np.ndarray] = []
-    for row, _, data, at in textkit.chunks(pa.array(list(texts), pa.binary()).cast(pa.large_binary()).view(pa.large_string())):
+    for row, _, data, at in textkit.chunks(pa.array(list(texts), pa.binary()).cast(pa.large_binary()).view(pa.large_string()), PART):
         ends = np.append(at[1:], len(data)) - 1
-        text, level, hashed = windows(data, at, ends, 0)
+        text, level, hashed = windows(data, at, ends)
         keep = selected(text, level, hashed, rank)
         text, hashed = text[keep], hashed[keep]
         first = np.searchsorted(text, np.arange(len(at) + 1))
@@ -174,8 +162,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
-            for _, _, data, at in textkit.chunks(batch.column("text")):
-                total += np.bincount(windows(data, at, np.append(at[1:], len(data)) - 1, 0)[1], minlength=LEVELS)
+            for _, _, data, at in textkit.chunks(batch.column("text"), PART):
+                total += np.bincount(levels(data, at, np.append(at[1:], len(data)) - 1)[2], minlength=LEVELS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["level", "n"])
 

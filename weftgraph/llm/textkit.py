@@ -60,14 +60,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets[:-1], np.diff(offsets)
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a string column of about CHUNK bytes: (first row, end row, bytes with a space after each text, text starts)."""
+def chunks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a string column of about `most` bytes, else CHUNK: (first row, end row, bytes with a space after each text, text starts)."""
+    most = most or CHUNK
     data, starts, lengths = buffers(column)
     row, n = 0, len(starts)
     while row < n:
         end = row + 1
         total = int(lengths[row]) + 1
-        while end < n and total + lengths[end] + 1 <= CHUNK:
+        while end < n and total + lengths[end] + 1 <= most:
             total += int(lengths[end]) + 1
             end += 1
         out = np.full(total, 0x20, dtype=np.uint8)
