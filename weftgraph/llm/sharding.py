@@ -101,7 +101,8 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     dealt = held.withColumns({"__piece": piece, "__cell": F.concat_ws(":", "__group", piece, cell)})
     dealt = dealt.join(home, (F.col("__group") == F.col("__home")) & (F.col("__piece") == F.col("__at")))
     dealt = dealt.select(*[F.col(f"`{c}`") for c in rest], "__group", "__shard", "__cell", "__n")
-    others = base.join(assigned.select(F.col("group").alias("__home"), F.col("shard").alias("__shard"), F.col("packer").cast("string").alias("__cell")), F.col("__group") == F.col("__home"))
+    rest_of = base.join(known.select("__of_group"), F.col("__group") == F.col("__of_group"), "left_anti")
+    others = rest_of.join(assigned.select(F.col("group").alias("__home"), F.col("shard").alias("__shard"), F.col("packer").cast("string").alias("__cell")), F.col("__group") == F.col("__home"))
     others = others.select(*[F.col(f"`{c}`") for c in rest], "__group", "__shard", "__cell", F.lit(0).cast("long").alias("__n"))
 
     # rows of a shard before a cell, from the counts alone
