@@ -9,7 +9,6 @@ from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # What marks a question as one about instances, by kind.
 TIME = (
@@ -117,6 +116,7 @@ def kept_items(items: Column, required: Sequence[str]) -> Column:
     return F.filter(items, whole)
 
 
+# Fixed value: words in names of query keys that mark a credential.
 _SENSITIVE = re.compile(r"(?i)(token|key|secret|password|signature|credential|auth)")
 
 
@@ -142,6 +142,24 @@ def public_url(url: str | None) -> bool:
     return not any(_SENSITIVE.search(name) for name, _ in parse_qsl(parts.query, keep_blank_values=True))
 
 
-@F.pandas_udf(T.BooleanType())
-def public_url_udf(urls):
-    return urls.map(public_url)
+def is_public_url(url: Column) -> Column:
+    """public_url() as an expression; a null is not public."""
+    clean = F.trim(url)
+    place = F.regexp_extract(clean, r"(?i)^https?://([^/?#]*)", 1)
+    host = F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1))
+    port = F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:]*)(:?.*)$", 1)
+    good_port = port.isin("", ":") | (port.rlike(r"^:[0-9]{1,5}$") & F.substring(port, 2, 5).try_cast("int").between(1, 65535))
+    octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("int"))
+    a, b, c = (F.get(octets, F.lit(k)) for k in range(3))
+    numeric = host.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$") & ~F.exists(octets, lambda o: o > 255)
+    private = (
+        a.isin(0, 10, 127) | (a >= 240) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2))
+        | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    )
+    # of addresses in brackets only those of the global unicast range, less documentation, are public
+    bracketed = host.startswith("[") & ~(host.rlike(r"^\[[23][0-9a-f]{3}:") & ~host.rlike(r"^\[(?:2001:0?db8|3fff):"))
+    local = (host == "localhost") | host.rlike(r"\.(?:local|internal|localhost)$")
+    query = F.regexp_extract(clean, r"^[^?#]*\?([^#]*)", 1)
+    names = F.transform(F.split(query, "&"), lambda p: F.coalesce(F.try_url_decode(F.split(p, "=")[0]), p))
+    sensitive = F.exists(names, lambda n: n.rlike(_SENSITIVE.pattern))
+    return F.coalesce((F.char_length(url) <= 2048) & (host != "") & ~place.contains("@") & good_port & ~local & ~(numeric & private) & ~bracketed & ~sensitive, F.lit(False))

@@ -70,9 +70,16 @@ def instance_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(predicates.instance_signals(F.col("text")), ",").alias("signals"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://10.' || page_id % 300 || '.0.1/x' WHEN 2 THEN 'https://user@example.com/' || page_id WHEN 3 THEN 'http://172.' || page_id % 40 || '.1.2:80/' WHEN 4 THEN 'http://h' || page_id || '.example.com:8080/?a=1&api_Key=2' ELSE 'http://h' || page_id || '.internal/' END AS url FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN coalesce(length(url) <= 2048 AND regexp_matches(url, '^https?://[^/?#@:]+([/?#]|$)') AND NOT regexp_matches(url, '(?i)[?&][^=&#]*(token|key|secret|password|signature|credential|auth)[^=&#]*(=|&|#|$)'), false)
+WHEN 1 THEN page_id % 300 > 255 WHEN 3 THEN NOT page_id % 40 BETWEEN 16 AND 31 ELSE false END AS public FROM u""")
 def public_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", predicates.public_url_udf("url").alias("public"))
+    """Which addresses may be cited: those of pages, and made ones with private hosts, users and keys."""
+    n = F.col("page_id")
+    text = n.cast("string")
+    made = F.when(n % 6 == 0, F.col("url")).when(n % 6 == 1, F.concat(F.lit("https://10."), (n % 300).cast("string"), F.lit(".0.1/x"))).when(n % 6 == 2, F.concat(F.lit("https://user@example.com/"), text))
+    made = made.when(n % 6 == 3, F.concat(F.lit("http://172."), (n % 40).cast("string"), F.lit(".1.2:80/"))).when(n % 6 == 4, F.concat(F.lit("http://h"), text, F.lit(".example.com:8080/?a=1&api_Key=2"))).otherwise(F.concat(F.lit("http://h"), text, F.lit(".internal/")))
+    return table(spark, sf_dir, "pages").select("page_id", predicates.is_public_url(made).alias("public"))
 
 
 @query("""SELECT doc_id, greatest(1, count(*))::BIGINT > 0 AS some, true AS fits, true AS whole FROM documents WHERE length(text) > 0 GROUP BY doc_id""")
