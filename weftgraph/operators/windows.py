@@ -68,7 +68,7 @@ def even_sample(rows: DataFrame, order: Sequence[str], k: Mapping[str, int] | in
     placed = numbered(marked, order, "_group", "_at", "_n")
     # whether the row's place is one of the quota's even places, by the place that is nearest to it
     at, n, quota = F.col("_at"), F.col("_n"), F.col("_quota")
-    step = (n - 1) / F.greatest(quota - 1, F.lit(1))
+    step = F.greatest((n - 1) / F.greatest(quota - 1, F.lit(1)), F.lit(1e-9))
     near = F.bround(at / step, 0)
     hit = F.exists(F.array(near - 1, near, near + 1), lambda i: (i >= 0) & (i < quota) & (F.bround(i.cast("double") * (n - 1) / F.greatest(quota - 1, F.lit(1)), 0).cast("long") == at))
     taken = F.when(quota <= 0, False).when(quota >= n, True).when(quota == 1, at == F.floor(n / 2)).otherwise(hit)
