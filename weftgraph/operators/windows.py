@@ -96,7 +96,7 @@ def quotas(sizes: Mapping[str, int], limit: int, floor: int = 1) -> dict[str, in
     if rest > 0:
         given = {k: g + rest * (held[k] - g) // room for k, g in given.items()}
     left = limit - sum(given.values())
-    for k in sorted(held, key=held.get, reverse=True):
+    for k in sorted(held, key=lambda k: (-held[k], str(k))):
         more = max(0, min(held[k] - given[k], left))
         given[k] += more
         left -= more

@@ -62,7 +62,11 @@ def recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.recent(table(spark, sf_dir, "events"), "event_id", 30).select("event_id")
 
 
-@query()
+@query("""WITH b AS (SELECT p_type AS kind, count(*) AS n, count(*) FILTER (WHERE p_size > 45) AS m FROM part GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS kinds FROM b), q1 AS (SELECT kind, n, m, 1 + floor((100 - kinds) * (n - 1) / (total - kinds))::BIGINT AS q FROM b, t),
+q2 AS (SELECT *, row_number() OVER (ORDER BY n DESC, kind) AS nth, 100 - sum(q) OVER () AS spare FROM q1), quota AS (SELECT kind, n, m, (q + CASE WHEN nth = 1 THEN spare ELSE 0 END)::BIGINT AS q FROM q2),
+s AS (SELECT *, least(q - least((q + 4) // 5, m), n - m) AS o FROM quota), placed AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type, p_size > 45 ORDER BY p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type, p_size > 45) AS n, p_size > 45 AS marked FROM part),
+chosen AS (SELECT p_type, p_partkey, place, p.n, CASE WHEN marked THEN least(q - o, m) ELSE o END AS k FROM placed p JOIN s ON kind = p_type)
+SELECT p_type, p_partkey FROM chosen WHERE k >= n OR k = 1 AND place = n // 2 OR k > 1 AND list_contains(list_transform(range(k), lambda i: round_even(i * (n - 1)::DOUBLE / (k - 1), 0)::BIGINT), place)""")
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred parts over the types by quota, a fifth reserved for large ones; tests hold it against a plain version."""
+    """A hundred parts over the types by quota, a fifth reserved for large ones; a sampling operator."""
     return windows.balanced_sample(table(spark, sf_dir, "part"), "p_type", ["p_partkey"], 100, F.col("p_size") > 45).select("p_type", "p_partkey")
