@@ -30,6 +30,8 @@ from weftgraph.llm import jobs, textkit
 WINDOW, GAP, CANDIDATES = 13, 64, 1_000_000
 #: Words of items searched in one pass, and of one piece of an item.
 PASS_WORDS, PIECE_WORDS = 200_000, 50_000
+#: Bytes of text in a segment, about.
+SEGMENT = 1 << 19
 
 
 @dataclass
@@ -59,7 +61,7 @@ class Windows:
 
 def segments(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
     """(first row, end row, segment): word counts of the documents, sorted terms, their offsets, their positions."""
-    for row, end, data, at in textkit.chunks(texts):
+    for row, end, data, at in textkit.chunks(texts, SEGMENT):
         start, _, hashed = textkit.words(data, textkit.ALNUM)
         first = np.searchsorted(start, at)
         counts = np.diff(np.append(first, len(start)))

@@ -26,7 +26,7 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x41:0x5B] = True
 ALNUM[0x80:] = True
 #: Bytes of text handled at once in a task.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
