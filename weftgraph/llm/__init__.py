@@ -19,6 +19,8 @@ MODULES = {
     "op8_language_id": "language_id",
     "op9_secret_scan": "secret_scan",
     "op10_fingerprints": "fingerprints",
+    "op12_fill_middle": "fill_middle",
+    "op13_exact_dedup": "exact_dedup",
 }
 
 
