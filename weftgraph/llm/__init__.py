@@ -19,6 +19,7 @@ MODULES = {
     "op8_language_id": "language_id",
     "op9_secret_scan": "secret_scan",
     "op10_fingerprints": "fingerprints",
+    "op11_periodic_runs": "periodic_runs",
     "op12_fill_middle": "fill_middle",
     "op13_exact_dedup": "exact_dedup",
 }
