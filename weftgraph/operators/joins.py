@@ -8,22 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_seconds: int = 3600) -> DataFrame:
-    """Pairs of equal keys whose intervals (start, end) overlap: left.start < right.end and right.start < left.end.
+#: The nodes of the canonical cover of [lo, hi) in a binary tree over whole numbers: at each level the leftmost and the rightmost
+#: node that no node above takes.
+_COVER = """flatten(transform(sequence(0, {top}), k -> filter(array(
+  if(shiftright(lo + shiftleft(1L, k) - 1, k) < shiftright(hi, k) and shiftright(lo + shiftleft(1L, k) - 1, k) % 2 = 1, struct(k as level, shiftright(lo + shiftleft(1L, k) - 1, k) as node), null),
+  if(shiftright(lo + shiftleft(1L, k) - 1, k) < shiftright(hi, k) and shiftright(hi, k) % 2 = 1, struct(k as level, shiftright(hi, k) - 1 as node), null)
+), x -> x is not null)))"""
 
-    Columns of right get the prefix `r_`.  Each interval is put in every time bucket it touches and the join is on keys
-    and bucket, so a key with very many intervals is dealt over its buckets; a pair is kept in the later of the two
-    first buckets alone.  Intervals without an end, or of no length, match nothing.
-    """
 
-    def bucketed(df: DataFrame, start: str, end: str, bucket: str) -> DataFrame:
-        low, high = (F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_seconds * 1_000_000)) for c in (start, end))
-        return df.where(F.col(start) < F.col(end)).withColumn(f"_first_{bucket}", low).withColumn("_bucket", F.explode(F.sequence(low, high)))
+def interval_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of equal keys with left.start < right.end and right.start < left.end; a null start or end matches nothing.
+
+    Columns of right get the prefix `r_`.  Nothing else is asked of start and end, so a point in time (start = end) is
+    inside what begins before and ends after it, and an end in the far future costs no more than another.
 
+    A pair has either right's start in [left.start, left.end) or left's start strictly between right's ends.  So each side
+    once gives intervals and once points.  An interval gives the nodes of its canonical cover in a binary tree over time,
+    at most two a level; a point gives its ancestors; a pair meets in one node.  Leaves are as wide as starts lie apart on
+    average, so the levels are the log of the number of rows, or of the longest interval in leaves if that is less; an
+    interval rounded to leaves is compared exactly afterwards.
+    """
     right = right.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns])
-    a, b = bucketed(left, "start", "end", "a"), bucketed(right, "r_start", "r_end", "b")
-    joined = a.join(b, [*keys, "_bucket"]).where(F.col("_bucket") == F.greatest("_first_a", "_first_b"))
-    return joined.where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))).drop("_bucket", "_first_a", "_first_b")
+    a, b = (df.where(f"{start} is not null and {end} is not null") for df, start, end in ((left, "start", "end"), (right, "r_start", "r_end")))
+
+    def micros(c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp"))
+
+    ends = a.select(micros("start").alias("s"), micros("end").alias("e")).unionAll(b.select(micros("r_start"), micros("r_end")))
+    first, last, rows, longest = ends.agg(F.min("s"), F.max("s"), F.count("*"), F.max(F.col("e") - F.col("s"))).first()
+    first, last, longest = first or 0, last or 0, max(longest or 0, 1)
+    grain = max(1, (last - first + 1) // max(rows, 1))
+    top = (min(longest, last - first + 1) // grain + 1).bit_length()
+
+    def nodes(df: DataFrame, start: str, end: str) -> DataFrame:
+        inside = df.where(F.col(start) < F.col(end)).withColumns({"lo": F.greatest(micros(start), F.lit(first)) - first, "hi": F.least(micros(end) - 1, F.lit(last)) - first})
+        leaves = inside.withColumns({"lo": F.expr(f"lo div {grain}"), "hi": F.expr(f"if(hi < 0, 0, hi div {grain} + 1)")})
+        return leaves.withColumn("_n", F.explode(F.expr(_COVER.format(top=top)))).drop("lo", "hi")
+
+    def points(df: DataFrame, start: str) -> DataFrame:
+        leaf = df.withColumn("lo", F.expr(f"(unix_micros(cast({start} as timestamp)) - {first}L) div {grain}"))
+        return leaf.withColumn("_n", F.explode(F.expr(f"transform(sequence(0, {top}), k -> struct(k as level, shiftright(lo, k) as node))"))).drop("lo")
+
+    both = [*keys, "_n"]
+    later = nodes(a, "start", "end").join(points(b, "r_start"), both).where("start <= r_start and r_start < end and start < r_end")
+    earlier = points(a, "start").join(nodes(b, "r_start", "r_end"), both).where("r_start < start and start < r_end and r_start < end")
+    return later.drop("_n").unionByName(earlier.drop("_n"))
 
 
 def with_fallback(left: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str, default: str) -> DataFrame:

@@ -44,7 +44,7 @@ class Rule:
     """where: patterns, or several groups of (patterns, filter) that are alternatives in `either` on top of them.
 
     overlap: two intervals of variables (start, end) of text timestamps that have to overlap.  The patterns that share a
-    variable with the first interval are joined with the others over time buckets, not on their common variable alone.
+    variable with the first interval are joined with the others over nodes of time, not on their common variable alone.
     mint: (variable, function from variables to the text of a new IRI).  `_:name` in construct is a node made anew for
     each solution, named by the rule and the solution so that a second run names it the same.
     """
@@ -131,7 +131,8 @@ def _overlapping(triples: DataFrame, rule: Rule, namespace: str) -> DataFrame:
     for interval in rule.overlap:
         subject = next(p[0] for p in rule.where if p[2] == interval[0])
         side = solve(triples, [p for p in rule.where if p[0] == subject], namespace)
-        sides.append(side.withColumns({"start": F.try_to_timestamp(_text(interval[0])), "end": F.try_to_timestamp(_text(interval[1]))}))
+        # stored, as the join reads a side for its bounds, its intervals and its points
+        sides.append(stored(side.withColumns({"start": F.try_to_timestamp(_text(interval[0])), "end": F.try_to_timestamp(_text(interval[1]))}), "side"))
     subjects = {next(p[0] for p in rule.where if p[2] == i[0]) for i in rule.overlap}
     shared = [c for c in sides[0].columns if c in sides[1].columns and c not in ("start", "end")]
     pairs = interval_overlap(sides[0], sides[1], shared)

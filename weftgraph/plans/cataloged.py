@@ -23,12 +23,13 @@ NS = "urn:fab:"
 VALUES = {
     "?flag": ["TRUE", "false", "1", "0"], "?conforms": ["False", "true"], "?warnings": ["0", "3", "none"], "?code": ["Edge ring", "random", "CENTER"], "?words": ["am 边缘", "nothing", "reticle"],
     "?source": ["urn:fab:sixsense", "urn:fab:Telemetry9", "urn:fab:mes"],
-    "?from1": ["2024-01-01T00:00:00", "2024-01-01T01:00:00", "2024-01-01T02:30:00"], "?to1": ["2024-01-01T02:00:00", "2024-01-01T01:30:00", "2024-01-01T05:00:00"],
-    "?from2": ["2024-01-01T01:45:00", "2024-01-01T06:00:00"], "?to2": ["2024-01-01T03:00:00", "2024-01-01T07:00:00"],
+    "?from1": ["2024-01-01T00:00:00", "2024-01-01T01:00:00", "2024-01-01T02:30:00", "2024-01-01T02:00:00", "2024-01-01T06:30:00"],
+    "?to1": ["2024-01-01T02:00:00", "2024-01-01T01:30:00", "2024-01-01T05:00:00", "2024-01-01T02:00:00", "9999-12-31T00:00:00"],
+    "?from2": ["2024-01-01T01:45:00", "2024-01-01T06:00:00", "2024-01-01T03:00:00"], "?to2": ["2024-01-01T03:00:00", "9999-12-31T00:00:00", "2024-01-01T03:00:00"],
 }
 #: The filters of rules in SQL.
 FILTERS = {
-    "R-INF-003": "v_from1::TIMESTAMP < v_to2::TIMESTAMP AND v_from2::TIMESTAMP < v_to1::TIMESTAMP AND v_from1::TIMESTAMP < v_to1::TIMESTAMP AND v_from2::TIMESTAMP < v_to2::TIMESTAMP",
+    "R-INF-003": "v_from1::TIMESTAMP < v_to2::TIMESTAMP AND v_from2::TIMESTAMP < v_to1::TIMESTAMP",
     "R-AUTO-RELEASE-GATE-BLOCKING-FINDING-ROUND1": "lower(v_flag) IN ('true', '1')", "R-AUTO-VALIDATION-NONCONFORMING-REPORT-BLOCK-R1": "lower(v_conforms) = 'false'", "R-AUTO-VALIDATION-WARNING-REVIEW-R1": "try_cast(v_warnings AS BIGINT) > 0",
     "R-AUTO-FAB-RCA-TELEMETRY-ANOMALY-REPAIR3": "contains(lower(v_source), 'sixsense') OR contains(lower(v_source), 'telemetry')",
 }

@@ -9,16 +9,32 @@ from weftgraph.operators import joins
 from weftgraph.plans.registry import query, table
 
 
-@query("""SELECT a.user_id, a.event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id
-AND a.ts < b.ts + INTERVAL 1 HOUR AND b.ts < a.ts + INTERVAL 2 HOUR WHERE a.event_type = 'error' AND b.event_type = 'click'""")
-def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of two hours that overlap clicks of an hour of the same user."""
-    events = table(spark, sf_dir, "events")
+LASTING_SQL = """SELECT user_id, event_id, ts AS s, CASE event_id % 5 WHEN 0 THEN ts WHEN 1 THEN TIMESTAMP '9999-12-31' WHEN 2 THEN NULL WHEN 3 THEN ts - INTERVAL 1 HOUR ELSE ts + INTERVAL {hours} HOUR END AS e
+FROM events WHERE event_type = '{kind}'"""
+
 
-    def lasting(kind: str, hours: int) -> DataFrame:
-        return events.where(F.col("event_type") == kind).select("user_id", "event_id", F.col("ts").alias("start"), (F.col("ts") + F.expr(f"interval {hours} hours")).alias("end"))
+def _lasting(spark: SparkSession, sf_dir: str, kind: str, hours: int) -> DataFrame:
+    """Events that last for some hours, are points in time, have no known end or end before they start."""
+    end = f"case event_id % 5 when 0 then ts when 1 then timestamp_ntz '9999-12-31 00:00:00' when 2 then null when 3 then ts - interval 1 hour else ts + interval {hours} hours end"
+    return table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", "event_id", F.col("ts").alias("start"), F.expr(end).alias("end"))
 
-    return joins.interval_overlap(lasting("error", 2), lasting("click", 1), ["user_id"]).select("user_id", "event_id", "r_event_id")
+
+@query(f"""SELECT a.user_id, a.event_id, b.event_id AS r_event_id FROM ({LASTING_SQL.format(kind="error", hours=48)}) a JOIN ({LASTING_SQL.format(kind="click", hours=24)}) b
+ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that overlap clicks of the same user; points in time, open ends and reversed ones among them."""
+    return joins.interval_overlap(_lasting(spark, sf_dir, "error", 48), _lasting(spark, sf_dir, "click", 24), ["user_id"]).select("user_id", "event_id", "r_event_id")
+
+
+@query(f"""WITH a AS ({LASTING_SQL.format(kind="error", hours=48)}), b AS ({LASTING_SQL.format(kind="purchase", hours=24)})
+SELECT a.user_id % 5 AS grp, count(*) AS pairs, count(*) FILTER (a.s = a.e OR b.s = b.e) AS with_points, count(*) FILTER (year(a.e) = 9999 AND year(b.e) = 9999) AS both_open
+FROM a JOIN b ON a.user_id % 5 = b.user_id % 5 AND a.s < b.e AND b.s < a.e GROUP BY a.user_id % 5""")
+def interval_overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps within five groups of users, each holding a fifth of all rows."""
+    a, b = (_lasting(spark, sf_dir, k, h).withColumn("grp", F.col("user_id") % 5).drop("user_id") for k, h in (("error", 48), ("purchase", 24)))
+    found = joins.interval_overlap(a, b, ["grp"])
+    point, open_ = F.expr("start = end or r_start = r_end"), F.expr("year(end) = 9999 and year(r_end) = 9999")
+    return found.groupBy("grp").agg(F.count("*").alias("pairs"), F.count_if(point).alias("with_points"), F.count_if(open_).alias("both_open"))
 
 
 @query("""SELECT p_partkey, coalesce((SELECT 'sold by ' || min(l_suppkey) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49), CASE WHEN p_size > 25 THEN p_brand END, 'other') AS theme FROM part""")
