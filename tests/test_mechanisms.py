@@ -5,10 +5,9 @@ from __future__ import annotations
 import datetime
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import joins
+from weftgraph.operators import graph, joins, reasoner
 
 # interval join
 
@@ -17,13 +16,13 @@ def moment(x: int | None):
     return None if x is None else datetime.datetime(9999, 12, 31) if x == 99 else datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=x)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_interval_overlap(spark, seed):
-    rng = random.Random(seed)
+def test_interval_overlap(spark):
+    rng = random.Random(1)
 
     def intervals(n: int) -> list[tuple]:
         ends = [rng.choice([None, 99, *range(40)]) for _ in range(2 * n)]
-        return [(k, rng.choice("ab"), *sorted(p, key=lambda x: (x is None, x)) if rng.random() < 0.8 else p) for k, p in enumerate(zip(ends[::2], ends[1::2], strict=True))]
+        pairs = [sorted(p, key=lambda x: (x is None, x or 0)) if rng.random() < 0.8 else p for p in zip(ends[::2], ends[1::2], strict=True)]
+        return [(k, rng.choice("ab"), *p) for k, p in enumerate(pairs)]
 
     left, right = intervals(120), intervals(90)
     a, b = (spark.createDataFrame([(i, k, moment(s), moment(e)) for i, k, s, e in rows], "id long, key string, start timestamp, end timestamp") for rows in (left, right))
@@ -36,8 +35,96 @@ def test_interval_overlap(spark, seed):
 
 def test_intervals_of_one_open_row_stay_few(spark):
     """An interval that ends in 9999 gives no more nodes than twice the levels, and the levels follow the number of rows."""
-    a = spark.createDataFrame([(k, "x", moment(k), moment(99)) for k in range(200)], "id long, key string, start timestamp, end timestamp")
-    b = spark.createDataFrame([(k, "x", moment(k), moment(k)) for k in range(200)], "id long, key string, start timestamp, end timestamp")
+    a = spark.createDataFrame([(k, "x", moment(1000 + k), moment(99)) for k in range(200)], "id long, key string, start timestamp, end timestamp")
+    b = spark.createDataFrame([(k, "x", moment(1000 + k), moment(1000 + k)) for k in range(200)], "id long, key string, start timestamp, end timestamp")
     found = joins.interval_overlap(a, b, ["key"])
     assert found.count() == 200 * 199 // 2
     assert "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+# closure, components and cycles
+
+
+def reachable(edges: list[tuple]) -> set[tuple]:
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    found = set()
+    for start in out:
+        front = set(out[start])
+        seen: set = set()
+        while front:
+            seen |= front
+            front = {c for b in front for c in out.get(b, ())} - seen
+        found |= {(start, b) for b in seen}
+    return found
+
+
+def graphs() -> dict[str, list[tuple]]:
+    rng = random.Random(11)
+    return {
+        "chain": [(k, k + 1) for k in range(20)],
+        "ring and tails": [(k, (k + 1) % 12) for k in range(12)] + [(100 + k, 101 + k) for k in range(3)] + [(103, 7), (9, 200), (200, 201)],
+        "two rings": [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3), (9, 9), (8, 9), (1, 1)],
+        "random": [(rng.randrange(40), rng.randrange(40)) for _ in range(55)],
+    }
+
+
+def test_closure_components_and_cycles(spark):
+    """All the graphs side by side."""
+    found = [(a + 1000 * k, b + 1000 * k) for k, edges in enumerate(graphs().values()) for a, b in edges]
+    edges = spark.createDataFrame([*found, *found[:2]], "src long, dst long")
+    closed = reachable(found)
+    pairs = [tuple(r) for r in graph.transitive_closure(edges).select("src", "dst").collect()]
+    assert len(pairs) == len(closed) and set(pairs) == closed
+    want = {a: min(b for x, b in closed if x == a and (b, a) in closed) for a in {a for a, b in closed if a == b}}
+    assert {r["node"]: r["component"] for r in graph.strong_components(edges).collect()} == want
+    nodes = spark.createDataFrame(list(want.items()), "node long, component long")
+    paths = {r["component"]: r["path"] for r in graph.witness_cycles(edges, nodes).collect()}
+    assert set(paths) == set(want.values())
+    none = edges.limit(0)
+    assert graph.strong_components(none).count() == graph.witness_cycles(none, nodes.limit(0)).count() == graph.transitive_closure(none).count() == 0
+    for component, path in paths.items():
+        assert path[0] == path[-1] == component and all(e in set(found) for e in zip(path, path[1:], strict=False))
+        assert {want[n] for n in path} == {component} and len(set(path)) == len(path) - 1
+        # no shorter cycle leads through the component's smallest node
+        reach, steps = {component}, 0
+        while True:
+            reach, steps = {b for a, b in found if a in reach}, steps + 1
+            if component in reach:
+                break
+        assert steps == len(path) - 1
+
+
+def test_rounds_of_a_chain(spark):
+    """A chain of 2,000 edges is closed in 12 rounds."""
+    edges = spark.range(2000).selectExpr("id as src", "id + 1 as dst")
+    rounds = []
+    found = graph.transitive_closure(edges, each_round=rounds.append)
+    assert found.count() == 2000 * 2001 // 2 and len(rounds) <= 12
+
+
+def test_closure_within_groups(spark):
+    edges = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 3, 4)], "p string, src long, dst long")
+    assert {tuple(r) for r in graph.transitive_closure(edges, within=["p"]).select("p", "src", "dst").collect()} == {("a", 1, 2), ("a", 2, 3), ("a", 1, 3), ("b", 3, 4)}
+
+
+def test_reasoner_on_a_chain(spark):
+    """Transitive, sub- and chained predicates together give what single steps give, and a start that is closed gives the same."""
+    ns = "urn:x:"
+    schema = [(ns + "next", reasoner.SUBPROPERTY, ns + "before"), (ns + "before", reasoner.TYPE, reasoner.TRANSITIVE), (ns + "after", reasoner.INVERSE, ns + "before"), (ns + "C0", reasoner.SUBCLASS, ns + "C1"), (ns + "C1", reasoner.SUBCLASS, ns + "C2"), (ns + "before", reasoner.DOMAIN, ns + "C0")]
+    schema += [(ns + "uses", reasoner.CHAIN, "_:l1"), ("_:l1", reasoner.FIRST, ns + "before"), ("_:l1", reasoner.REST, "_:l2"), ("_:l2", reasoner.FIRST, ns + "holds"), ("_:l2", reasoner.REST, reasoner.NIL)]
+    facts = [(f"{ns}n{k}", ns + "next", f"{ns}n{k + 1}") for k in range(12)] + [(f"{ns}n8", ns + "after", f"{ns}z"), (f"{ns}n12", ns + "holds", f"{ns}tool"), (f"{ns}tool", ns + "before", f"{ns}n3")]
+
+    def frame(rows):
+        return spark.createDataFrame([(s, p, o, "iri", "", "") for s, p, o in rows], "s string, p string, o string, o_kind string, o_dt string, o_lang string")
+
+    rules = reasoner.read_schema(frame(schema))
+    once = {tuple(r)[:3] for r in reasoner.closure(frame(schema + facts), rules).collect()}
+    before = {(a, b) for a, p, b in once if p == ns + "before"}
+    direct = {(a, b) for a, p, b in facts if p == ns + "next"} | {(f"{ns}z", f"{ns}n8"), (f"{ns}tool", f"{ns}n3")}
+    assert before == reachable(sorted(direct)) and {(b, a) for a, p, b in once if p == ns + "after"} == before
+    assert {a for a, p, _ in once if p == ns + "uses"} == {a for a, b in before if b == f"{ns}n12"}
+    assert {a for a, p, b in once if p == reasoner.TYPE and b == ns + "C2"} == {a for a, _ in before}
+    half = reasoner.closure(frame(schema + facts[:8]), rules)
+    assert {tuple(r)[:3] for r in reasoner.closure(frame(facts[8:]), rules, start=half).collect()} == once

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import is_external
 from weftgraph.operators import graph
+from weftgraph.storage import stored
 
 
 def _rows(df: DataFrame, severity: str, rule: str, subject: Column | str, detail: Column) -> DataFrame:
@@ -108,7 +109,11 @@ def isolated(entities: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFram
 
 
 def acyclic(edges: DataFrame, rel_type: str = "precedes") -> DataFrame:
-    return _rows(graph.cycles(edges.where(F.col("rel_type") == rel_type)), "error", "R009", "node", F.lit(f"on a cycle of {rel_type}"))
+    """R009: nodes on a cycle, each with a shortest cycle through the smallest node of its component."""
+    edges = edges.where(F.col("rel_type") == rel_type)
+    nodes = stored(graph.strong_components(edges), "components")
+    paths = graph.witness_cycles(edges, nodes).select("component", F.array_join(F.transform("path", lambda n: n.cast("string")), " -> ").alias("_path"))
+    return _rows(nodes.join(paths, "component"), "error", "R009", "node", F.concat(F.lit(f"on a cycle of {rel_type}: "), "_path"))
 
 
 def route_steps(routes: DataFrame, edges: DataFrame, rel_type: str = "precedes") -> DataFrame:

@@ -102,18 +102,37 @@ def walk(edges: DataFrame, start: DataFrame, steps: Sequence[Step], types: DataF
     return front.select("start", "node")
 
 
-def transitive_closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
+def transitive_closure(edges: DataFrame, reflexive: bool = False, within: Sequence[str] = (), each_round: Callable[[int], object] = lambda n: None) -> DataFrame:
     """(src, dst) pairs joined by a path of one edge or more; with reflexive, also each node with itself.
 
-    Each round joins the new pairs with the edges, so a round adds the paths that are one edge longer.
+    within: columns that all edges of a path share; they come first in the result.  Paths double: after round k all
+    pairs at a distance of up to 2**k are known, and a farther pair is a pair at a distance of 2**k and a known one, so
+    the rounds are the log of the longest distance and a pair on a single path is made once.  each_round is told the
+    number of each round.
     """
-    base = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    base = stored(base, "edges")
-    hop = base.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
-    found = fixpoint(base, lambda new, _: new.join(hop, "dst").select("src", F.col("_to").alias("dst")))
+    g = list(within)
+    keys = [*g, "src", "dst"]
+    power = stored(edges.select(*keys).where("src is not null and dst is not null").distinct(), "edges")
+    parts, rounds = [power], 0
+    while True:
+        rounds += 1
+        each_round(rounds)
+        total = _union(parts)
+        hop = power.select(*g, "src", F.col("dst").alias("_mid"))
+
+        def met(right: DataFrame, hop: DataFrame = hop) -> DataFrame:
+            return hop.join(right.select(*g, F.col("src").alias("_mid"), "dst"), [*g, "_mid"]).select(*keys).distinct()
+
+        new = stored(met(total).join(total, keys, "left_anti"), "closure")
+        if new.isEmpty():
+            break
+        parts.append(new)
+        # of the pairs that two paths of this length make, those that are not nearer
+        power = stored(met(power).join(new, keys, "left_semi"), "power")
+    found = _union(parts)
     if reflexive:
-        nodes = base.select("src").union(base.select("dst")).distinct()
-        found = found.union(nodes.select("src", F.col("src").alias("dst"))).distinct()
+        nodes = parts[0].select(*g, "src").union(parts[0].select(*g, "dst")).distinct()
+        found = found.union(nodes.select(*g, "src", F.col("src").alias("dst"))).distinct()
     return found
 
 
@@ -140,9 +159,85 @@ def peeled(edges: DataFrame) -> DataFrame:
     return left
 
 
+def least_above(edges: DataFrame) -> DataFrame:
+    """(node, least): the smallest of the nodes that a path leads from to each node of an edge, itself among them.
+
+    In each round a node takes the least of its predecessors, and what the node it has taken has, so that the rounds grow
+    with the log of a path's length where numbers along it are in no order.
+    """
+    edges = edges.select("src", "dst")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    label = stored(nodes.select("node", F.col("node").alias("least"), F.lit(True).alias("moved")), "least")
+    while not (new := label.where("moved").select("node", "least")).isEmpty():
+        along = new.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), F.col("least").alias("_new"))
+        jump = label.select("node", F.col("least").alias("_via")).join(new.select(F.col("node").alias("_via"), F.col("least").alias("_new")), "_via").select("node", "_new")
+        best = along.unionAll(jump).groupBy("node").agg(F.min("_new").alias("_new"))
+        lower = F.coalesce(F.col("_new") < F.col("least"), F.lit(False))
+        old, label = label, stored(label.drop("moved").join(best, "node", "left").select("node", F.when(lower, F.col("_new")).otherwise(F.col("least")).alias("least"), lower.alias("moved")), "least")
+        discard(old)
+    return label.select("node", "least")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the nodes that lie on a cycle, a self loop among them; component is the smallest node that each shares a cycle with.
+
+    Peeling takes off what is on no path between cycles, a layer a round.  Then nodes are coloured by the least node that
+    leads to them, in the order of a hash, so that colours split a chain of components evenly; within a colour, the nodes
+    from which that node can be reached are its component.  They go, edges between colours go too, and what is left is
+    peeled and coloured again.
+    """
+    plain = edges.select("src", "dst").where("src is not null and dst is not null")
+    loops = stored(plain.where("src = dst").select(F.col("src").alias("node")).distinct(), "loops")
+    left, parts = peeled(plain.where("src <> dst").select(*[F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("node")).alias(c) for c in ("src", "dst")])), []
+    while not left.isEmpty():
+        colour = least_above(left)
+        inner = left.join(colour.toDF("src", "colour"), "src").join(colour.toDF("dst", "_other"), "dst").where("colour = _other").select("src", "dst")
+        inner = stored(inner, "inner")
+        back = least_above(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("least", "_back")
+        found = stored(colour.join(back, "node").where("least = _back").select("node", "least"), "components")
+        parts.append(found)
+        left = peeled(inner.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    alone = loops.select("node", F.col("node").alias("component"))
+    if not parts:
+        return alone
+    # a node by itself between two cycles is no component
+    every = _union(parts).select("node.node", "least")
+    named = every.groupBy("least").agg(F.min("node").alias("component"), F.count("*").alias("_n")).where("_n > 1")
+    sized = stored(every.join(named, "least").select("node", "component"), "components")
+    return sized.unionByName(alone.join(sized.select("node"), "node", "left_anti"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(node): nodes that lie on a cycle.  Only what peeling leaves is closed."""
-    return transitive_closure(peeled(edges)).where("src = dst").select(F.col("src").alias("node"))
+    """(node): nodes that lie on a cycle."""
+    return strong_components(edges).select("node")
+
+
+def witness_cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(component, path): a shortest cycle through the smallest node of each strong component, from that node back to it.
+
+    components: what strong_components() gives, if it is there already.  Of several nodes before a node on equally short
+    ways the smallest is taken.  All components are searched together, one step a round, and a component leaves the
+    search when its cycle is closed, so the rounds are as many as the longest of the cycles has edges.
+    """
+    node = stored(components if components is not None else strong_components(edges), "components")
+    ends = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    inner = ends.join(node.toDF("src", "component"), "src").join(node.toDF("dst", "_other"), "dst").where("component = _other").select("component", "src", "dst")
+    inner = stored(inner, "inner")
+    front = stored(node.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path")), "front")
+    seen, closed = [], []
+    while not front.isEmpty():
+        step = front.withColumnRenamed("node", "src").join(inner, ["component", "src"])
+        # paths of one length that end in one node: by the node before
+        best = step.groupBy("component", F.col("dst").alias("node")).agg(F.min_by("path", "src").alias("path"))
+        reached = stored(best.select("component", "node", F.concat("path", F.array("node")).alias("path")), "reached")
+        done = reached.where("node = component").select("component", "path")
+        closed.append(done)
+        seen.append(reached.select("component", "node"))
+        ahead = reached.join(done.select("component"), "component", "left_anti")
+        for old in seen[:-1]:
+            ahead = ahead.join(old, ["component", "node"], "left_anti")
+        front = stored(ahead, "front")
+    return _union(closed) if closed else front.select("component", "path")
 
 
 def ancestors_with_depth(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,10 @@ class Schema:
     alone: DataFrame
     pairs: DataFrame
 
+    def repeated(self) -> DataFrame:
+        """(p): predicates that go on from themselves, x p y and y p z give x p z."""
+        return self.pairs.where("p1 = p2 and p2 = q").select(F.col("q").alias("p"))
+
 
 def read_schema(triples: DataFrame) -> Schema:
     """The axioms of a schema's triples.  Sub-properties are closed; chains of two properties are kept, others listed."""
@@ -95,12 +100,13 @@ def expanded(schema: Schema, triples: DataFrame) -> DataFrame:
     return triples.select(*TRIPLE_COLUMNS).unionByName(made.select(subject.alias("s"), "p", object_.alias("o"), kind.alias("o_kind"), *same))
 
 
-def step(schema: Schema, new: DataFrame, every: DataFrame) -> DataFrame:
-    """What two triples, at least one of them new, give together, expanded."""
+def step(schema: Schema, new: DataFrame, every: DataFrame, repeated: bool = True) -> DataFrame:
+    """What two triples, at least one of them new, give together, expanded; without `repeated`, by other rules than those of repeated predicates."""
+    pairs = schema.pairs if repeated else schema.pairs.where("p1 <> p2 or p2 <> q")
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        one = left.where("o_kind <> 'literal'").select(F.col("s").alias("x"), F.col("p").alias("p1"), F.col("o").alias("y")).join(schema.pairs, "p1")
-        two = right.where("o_kind <> 'literal'").join(schema.pairs.select(F.col("p2").alias("p")).distinct(), "p", "left_semi").select(F.col("s").alias("y"), F.col("p").alias("p2"), F.col("o").alias("z"))
+        one = left.where("o_kind <> 'literal'").select(F.col("s").alias("x"), F.col("p").alias("p1"), F.col("o").alias("y")).join(pairs, "p1")
+        two = right.where("o_kind <> 'literal'").join(pairs.select(F.col("p2").alias("p")).distinct(), "p", "left_semi").select(F.col("s").alias("y"), F.col("p").alias("p2"), F.col("o").alias("z"))
         kind = F.when(F.col("z").startswith("_:"), "bnode").otherwise("iri")
         return one.join(two, ["y", "p2"]).select(F.col("x").alias("s"), F.col("q").alias("p"), F.col("z").alias("o"), kind.alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
 
@@ -122,13 +128,50 @@ def closure(triples: DataFrame, schema: Schema, start: DataFrame | None = None)
         return step(schema, new, every).unionByName(expanded(schema, new)) if again else step(schema, new, every)
 
     if start is None:
-        return fixpoint(triples, grow)
+        return _closed(schema, triples, again)
     start = stored(start.select(*TRIPLE_COLUMNS), "closed")
     fresh = triples.join(start, TRIPLE_COLUMNS, "left_anti")
     grown = fixpoint(fresh, lambda new, every: grow(new, every.unionByName(start)).join(start, TRIPLE_COLUMNS, "left_anti"))
     return start.unionByName(grown)
 
 
+def _closed(schema: Schema, triples: DataFrame, again: bool) -> DataFrame:
+    """The closure of expanded triples.  Predicates that go on from themselves are closed by doubling paths, the other rules run in rounds."""
+    repeated = F.broadcast(schema.repeated())  # of the schema
+
+    def hops(of: DataFrame) -> DataFrame:
+        return of.where("o_kind <> 'literal'").join(repeated, "p", "left_semi").select("p", F.col("s").alias("src"), F.col("o").alias("dst"))
+
+    new = stored(triples.distinct(), "closure")
+    parts, direct = [new], []
+    pending = stored(hops(new), "direct")  # triples of repeated predicates that no path has made
+    while True:
+        extra = None
+        if not pending.isEmpty():
+            direct.append(pending)
+            touched = _all(direct).join(pending.select("p").distinct(), "p", "left_semi") if len(direct) > 1 else pending
+            kind = F.when(F.col("dst").startswith("_:"), "bnode").otherwise("iri")
+            paths = transitive_closure(touched, within=["p"]).select(F.col("src").alias("s"), "p", F.col("dst").alias("o"), kind.alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+            made = stored(expanded(schema, paths).distinct().join(_all(parts), TRIPLE_COLUMNS, "left_anti"), "closure")
+            if not made.isEmpty():
+                parts.append(made)
+                new = new.unionByName(made)
+                # what a path gives by itself may belong to another repeated predicate
+                extra = made.join(paths, TRIPLE_COLUMNS, "left_anti")
+        total = _all(parts)
+        grown = step(schema, new, total, repeated=False)
+        grown = stored((grown.unionByName(expanded(schema, new)) if again else grown).distinct().join(total, TRIPLE_COLUMNS, "left_anti"), "closure")
+        pending = stored(hops(grown) if extra is None else hops(grown).unionByName(hops(extra)), "direct")
+        if grown.isEmpty() and pending.isEmpty():
+            return total
+        parts.append(grown)
+        new = grown
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def added(triples: DataFrame, closed: DataFrame) -> int:
     """How many triples the closure added."""
     return closed.join(triples.select(*TRIPLE_COLUMNS), TRIPLE_COLUMNS, "left_anti").count()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import graph
 from weftgraph.operators.graph import Step
 from weftgraph.plans.registry import query, table
+from weftgraph.storage import stored
 
 
 def part_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,48 @@ def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(next_nation(spark, sf_dir))
 
 
+BLOCK_SQL = """edge(src, dst) AS (SELECT p_partkey, p_partkey // 10 * 10 + (p_partkey * 7 + p_size) % 10 FROM part UNION SELECT p_partkey, p_partkey // 10 * 10 + p_size % 10 FROM part WHERE p_size % 3 = 0
+UNION SELECT p_partkey, p_partkey + 10 FROM part WHERE p_partkey % 130 = 0),
+reach(src, dst) AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON r.dst = e.src),
+comp AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"""
+
+
+def block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges among each ten parts, and some from ten to ten."""
+    parts = table(spark, sf_dir, "part")
+    first = parts.selectExpr("p_partkey as src", "p_partkey div 10 * 10 + (p_partkey * 7 + p_size) % 10 as dst")
+    return first.union(parts.where("p_size % 3 = 0").selectExpr("p_partkey", "p_partkey div 10 * 10 + p_size % 10")).union(parts.where("p_partkey % 130 = 0").selectExpr("p_partkey", "p_partkey + 10"))
+
+
+@query(f"WITH RECURSIVE {BLOCK_SQL} SELECT node, component FROM comp")
+def graph_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strong_components(block_edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {BLOCK_SQL}, inner_edge AS (SELECT a.component, src, dst FROM edge JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.component = b.component),
+walk(component, node, d) AS (SELECT DISTINCT component, component, 0 FROM comp UNION SELECT w.component, e.dst, w.d + 1 FROM walk w JOIN inner_edge e ON e.component = w.component AND e.src = w.node WHERE w.d < 11),
+dist AS (SELECT component, node, min(d) FILTER (d > 0) AS d FROM walk GROUP BY component, node),
+before AS (SELECT t.component, t.node, t.d, min(e.src) AS prev FROM dist t JOIN inner_edge e ON e.component = t.component AND e.dst = t.node
+  LEFT JOIN dist s ON s.component = t.component AND s.node = e.src WHERE CASE WHEN t.d = 1 THEN e.src = t.component ELSE e.src <> t.component AND s.d = t.d - 1 END GROUP BY t.component, t.node, t.d),
+back(component, node, d, path) AS (SELECT component, component, d, component::VARCHAR FROM before WHERE node = component
+  UNION ALL SELECT k.component, b.prev, k.d - 1, b.prev::VARCHAR || ' -> ' || k.path FROM back k JOIN before b ON b.component = k.component AND b.node = k.node AND b.d = k.d WHERE k.d > 0)
+SELECT component, path, (length(path) - length(replace(path, '>', '')))::BIGINT AS edges, (SELECT count(*) FROM comp c WHERE c.component = back.component)::BIGINT AS nodes FROM back WHERE d = 0""")
+def graph_witness_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest cycle of each component, as text, with its edges and the component's nodes."""
+    edges = block_edges(spark, sf_dir)
+    nodes = stored(graph.strong_components(edges), "components")
+    found = graph.witness_cycles(edges, nodes)
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("nodes"))
+    return found.join(sizes, "component").select("component", F.array_join(F.transform("path", lambda n: n.cast("string")), " -> ").alias("path"), (F.size("path") - 1).cast("long").alias("edges"), "nodes")
+
+
+@query("SELECT a.p_brand AS brand, a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
+def graph_chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each brand in a chain, closed."""
+    chain = graph.adjacent_pairs(table(spark, sf_dir, "part"), "p_brand", ["p_partkey"], "p_partkey")
+    return graph.transitive_closure(chain, within=["p_brand"]).select(F.col("p_brand").alias("brand"), "src", "dst")
+
+
 @query(f"""WITH RECURSIVE {EDGE_SQL}, up(node, dst, depth) AS (
   SELECT src, src, 0 FROM edge UNION SELECT dst, dst, 0 FROM edge UNION SELECT u.node, e.dst, u.depth + 1 FROM up u JOIN edge e ON u.dst = e.src
 ), hit AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, dst) AS nth FROM up WHERE dst LIKE 'r:%' OR dst IN (SELECT 'n:' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import reasoner, rules, shapes
+from weftgraph.operators import graph, reasoner, rules, shapes
 from weftgraph.operators.reasoner import CHAIN, DOMAIN, FIRST, INVERSE, NIL, RANGE, REST, SUBCLASS, SUBPROPERTY, TRANSITIVE, TYPE
 from weftgraph.operators.rules import Lit, Rule
 from weftgraph.plans.graphs import part_of
@@ -81,6 +81,19 @@ def union_regex_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.constructed(triples, Rule("R-PATTERN", [("?p", "mode", Lit("systematic"))], [("?p", "a", "Part")], either=either), NS).select("s")
 
 
+@query("""WITH c AS (SELECT p_brand, p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT 'p:' || p_partkey AS node, (n - k)::BIGINT AS after, (k - 1)::BIGINT AS before, nxt IS NOT NULL AS started FROM c WHERE n > 1""")
+def reasoner_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each brand in a chain of `directly precedes`, a part of the transitive `precedes` with an inverse and a domain: how many come after and before each part."""
+    parts = table(spark, sf_dir, "part")
+    chain = graph.adjacent_pairs(parts, "p_brand", ["p_partkey"], "p_partkey")
+    schema = [(NS + "directlyPrecedes", reasoner.SUBPROPERTY, NS + "precedes"), (NS + "precedes", TYPE, reasoner.TRANSITIVE), (NS + "follows", reasoner.INVERSE, NS + "precedes"), (NS + "precedes", reasoner.DOMAIN, NS + "Start")]
+    rules = reasoner.read_schema(spark.createDataFrame([(s, p, o, "iri", "", "") for s, p, o in schema], "s string, p string, o string, o_kind string, o_dt string, o_lang string"))
+    closed = reasoner.closure(facts(chain, "concat('p:', src)", NS + "directlyPrecedes", "concat('p:', dst)"), rules)
+    counts = [F.count_if(F.col("p") == NS + p).alias(c) for p, c in (("precedes", "after"), ("follows", "before"))]
+    return closed.groupBy(F.col("s").alias("node")).agg(*counts, F.max((F.col("p") == TYPE) & (F.col("o") == NS + "Start")).alias("started"))
+
+
 @query("""WITH e AS (SELECT event_id, user_id, ts, event_type FROM events)
 SELECT DISTINCT 'e:' || a.event_id AS s, 'impactsLot' AS p, 'lot:' || b.user_id AS o FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts < b.ts + INTERVAL 1 HOUR AND b.ts < a.ts + INTERVAL 1 HOUR
 UNION ALL SELECT 'e:' || a.event_id, 'derivedFrom', 'e:' || b.event_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts < b.ts + INTERVAL 1 HOUR AND b.ts < a.ts + INTERVAL 1 HOUR""")
