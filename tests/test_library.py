@@ -281,15 +281,15 @@ def test_signals(spark):
 
 @pytest.mark.parametrize(
     ("url", "ok"),
-    [("https://example.com/a?b=1", True), ("http://10.0.0.1/", False), ("http://localhost/", False), ("ftp://example.com", False), ("https://u:p@example.com", False), ("https://example.com/?api_key=1", False), ("https://example.com/" + "a" * 2048, False), (None, False), ("http://[::1]/", False)],
+    [("https://example.com/a?b=1", True), ("http://10.0.0.1/", False), ("http://localhost/", False), ("ftp://example.com", False), ("https://u:p@example.com", False), ("https://example.com/?api_key=1", False), ("https://example.com/" + "a" * 2048, False), (None, False), ("http://[::1]/", False), ("https://example.com/?author=1&keyword=2", True), ("https://example.com/?sig=1", False), ("http://localhost./", False), ("http://localhost.localdomain/", False)],
 )
 def test_public_url(url, ok):
     assert predicates.public_url(url) is ok
 
 
 def test_public_url_expression(spark):
-    hosts = ["example.com", "EXAMPLE.com:443", "10.1.2.3", "100.64.1.1", "172.20.0.1", "172.32.0.1", "192.168.3.4", "8.8.8.8", "256.1.1.1", "169.254.1.1", "198.18.0.1", "localhost", "a.local", "[::1]", "[2606:4700::1111]", "[2001:db8::1]", "u:p@example.com", "example.com:99999", "example.com:x", "", "01.2.3.4"]
-    urls = [f"{scheme}://{h}{rest}" for scheme in ("http", "HTTPS", "ftp") for h in hosts for rest in ("", "/a?b=1", "/?x=1&Access_Token=2", "?q=a%20b&to%6ben=1", "#token=1")] + [None, "", "nothing", "http://e.com/" + "x" * 2040]
+    hosts = ["example.com", "EXAMPLE.com:443", "10.1.2.3", "100.64.1.1", "172.20.0.1", "172.32.0.1", "192.168.3.4", "8.8.8.8", "256.1.1.1", "169.254.1.1", "198.18.0.1", "localhost", "LOCALHOST.", "a.local", "[::1]", "[2606:4700::1111]", "[2001:db8::1]", "u:p@example.com", "example.com:99999", "example.com:x", "", "01.2.3.4"]
+    urls = [f"{scheme}://{h}{rest}" for scheme in ("http", "HTTPS", "ftp") for h in hosts for rest in ("", "/a?b=1", "/?x=1&Access_Token=2", "?q=a%20b&to%6ben=1", "/?author=1&monkey=2", "/?SIG=1", "#token=1")] + [None, "", "nothing", "http://e.com/" + "x" * 2040]
     found = spark.createDataFrame([(u,) for u in urls], "u string").select("u", predicates.is_public_url(F.col("u")).alias("ok")).collect()
     assert [(r["u"], r["ok"]) for r in found] == [(u, predicates.public_url(u)) for u in urls]
 

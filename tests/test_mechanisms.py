@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import graph, joins, reasoner
+from weftgraph.operators import candidates, graph, joins, matching, predicates, questions, reasoner
 
 # interval join
 
@@ -128,3 +128,92 @@ def test_reasoner_on_a_chain(spark):
     assert {a for a, p, b in once if p == reasoner.TYPE and b == ns + "C2"} == {a for a, _ in before}
     half = reasoner.closure(frame(schema + facts[:8]), rules)
     assert {tuple(r)[:3] for r in reasoner.closure(frame(facts[8:]), rules, start=half).collect()} == once
+
+
+# many words in many texts, and routing by postings
+
+
+def test_hits_of_words(spark):
+    rng = random.Random(4)
+    words = ["", "a", "ab", "abc", "bc", "边缘", "缘环", "x y", "c", "A"]
+    texts = [None, ""] + ["".join(rng.choice(["a", "b", "c", "A", "边", "缘", "环", "x", " ", "y"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(k, w) for k, t in enumerate(texts) for w in words if w and t and w in t}
+    listed = spark.createDataFrame([(w,) for w in [*words, "a", None]], "word string")
+    for most in (1000, 3):  # one pass, and many
+        found = [tuple(r) for r in matching.hits(rows, "id", F.col("text"), listed, most=most).collect()]
+        assert len(found) == len(want) and set(found) == want
+    assert matching.hits(rows, "id", F.col("text"), listed.limit(0)).columns == ["id", "word"]
+    classes = spark.createDataFrame([("bc", "two", 2), ("abc", "three", 1), ("a", "one", 3), ("", "none", 0)], "word string, class string, ord int")
+    found = {r["id"]: r["class"] for r in matching.first_classes(rows, "id", F.col("text"), classes).collect()}
+    assert found == {k: next(c for w, c in (("abc", "three"), ("bc", "two"), ("a", "one")) if w in t) for k, t in enumerate(texts) if t and ("a" in t or "bc" in t)}
+    held = spark.createDataFrame([("abc", "g"), ("缘", "g"), ("zz", "h")], "word string, grp string")
+    first = sorted(k for k, t in enumerate(texts) if t and ("abc" in t or "缘" in t))[:3]
+    assert [tuple(r) for r in matching.first_hits(rows, "id", F.col("text"), held, "grp", 3).orderBy("id").collect()] == [("g", k) for k in first]
+
+
+def test_routing_without_pairs(spark):
+    """The best item is the same whether all pairs are scored or only candidates, and scores are those of the definition."""
+    rng = random.Random(9)
+    vocabulary = ["yield", "loss", "edge", "ring", "tool", "lot", "边缘", "良率", "step"]
+    items = [(f"i{k:02d}", rng.choice(["in_scope", "out_of_scope"]), [" ".join(rng.sample(vocabulary, rng.choice([1, 2, 3, 4]))) for _ in range(rng.randrange(3))], rng.sample(["A", "B", "C"], rng.randrange(3)), rng.choice([[], ["edge"], ["tool", "lot"]])) for k in range(25)]
+    names = [("A", "ring", "e1"), ("A", "tool", "e2"), ("B", "ring", "e3"), ("C", "良率", "e4"), ("C", "zzz", "e5")]
+    asked = [(k, " ".join(rng.choices([*vocabulary, "what", "is"], k=rng.randrange(1, 7)))) for k in range(40)] + [(99, None)]
+    q = spark.createDataFrame(asked, "qid long, question string")
+    i = spark.createDataFrame(items, "id string, bucket string, match_terms array<string>, entity_types array<string>, relations array<string>")
+    n = spark.createDataFrame(names, "type string, name string, id string")
+
+    def term_set(text: str) -> set[str]:
+        clean = text.replace(" ", "")
+        import re
+
+        rest = re.sub("[a-z0-9]+", "", clean)
+        return set(re.findall("[a-z0-9]+", clean)) | {rest[k : k + 2] for k in range(len(rest) - 1)}
+
+    want = {}
+    for qid, text in asked:
+        body = (text or "").replace(" ", "")
+        for ident, _, words, types, relations in items:
+            whole = [w for w in words if w.replace(" ", "") in body]
+            half = [w for w in words if w not in whole and len(term_set(w)) >= 3 and 2 * len(term_set(w) & term_set(text or "")) >= len(term_set(w))]
+            anchors = sorted({e for t, name, e in names if t in types and name in body})
+            named = [r for r in relations if r in body]
+            score = 10.0 * (len(whole) + 0.5 * len(half) + len(named)) + 3.0 * len(anchors)
+            if score:
+                want[qid, ident] = (score, whole + named, anchors)
+    every = questions.scored(q, i, n)
+    assert {(r["qid"], r["id"]): (r["score"], r["intent"], r["anchors"]) for r in every.collect()} == want and len(want) > 100
+    few = questions.scored(q, i, n, every=False)
+    best = [{tuple(r) for r in questions.best(s).select("qid", "id", "score").collect()} for s in (every, few)]
+    assert best[0] == best[1] and few.count() < every.count()
+    plan = few._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+# rules on reports and articles
+
+
+def test_baseline_failures(spark):
+    cases = [
+        ("Constraint Violation. Focus Node: <urn:x:node1>", "no node here; Constraint", True), ("Constraint Violation. Focus Node: <urn:x:node1>", "has URN:X:NODE1 in it", False), ("constraint violation, focus node unknown", "any", True),
+        ("Focus Node: <urn:x:node1>", "", False), ("Constraint Violation", "", False), (None, "x", False), ("Constraint violation FOCUS NODE: urn:a Focus node:urn:b", "holds urn:b", False), ("Constraint violation Focus Node: urn:a", None, True),
+    ]
+    rows = spark.createDataFrame([(k, e, c) for k, (e, c, _) in enumerate(cases)], "k int, error string, candidate string")
+    found = {r["k"]: r["b"] for r in rows.select("k", predicates.baseline_failure(F.col("error"), F.col("candidate")).alias("b")).collect()}
+    assert [found[k] for k in range(len(cases))] == [c[2] for c in cases]
+
+
+def test_scores_of_articles(spark):
+    row = spark.createDataFrame([("首先其次最后综上", 2)], "text string, evidence int").select(predicates.tone(F.col("text")).alias("t"), predicates.factual(F.array().cast("array<string>"), F.col("evidence")).alias("f"), predicates.factual(F.array(F.lit("a"), F.lit("b")), F.col("evidence")).alias("g"), predicates.factual(F.array().cast("array<string>"), F.lit(0)).alias("h")).first()
+    assert tuple(row) == (0.6, 1.0, 0.75, 1.0)
+
+
+def test_repair_fallbacks(spark):
+    errors = [(1, "shacl. Focus Node: <urn:x/longname>"), (2, "shacl. Focus Node: <urn:x/otherone>"), (3, "rule broken"), (4, "unclear"), (5, "shacl"), (6, "shacl Focus Node: ab")]
+    outputs = [(f"a{k}", k, "semantic_files", f"text {k} longname" if k == 3 else f"text {k}") for k in range(5)]
+    found = candidates.repair_targets(spark.createDataFrame(errors, "error_id int, error string"), spark.createDataFrame(outputs, "agent string, ord int, kind string, text string"))
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["error_id"], []).append(r["agent"])
+    every, three = [f"a{k}" for k in range(5)], ["a0", "a1", "a2"]
+    assert {k: sorted(v) for k, v in got.items()} == {1: ["a3"], 2: three, 3: three, 4: every, 5: every, 6: every}

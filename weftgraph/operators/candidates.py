@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.matching import hits
+from weftgraph.operators.predicates import focus_nodes
 from weftgraph.operators.windows import even_sample, first_per_key
+from weftgraph.storage import stored
 
 # Parts of local names that mark a type as one of governance.
 GOVERNANCE = [
@@ -201,20 +204,38 @@ def repair_targets(errors: DataFrame, outputs: DataFrame) -> DataFrame:
 
     The error's kind is that of the first word of REPAIRS in it; without one, all agents are.  Of the agents with files of
     the kind those are whose text holds a node that the error names, all of them if it names none; if none is, the first
-    three with files of the kind are.
+    three with files of the kind are, and if there are none, the first three of all.
+
+    Errors that ask the same (kind and nodes) are answered once; one automaton looks for the nodes of all errors in each
+    text, and an error meets the texts that hold one of its nodes.
     """
     lowered = F.lower("error")
     kind = F.coalesce(*[F.when(lowered.contains(word), name) for word, name in REPAIRS])
-    named = F.regexp_extract_all("error", F.lit(r"(?i)Focus Node:\s*(<[^>]+>|[^\s]+)"), 1)
-    whole = F.transform(named, lambda t: F.regexp_replace(t, "^[<>]+|[<>]+$", ""))
+    whole = focus_nodes(F.col("error"))
     tokens = F.array_distinct(F.concat(whole, F.transform(whole, lambda t: F.regexp_extract(t, "[^:]*$", 0)), F.transform(whole, lambda t: F.regexp_extract(t, "[^/]*$", 0))))
-    asked = errors.select("error_id", kind.alias("kind"), F.filter(tokens, lambda t: F.char_length(t) >= 6).alias("tokens"))
-    every = asked.where("kind is null").select("error_id").join(F.broadcast(outputs.select("agent").distinct()), F.lit(True))
-    able = asked.join(outputs, "kind")
-    hit = able.where((F.size("tokens") == 0) | F.exists("tokens", lambda t: F.col("text").contains(t))).select("error_id", "agent").distinct()
-    rest = able.join(hit.select("error_id").distinct(), "error_id", "left_anti")
-    first = rest.withColumn("_nth", F.row_number().over(Window.partitionBy("error_id").orderBy("ord"))).where("_nth <= 3").select("error_id", "agent")
-    return every.unionByName(hit).unionByName(first)
+    asked = stored(errors.select("error_id", kind.alias("kind"), F.array_sort(F.filter(tokens, lambda t: F.char_length(t) >= 6)).alias("tokens")), "asked")
+    files = stored(outputs.withColumn("_row", F.struct("agent", "kind")), "outputs")
+    agents = files.groupBy("agent").agg(F.min("ord").alias("ord"))
+    question = asked.select("kind", "tokens").distinct().withColumn("ask", F.xxhash64("kind", "tokens"))
+    question = stored(question, "questions")
+    named = question.where("kind is not null and size(tokens) > 0").select("ask", "kind", F.explode("tokens").alias("word"))
+    found = hits(files, "_row", F.col("text"), named).select(F.col("_row.agent").alias("agent"), F.col("_row.kind").alias("kind"), "word")
+    by_node = named.join(found, ["kind", "word"]).select("ask", "agent").distinct()
+    by_kind = files.select("kind", "agent", "ord").groupBy("kind", "agent").agg(F.min("ord").alias("ord"))
+    of_kind = question.where("kind is not null and size(tokens) = 0").join(by_kind, "kind").select("ask", "agent")
+    hit = stored(by_node.unionByName(of_kind), "hit")
+    lost = question.where("kind is not null").join(hit.select("ask").distinct(), "ask", "left_anti")
+    first = by_kind.withColumn("_nth", F.row_number().over(Window.partitionBy("kind").orderBy("ord", "agent"))).where("_nth <= 3").select("kind", "agent")
+    of_first = lost.join(first, "kind").select("ask", "agent")
+    # three rows
+    last = lost.join(first.select("kind").distinct(), "kind", "left_anti").join(F.broadcast(agents.orderBy("ord", "agent").limit(3).select("agent")), F.lit(True)).select("ask", "agent")
+    answers = hit.unionByName(of_first).unionByName(last)
+    told = asked.where("kind is not null").select("error_id", F.xxhash64("kind", "tokens").alias("ask")).join(answers, "ask").select("error_id", "agent")
+    # an unclear error is one for every agent: that is what the rule says; errors are dealt, agents are copied to each part
+    parts = int(errors.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    copied = agents.select("agent", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    unclear = asked.where("kind is null").select("error_id", F.pmod(F.xxhash64("error_id"), F.lit(parts)).cast("int").alias("_part")).join(copied, "_part").select("error_id", "agent")
+    return unclear.unionByName(told)
 
 
 def appended_playbooks(records: DataFrame, triples: DataFrame, namespace: str, label_p: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ipaddress
-import re
 from collections.abc import Mapping, Sequence
 from urllib.parse import parse_qsl, urlsplit
 
@@ -67,14 +66,21 @@ def gate_error(text: Column, priorities: Sequence[tuple[str, Sequence[str]]], ot
     return keyword_class(text, [], priorities, otherwise)
 
 
-def focus_nodes(text: Column, pattern: str = r"[A-Za-z0-9_:.\-]{6,}") -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0))
+def focus_nodes(text: Column) -> Column:
+    """The nodes that a validator's report names after `Focus Node:`, without angle brackets."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)Focus Node:\s*(<[^>]+>|\S+)"), 1)
+    return F.filter(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, "^[<>]+|[<>]+$", ""))), lambda t: t != "")
 
 
 def baseline_failure(error: Column, candidate: Column) -> Column:
-    """True if the error names nodes and none of them occurs in the candidate's text."""
-    nodes = focus_nodes(error)
-    return (F.size(nodes) > 0) & ~F.exists(nodes, lambda n: F.coalesce(candidate, F.lit("")).contains(n))
+    """True if a constraint violation is about nodes that the candidate's text doesn't hold; also if it names none.
+
+    Both phrases have to be in the error; case doesn't matter.
+    """
+    lowered = F.lower(F.coalesce(error, F.lit("")))
+    about = lowered.contains("constraint violation") & lowered.contains("focus node")
+    body = F.lower(F.coalesce(candidate, F.lit("")))
+    return about & ~F.exists(focus_nodes(lowered), lambda n: body.contains(n))
 
 
 def article_errors(text: Column, needed: Sequence[str], banned: Sequence[str], least: int = 500) -> Column:
@@ -87,8 +93,18 @@ def article_errors(text: Column, needed: Sequence[str], banned: Sequence[str], l
     return F.filter(F.array(*checks), lambda e: e.isNotNull())
 
 
-def tone(errors: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.size(errors) / 10.0))
+# Fixed value: turns of phrase that count against an article's tone.
+TURNS = "首先|其次|最后|综上"
+
+
+def tone(text: Column) -> Column:
+    """1 less a tenth for each turn of phrase, 0 at least."""
+    return F.greatest(F.lit(0.0), 1.0 - F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TURNS)) / 10.0)
+
+
+def factual(errors: Column, evidence: Column) -> Column:
+    """1 for an article with evidence (a number of sources) and without errors, else 1 less an eighth for each error."""
+    return F.when((F.coalesce(evidence, F.lit(0)) > 0) & (F.size(errors) == 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.size(errors) / 8.0))
 
 
 def report_errors(text: Column, numbers: Mapping[str, Column], most: int = 4000) -> Column:
@@ -116,50 +132,50 @@ def kept_items(items: Column, required: Sequence[str]) -> Column:
     return F.filter(items, whole)
 
 
-# Fixed value: words in names of query keys that mark a credential.
-_SENSITIVE = re.compile(r"(?i)(token|key|secret|password|signature|credential|auth)")
+# Fixed value: names of query keys that hold a credential.
+SENSITIVE_KEYS = ("access_token", "api_key", "apikey", "auth", "authorization", "key", "password", "passwd", "secret", "signature", "sig", "token")
+# Fixed value: names of this machine.
+LOCAL_HOSTS = ("localhost", "localhost.localdomain")
 
 
 def public_url(url: str | None) -> bool:
-    """A web address of at most 2048 characters without user, private host or sensitive query key."""
-    if not url or len(url) > 2048:
+    """A web address of at most 2048 characters without user, private host or query key of a credential."""
+    if not url or len(url.strip()) > 2048:
         return False
     try:
         parts = urlsplit(url.strip())
-        host = parts.hostname
+        host = (parts.hostname or "").rstrip(".")
         port_ok = parts.port is None or parts.port > 0
     except ValueError:
         return False
-    if parts.scheme not in ("http", "https") or not host or parts.username or parts.password or not port_ok:
-        return False
-    if host == "localhost" or host.endswith((".local", ".internal", ".localhost")):
+    if parts.scheme not in ("http", "https") or not host or parts.username or parts.password or not port_ok or host in LOCAL_HOSTS:
         return False
     try:
-        if not ipaddress.ip_address(host).is_global:
+        address = ipaddress.ip_address(host)
+        if address.is_private or address.is_loopback or address.is_link_local or address.is_reserved:
             return False
     except ValueError:
         pass
-    return not any(_SENSITIVE.search(name) for name, _ in parse_qsl(parts.query, keep_blank_values=True))
+    return not any(name.casefold() in SENSITIVE_KEYS for name, _ in parse_qsl(parts.query, keep_blank_values=True))
 
 
 def is_public_url(url: Column) -> Column:
     """public_url() as an expression; a null is not public."""
     clean = F.trim(url)
     place = F.regexp_extract(clean, r"(?i)^https?://([^/?#]*)", 1)
-    host = F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1)), r"\.+$", "")
     port = F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:]*)(:?.*)$", 1)
     good_port = port.isin("", ":") | (port.rlike(r"^:[0-9]{1,5}$") & F.substring(port, 2, 5).try_cast("int").between(1, 65535))
     octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("int"))
     a, b, c = (F.get(octets, F.lit(k)) for k in range(3))
     numeric = host.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$") & ~F.exists(octets, lambda o: o > 255)
     private = (
-        a.isin(0, 10, 127) | (a >= 240) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2))
+        a.isin(0, 10, 127) | (a >= 240) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2))
         | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     )
     # of addresses in brackets only those of the global unicast range, less documentation, are public
     bracketed = host.startswith("[") & ~(host.rlike(r"^\[[23][0-9a-f]{3}:") & ~host.rlike(r"^\[(?:2001:0?db8|3fff):"))
-    local = (host == "localhost") | host.rlike(r"\.(?:local|internal|localhost)$")
     query = F.regexp_extract(clean, r"^[^?#]*\?([^#]*)", 1)
     names = F.transform(F.split(query, "&"), lambda p: F.coalesce(F.try_url_decode(F.split(p, "=")[0]), p))
-    sensitive = F.exists(names, lambda n: n.rlike(_SENSITIVE.pattern))
-    return F.coalesce((F.char_length(url) <= 2048) & (host != "") & ~place.contains("@") & good_port & ~local & ~(numeric & private) & ~bracketed & ~sensitive, F.lit(False))
+    sensitive = F.exists(names, lambda n: F.lower(n).isin(*SENSITIVE_KEYS))
+    return F.coalesce((F.char_length(clean) <= 2048) & (host != "") & ~place.contains("@") & good_port & ~host.isin(*LOCAL_HOSTS) & ~(numeric & private) & ~bracketed & ~sensitive, F.lit(False))

@@ -1,7 +1,8 @@
 """Routing questions to competency queries by scores, and probing the graph along the route.
 
 Questions are (qid, question), competency items (id, bucket, match_terms array, entity_types array, relations array).
-All questions are scored against all items, which is a stated small catalogue, in one plan.
+Items and names may be as many as questions: one automaton over intent words, relation names and entity names finds what a
+question holds, and an inverted index of the terms of intent words finds those that share half of their terms with it.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.text import normalised, terms
 from weftgraph.operators.graph import Step, walk
+from weftgraph.operators.matching import hits
 from weftgraph.operators.predicates import instance_signals
 from weftgraph.operators.windows import first_values
+from weftgraph.storage import stored
 
 # Weights of intent words and of named entities, and the least score of a match.
 INTENT, ENTITY, LEAST = 10.0, 3.0, 6.0
@@ -27,36 +30,59 @@ def entity_names(entities: DataFrame) -> DataFrame:
     return rows.select("type", normalised(F.col("raw")).alias("name"), "id").where(F.char_length("name") >= 2).distinct()
 
 
-def scored(questions: DataFrame, items: DataFrame, names: DataFrame) -> DataFrame:
-    """(qid, id, bucket, score, intent array, anchors array) of the pairs with a score above 0.
+def _half_shared(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(qid, word_id) of the intent words of three terms or more at least half of whose terms a question (qid, terms) has.
+
+    A question that has half of a word's k terms has one of any k - ceil(k / 2) + 1 of them, so only that many, the ones
+    that fewest questions have, are put into the index.
+    """
+    often = asked.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    long = words.where(F.size("terms") >= 3).select("word_id", "terms")
+    ranked = long.select("word_id", F.size("terms").alias("k"), F.explode("terms").alias("term")).join(often, "term", "left")
+    by_rarity = ranked.groupBy("word_id", "k").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("by"))
+    postings = by_rarity.select("word_id", F.explode(F.expr("slice(by, 1, k - cast(ceil(k / 2) as int) + 1)")).alias("p")).where("p.n > 0").select("word_id", F.col("p.term").alias("term"))
+    pairs = asked.select("qid", F.explode("terms").alias("term")).join(postings, "term").select("qid", "word_id").distinct()
+    whole = pairs.join(long, "word_id").join(asked.select("qid", F.col("terms").alias("_asked")), "qid")
+    return whole.where(2 * F.size(F.array_intersect("terms", "_asked")) >= F.size("terms")).select("qid", "word_id")
+
+
+def scored(questions: DataFrame, items: DataFrame, names: DataFrame, every: bool = True) -> DataFrame:
+    """(qid, id, bucket, score, intent array, anchors array) of the pairs with a score above 0; ids of items are distinct.
 
     An intent word in the question counts INTENT; one that is not, but shares at least half of its three or more terms
     with the question, half of that.  Each entity of a needed type named in the question counts ENTITY, a relation
-    name in it INTENT.
+    name in it INTENT.  Empty words are in no question.
+
+    An item without a word in the question scores by its types alone, so without `every` only one of those that need the
+    same types is scored: the one that best() prefers.  The best item of each question is among the pairs all the same.
     """
-    asked = questions.select("qid", normalised(F.col("question")).alias("_q"), terms(F.col("question")).alias("_terms"))
-    # items are a catalogue of the caller's, a fixed number of rows however many questions there are
-    words = items.select("id", "bucket", F.coalesce("entity_types", F.array().cast("array<string>")).alias("_types"), F.coalesce("relations", F.array().cast("array<string>")).alias("_relations"), F.transform(F.coalesce("match_terms", F.array().cast("array<string>")), lambda t: F.struct(t.alias("raw"), normalised(t).alias("norm"), terms(t).alias("terms"))).alias("_words"))
-    pairs = asked.join(words, F.lit(True))
-    hits = F.filter("_words", lambda w: F.col("_q").contains(w["norm"]))
-    halves = F.filter("_words", lambda w: ~F.col("_q").contains(w["norm"]) & (F.size(w["terms"]) >= 3) & (F.size(F.col("_terms")) > 0) & (2 * F.size(F.array_intersect(w["terms"], F.col("_terms"))) >= F.size(w["terms"])))
-    relations = F.filter("_relations", lambda r: F.col("_q").contains(r))
-    pairs = pairs.select("qid", "id", "bucket", "_q", "_types", F.concat(F.transform(hits, lambda w: w["raw"]), relations).alias("intent"), (INTENT * (F.size(hits) + 0.5 * F.size(halves) + F.size(relations))).alias("_words_score"))
-    # names meet the parts of questions that have the length of a name: an equal join, however many names there are
-    lengths = [r[0] for r in names.select(F.char_length("name")).distinct().collect()]  # a row for each length
-    size = F.char_length("_q")
-
-    def cut(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        return F.when(size >= n, F.transform(places, lambda at: F.substring(F.col("_q"), at, F.lit(n))))
-
-    cuts = [cut(n) for n in lengths]
-    parts = F.array_distinct(F.flatten(F.array_compact(F.array(*cuts)))) if cuts else F.array().cast("array<string>")
-    named = asked.select("qid", F.explode(parts).alias("name")).join(names, "name").select("qid", "type", F.col("id").alias("entity")).distinct()
-    needed = pairs.select("qid", F.col("id").alias("item"), F.explode("_types").alias("type")).distinct()
-    anchors = needed.join(named, ["qid", "type"]).groupBy("qid", F.col("item").alias("id")).agg(F.array_sort(F.collect_set("entity")).alias("anchors"))
-    out = pairs.join(anchors, ["qid", "id"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
-    out = out.withColumn("score", F.col("_words_score") + ENTITY * F.size("anchors")).where("score > 0")
+    none = F.array().cast("array<string>")
+    asked = stored(questions.select("qid", normalised(F.col("question")).alias("q"), F.array_distinct(terms(F.col("question"))).alias("terms")), "asked")
+    listed = stored(items.select("id", "bucket", F.array_sort(F.array_distinct(F.coalesce("entity_types", none))).alias("types"), F.coalesce("relations", none).alias("relations"), F.coalesce("match_terms", none).alias("words")), "items")
+    exploded = listed.select("id", F.posexplode("words").alias("ord", "raw")).select("id", "ord", "raw", normalised(F.col("raw")).alias("word"), terms(F.col("raw")).alias("terms"))
+    words = stored(exploded.where("word <> ''").withColumn("word_id", F.struct("id", "ord")), "words")
+    relations = listed.select("id", F.posexplode("relations").alias("ord", "raw")).where("raw <> ''")
+    patterns = words.select("word").union(relations.select("raw")).union(names.select("name"))
+    held = stored(hits(asked, "qid", F.col("q"), patterns).distinct(), "hits")
+
+    whole = held.join(words, "word").select("qid", "id", "word_id", F.lit(0).alias("kind"), "ord", "raw", F.lit(INTENT).alias("s"))
+    halves = _half_shared(asked, words).join(whole.select("qid", "word_id"), ["qid", "word_id"], "left_anti")
+    part = halves.select("qid", F.col("word_id.id").alias("id"), F.lit(2).alias("kind"), F.col("word_id.ord").alias("ord"), F.lit(None).cast("string").alias("raw"), F.lit(0.5 * INTENT).alias("s"))
+    named = held.join(relations.withColumnRenamed("raw", "word"), "word").select("qid", "id", F.lit(1).alias("kind"), "ord", F.col("word").alias("raw"), F.lit(INTENT).alias("s"))
+    each = whole.drop("word_id").unionByName(named).unionByName(part)
+    intents = each.groupBy("qid", "id").agg(F.sum("s").alias("_s"), F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("kind", "ord", "raw")))).alias("_intent"))
+    intents = stored(intents.select("qid", "id", "_s", F.col("_intent.raw").alias("intent")), "intents")
+
+    entities = stored(held.join(names.select(F.col("name").alias("word"), "type", F.col("id").alias("entity")), "word").select("qid", "type", "entity").distinct(), "entities")
+    preferred = listed if every else listed.withColumn("_nth", F.row_number().over(Window.partitionBy("types").orderBy(F.col("bucket") != "out_of_scope", "id"))).where("_nth = 1")
+    by_type = entities.join(preferred.select("id", F.explode("types").alias("type")), "type").select("qid", "id", "entity")
+    if not every:
+        # items that have a word in the question, with their entities too
+        own = intents.select("qid", "id").join(listed.select("id", F.explode("types").alias("type")), "id").join(entities, ["qid", "type"]).select("qid", "id", "entity")
+        by_type = by_type.unionByName(own)
+    anchors = by_type.groupBy("qid", "id").agg(F.array_sort(F.collect_set("entity")).alias("anchors"))
+    out = intents.join(anchors, ["qid", "id"], "full").join(listed.select("id", "bucket"), "id")
+    out = out.withColumns({"anchors": F.coalesce("anchors", none), "intent": F.coalesce("intent", none)}).withColumn("score", F.coalesce("_s", F.lit(0.0)) + ENTITY * F.size("anchors"))
     return out.select("qid", "id", "bucket", "score", "intent", "anchors")
 
 
@@ -68,7 +94,7 @@ def best(scores: DataFrame) -> DataFrame:
 
 def verdicts(questions: DataFrame, items: DataFrame, names: DataFrame) -> DataFrame:
     """(qid, verdict, item, score, signals): instance_level, answerable, out_of_scope or unlisted."""
-    top = best(scored(questions, items, names)).where(F.col("score") >= LEAST).select("qid", F.col("id").alias("item"), "bucket", "score")
+    top = best(scored(questions, items, names, every=False)).where(F.col("score") >= LEAST).select("qid", F.col("id").alias("item"), "bucket", "score")
     rows = questions.select("qid", instance_signals(F.col("question")).alias("signals")).join(top, "qid", "left")
     verdict = F.when(F.size("signals") > 0, "instance_level").when(F.col("item").isNull(), "unlisted").when(F.col("bucket") == "out_of_scope", "out_of_scope").otherwise("answerable")
     return rows.select("qid", verdict.alias("verdict"), "item", "score", "signals")

@@ -45,20 +45,23 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS noise, (contains(p_name, 'ring')::INT + contains(p_name, 'bolt')::INT)::INTEGER AS hits,
-CASE WHEN contains(lower(p_name), 'ring') THEN 'hard' WHEN contains(lower(p_name), 'blue') THEN 'isolate' ELSE 'system' END AS gate, p_size % 2 = 0 AND p_size % 3 <> 0 AS baseline, greatest(0, 1 - (p_size % 3) / 10.0)::DOUBLE AS tone, concat_ws(',', CASE WHEN p_size % 2 = 1 THEN 'missing total' END) AS report FROM part""")
+CASE WHEN contains(lower(p_name), 'ring') THEN 'hard' WHEN contains(lower(p_name), 'blue') THEN 'isolate' ELSE 'system' END AS gate, p_size % 4 = 3 OR p_size % 4 = 2 AND p_size % 3 <> 0 AS baseline, greatest(0, 1 - (p_size % 13) / 10.0)::DOUBLE AS tone, CASE WHEN p_size % 3 = 0 AND p_size % 5 > 0 THEN 1 ELSE 1 - (p_size % 3) / 8.0 END::DOUBLE AS factual, concat_ws(',', CASE WHEN p_size % 2 = 1 THEN 'missing total' END) AS report FROM part""")
 def row_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise codes, marker hits, error classes, failures of the baseline, tone and report checks."""
     parts = table(spark, sf_dir, "part")
     kind = F.col("p_size") % 5
     code = F.when(kind == 0, " ").when(kind == 1, "Total").when(kind == 2, "123-4").when(kind == 3, "abc_tmp").otherwise("abc")
-    node = F.concat(F.lit("urn:node-"), F.col("p_partkey").cast("string"))
-    error = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("in "), node)).otherwise("in x")
-    candidate = F.when(F.col("p_size") % 3 == 0, node).otherwise("nothing")
+    node = F.concat(F.lit("urn:Node-"), F.col("p_partkey").cast("string"))
+    marked = F.col("p_size") % 4
+    error = F.when(marked == 0, F.concat(F.lit("in Focus Node: "), node)).when(marked == 1, "Constraint Violation in x").when(marked == 2, F.concat(F.lit("CONSTRAINT violation. focus NODE:  <"), node, F.lit("> broken"))).otherwise("Constraint Violation; the focus node is not given")
+    candidate = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("about "), F.upper(node))).otherwise("no node here; Constraint")
+    turns = F.repeat(F.lit("首先，其次。"), (F.col("p_size") % 13).cast("int"))
+    turns = F.substring(F.concat(F.lit("x"), F.regexp_replace(turns, "，其次", "")), 1, 100)
     errors = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), F.col("p_size") % 3)
     body = F.concat(F.lit("total: "), F.when(F.col("p_size") % 2 == 0, F.format_number(F.col("p_size") * 1000, 0)).otherwise("none"))
     return parts.select(
         "p_partkey", predicates.noise_feature(code, ["total"], r"_tmp$").alias("noise"), predicates.marker_hits(F.col("p_name"), ["ring", "bolt"]).alias("hits"), predicates.gate_error(F.col("p_name"), [("hard", ["ring"]), ("isolate", ["blue"])]).alias("gate"),
-        predicates.baseline_failure(error, candidate).alias("baseline"), predicates.tone(errors).alias("tone"), F.array_join(predicates.report_errors(body, {"total": F.col("p_size") * 1000}), ",").alias("report"),
+        predicates.baseline_failure(error, candidate).alias("baseline"), predicates.tone(turns).alias("tone"), predicates.factual(errors, F.col("p_size") % 5).alias("factual"), F.array_join(predicates.report_errors(body, {"total": F.col("p_size") * 1000}), ",").alias("report"),
     )
 
 

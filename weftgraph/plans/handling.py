@@ -165,13 +165,14 @@ def listed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.listed_ids(table(spark, sf_dir, "part").selectExpr("concat('p:', p_partkey) as id"), table(spark, sf_dir, "supplier").selectExpr("concat('s:', s_suppkey) as id"), 40)
 
 
-@query("""WITH e AS (SELECT c_custkey AS error_id, c_custkey % 3 AS kind, 'Node' || c_custkey % 20 AS node FROM customer), o AS (SELECT s_suppkey AS agent, s_suppkey % 2 AS kind, 'Node' || s_suppkey % 7 || ' Node1' || s_suppkey % 4 || ' end' AS text FROM supplier),
+@query("""WITH e AS (SELECT c_custkey AS error_id, CASE WHEN c_custkey % 11 = 5 THEN 3 ELSE c_custkey % 3 END AS kind, 'Node' || c_custkey % 20 AS node FROM customer), o AS (SELECT s_suppkey AS agent, s_suppkey % 2 AS kind, 'Node' || s_suppkey % 7 || ' Node1' || s_suppkey % 4 || ' end' AS text FROM supplier),
 able AS (SELECT e.*, agent, e.kind = 1 OR length(node) < 6 OR contains(text, node) AS hit FROM e JOIN o USING (kind) WHERE e.kind < 2)
 SELECT error_id, agent FROM e, (SELECT DISTINCT agent FROM o) WHERE kind = 2 UNION ALL SELECT error_id, agent FROM able WHERE hit
-UNION ALL SELECT error_id, agent FROM (SELECT *, row_number() OVER (PARTITION BY error_id ORDER BY agent) AS n FROM able WHERE error_id NOT IN (SELECT error_id FROM able WHERE hit)) WHERE n <= 3""")
+UNION ALL SELECT error_id, agent FROM (SELECT *, row_number() OVER (PARTITION BY error_id ORDER BY agent) AS n FROM able WHERE error_id NOT IN (SELECT error_id FROM able WHERE hit)) WHERE n <= 3
+UNION ALL SELECT error_id, agent FROM e, (SELECT DISTINCT agent FROM o ORDER BY agent LIMIT 3) WHERE kind = 3""")
 def repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers, as agents, whose output an error is about: by the node it names, by its kind alone, or all."""
-    error = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("SHACL failed. Focus Node: <Node"), (F.col("c_custkey") % 20).cast("string"), F.lit("> broken"))).when(F.col("c_custkey") % 3 == 1, "business model failed").otherwise("unclear")
+    error = F.when(F.col("c_custkey") % 11 == 5, "the rule names no file").when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("SHACL failed. Focus Node: <Node"), (F.col("c_custkey") % 20).cast("string"), F.lit("> broken"))).when(F.col("c_custkey") % 3 == 1, "business model failed").otherwise("unclear")
     errors = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("error_id"), error.alias("error"))
     outputs = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as agent", "s_suppkey as ord", "if(s_suppkey % 2 = 0, 'semantic_files', 'business_files') as kind", "concat('Node', s_suppkey % 7, ' Node1', s_suppkey % 4, ' end') as text")
     return candidates.repair_targets(errors, outputs)

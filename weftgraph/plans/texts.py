@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.operators import predicates, questions
+from weftgraph.operators import matching, predicates, questions
 from weftgraph.plans.registry import query, table
 from weftgraph.sources import tables
+from weftgraph.storage import stored
 
 
 @query("SELECT o_orderkey, substr(sha256(o_orderkey || '|' || o_custkey), 1, 24) AS id, sha256(o_orderpriority || chr(10) || o_orderstatus) AS digest FROM orders")
@@ -70,18 +71,46 @@ def instance_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(predicates.instance_signals(F.col("text")), ",").alias("signals"))
 
 
-@query(r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://10.' || page_id % 300 || '.0.1/x' WHEN 2 THEN 'https://user@example.com/' || page_id WHEN 3 THEN 'http://172.' || page_id % 40 || '.1.2:80/' WHEN 4 THEN 'http://h' || page_id || '.example.com:8080/?a=1&api_Key=2' ELSE 'http://h' || page_id || '.internal/' END AS url FROM pages)
-SELECT page_id, CASE page_id % 6 WHEN 0 THEN coalesce(length(url) <= 2048 AND regexp_matches(url, '^https?://[^/?#@:]+([/?#]|$)') AND NOT regexp_matches(url, '(?i)[?&][^=&#]*(token|key|secret|password|signature|credential|auth)[^=&#]*(=|&|#|$)'), false)
-WHEN 1 THEN page_id % 300 > 255 WHEN 3 THEN NOT page_id % 40 BETWEEN 16 AND 31 ELSE false END AS public FROM u""")
+_KEYS = ("author", "keyword", "sig", "KEY", "token_2", "api%5Fkey", "monkey", "auth")
+
+
+@query(r"""WITH u AS (SELECT page_id, ['author', 'keyword', 'sig', 'KEY', 'token_2', 'api%5Fkey', 'monkey', 'auth'][page_id % 8 + 1] AS k, url FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN coalesce(length(url) <= 2048 AND regexp_matches(url, '^https?://[^/?#@:]+([/?#]|$)')
+  AND NOT regexp_matches(url, '(?i)[?&](access_token|api_key|apikey|auth|authorization|key|password|passwd|secret|signature|sig|token)(=|&|#|$)'), false)
+WHEN 1 THEN page_id % 300 > 255 WHEN 3 THEN NOT page_id % 40 BETWEEN 16 AND 31 WHEN 4 THEN k IN ('author', 'keyword', 'token_2', 'monkey') ELSE false END AS public FROM u""")
 def public_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which addresses may be cited: those of pages, and made ones with private hosts, users and keys."""
+    """Which addresses may be cited: those of pages, and made ones with private hosts, users, and keys that are, or look like, those of credentials."""
     n = F.col("page_id")
     text = n.cast("string")
     made = F.when(n % 6 == 0, F.col("url")).when(n % 6 == 1, F.concat(F.lit("https://10."), (n % 300).cast("string"), F.lit(".0.1/x"))).when(n % 6 == 2, F.concat(F.lit("https://user@example.com/"), text))
-    made = made.when(n % 6 == 3, F.concat(F.lit("http://172."), (n % 40).cast("string"), F.lit(".1.2:80/"))).when(n % 6 == 4, F.concat(F.lit("http://h"), text, F.lit(".example.com:8080/?a=1&api_Key=2"))).otherwise(F.concat(F.lit("http://h"), text, F.lit(".internal/")))
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (n % 8 + 1).cast("int"))
+    made = made.when(n % 6 == 3, F.concat(F.lit("http://172."), (n % 40).cast("string"), F.lit(".1.2:80/"))).when(n % 6 == 4, F.concat(F.lit("http://h"), text, F.lit(".example.com:8080/?a=1&"), key, F.lit("=2"))).otherwise(F.concat(F.lit("http://localhost"), F.when(n % 2 == 0, ".localdomain.").otherwise("."), F.lit("/"), text))
     return table(spark, sf_dir, "pages").select("page_id", predicates.is_public_url(made).alias("public"))
 
 
+MARKERS = ("the", "and", "http", "@", "password", "benchmark")
+
+
+@query("""SELECT doc_id, n FROM (SELECT doc_id, """ + " + ".join(f"contains(text, '{w}')::BIGINT" for w in MARKERS) + """ AS n FROM documents WHERE text IS NOT NULL) WHERE n > 0""")
+def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the markers each document holds, found in one pass."""
+    words = spark.createDataFrame([(w,) for w in MARKERS], "word string")
+    return matching.marker_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), words)
+
+
+@query("""WITH w AS (SELECT DISTINCT string_split(text, ' ')[k] AS word, k FROM benchmark, (VALUES (3), (7)) v(k)), word AS (SELECT word, min(k) AS ord FROM w WHERE length(word) >= 4 GROUP BY word)
+SELECT doc_id, min(word) FILTER (WHERE contains(text, word)) AS first_word, count(*) FILTER (WHERE contains(text, word)) AS held, CASE min(ord) FILTER (WHERE contains(text, word)) WHEN 3 THEN 'third' WHEN 7 THEN 'seventh' END AS class
+FROM documents, word GROUP BY doc_id HAVING count(*) FILTER (WHERE contains(text, word)) > 0""")
+def texts_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of benchmark items in documents, as parts of words too: the first, how many, and the class of lowest order."""
+    parts = F.split("text", " ")
+    every = table(spark, sf_dir, "benchmark").select(F.explode(F.array(*[F.struct(F.get(parts, F.lit(k - 1)).alias("word"), F.lit(k).alias("ord"), F.lit(c).alias("class")) for k, c in ((3, "third"), (7, "seventh"))])).alias("w")).select("w.*")
+    words = stored(every.where("length(word) >= 4").groupBy("word").agg(F.min(F.struct("ord", "class")).alias("c")).select("word", "c.*"), "words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = matching.hits(docs, "doc_id", F.col("text"), words).groupBy("doc_id").agg(F.min("word").alias("first_word"), F.count("*").alias("held"))
+    return held.join(matching.first_classes(docs, "doc_id", F.col("text"), words), "doc_id")
+
+
 @query("""SELECT doc_id, greatest(1, count(*))::BIGINT > 0 AS some, true AS fits, true AS whole FROM documents WHERE length(text) > 0 GROUP BY doc_id""")
 def chunk_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of at most 2,048 bytes of every text: that they fit, and that they make up the text again."""
