@@ -291,13 +291,16 @@ def test_html_text_sums_decide_on_marked_pages():
     gap = "<aside>x</aside>" * 3
     assert html_text.main_text(f"<main></main><div id=content>{BODY}</div>") == TEXT
     assert html_text.main_text(card * 3 + gap + f"<div id=content>{BODY}</div>" + gap + card) == TEXT
-    assert html_text.main_text(f"<article>{BODY}</article>" + gap + "<article><p>Read on.</p></article>") == TEXT
+    assert html_text.main_text(f"<article>{BODY}</article>" + gap + "<article><p>Read on.</p></article>") == f"{TEXT} Read on."  # what is stripped makes no dive
+    menu = "<ul><li><a href=x>One</a><li><a href=x>Two</a><li><a href=x>Three</a></ul>"
+    assert html_text.main_text(f"<div>{menu}<div>{BODY}</div>{menu}<p><a href=x>More</a></p></div>") == TEXT
     assert html_text.main_text(f"<article><h1><a href=x>Linked head</a></h1>{BODY}</article><div>{BODY}</div>") == f"Linked head {TEXT} {TEXT}"
 
 
-def brute_text(lines: list[tuple[str, int, bool]]) -> str:
-    """Line blocks read from left to right: (text, characters in links, in an article); empty texts stand for what is stripped."""
-    weight = [(len(t) - linked) * 2 + 1 if inside and t else len(t) - linked for t, linked, inside in lines]
+def brute_text(lines: list[tuple[str, int, int, bool]]) -> str:
+    """Line blocks read from left to right: (text, characters in links, number of the article or 0, whether it lies in the page itself)."""
+    free = [len(t) - linked for t, linked, _, _ in lines]
+    weight = [f * 2 if article else f for f, (_, _, article, _) in zip(free, lines, strict=True)]
     for threshold in (86, max(1, max(weight, default=0))):
         kept, running = [False] * len(lines), False
         for k in range(len(lines)):
@@ -312,7 +315,9 @@ def brute_text(lines: list[tuple[str, int, bool]]) -> str:
                     kept[back] = True
             kept[k] = kept[k] or running
         if any(kept):
-            return " ".join(t for (t, _, _), keep in zip(lines, kept, strict=True) if keep and t)
+            articles = {lines[k][2] for k in range(len(lines)) if kept[k] and free[k]} - {0}
+            beside = any(kept[k] and free[k] and lines[k][3] for k in range(len(lines)))
+            return " ".join(t for k, (t, _, article, page) in enumerate(lines) if kept[k] or article in articles or page and beside and free[k])
     return ""
 
 
@@ -326,27 +331,45 @@ def test_html_text_by_brute_force():
     shown = ["<p>{}</p>", "<div class='with-sidebar'>{}</div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<div class=legal-analysis><section>{}</section></div>", "<table><tr><td>{}</td></tr></table>"]
     for _ in range(300):
         page, lines = ["<html><head><title>t</title></head><body>"], []
-        inside = False
+        inside, articles = 0, 0
         for _ in range(int(rng.integers(1, 14))):
             text = words(int(rng.integers(1, 14)))
             pick = rng.random()
             if pick < 0.15:
                 page.append("</article>" if inside else "<article>")
-                inside = not inside
+                articles += not inside
+                inside = 0 if inside else articles
             elif pick < 0.45:
-                form = hidden[int(rng.integers(len(hidden)))]
-                page.append(form.format(text))
-                if "script" not in form:
-                    lines.append(("", 0, inside))
+                page.append(hidden[int(rng.integers(len(hidden)))].format(text))
             elif pick < 0.6:
                 page.append(f"<p><a href=x>{text}</a></p>")
-                lines.append((text, len(text), inside))
+                lines.append((text, len(text), inside, not inside))
             else:
-                page.append(shown[int(rng.integers(len(shown)))].format(text.replace(" ", "\n ", 1)))
-                lines.append((text, 0, inside))
+                form = shown[int(rng.integers(len(shown)))]
+                page.append(form.format(text.replace(" ", "\n ", 1)))
+                lines.append((text, 0, inside, not inside and form[1] in "ph"))
         assert html_text.main_text("".join(page)) == brute_text(lines), "".join(page)
 
 
+def test_html_text_loses_nothing_behind_adverts_and_links():
+    long = "A long paragraph with many words of an article that goes on and on. " * 3
+    advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p></div>"
+    menu = "<ul><li><a href=x>One</a><li><a href=x>Two</a><li><a href=x>Three</a><li><a href=x>Four</a></ul>"
+    assert html_text.main_text(f"<article><p>{long}</p>{advert}<p>Short closing words.</p></article>") == f"{long}Short closing words."
+    assert html_text.main_text(f"<body><p>{long}</p>{advert}<p>A closing sentence of about sixty characters stands here.</p></body>") == f"{long}A closing sentence of about sixty characters stands here."
+    for around in ("<article>%s</article>", "<div id=content>%s</div>", "<div><section>%s</section></div>"):
+        assert html_text.main_text(around % f"<p>{long}</p>{menu}<p>End.</p>") == f"{long}One Two Three Four End."
+
+
+def test_html_text_reads_tags_in_linear_time():
+    import time
+
+    for unit in ("<a ", "<a '", "<a '>'", '<a ">', "<!--", "<p>x", "<", "<div>"):
+        start = time.perf_counter()
+        html_text.main_text(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - start < 30, unit
+
+
 def test_html_text_of_given_pages():
     """Every article of the test pages comes out whole, with nothing else."""
     import html
@@ -625,6 +648,26 @@ def test_ordinary_words_hide_no_secret():
         assert spans(text) == [], text
 
 
+def test_secrets_of_all_lengths():
+    """Nine tenths of made secrets or more are found, by kind and length, alone and in a sentence; digests that are named as such are not."""
+    rng = np.random.default_rng(8)
+    letters, digits, upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789ABCDEF"
+
+    def made(alphabet: str, n: int) -> str:
+        return "".join(rng.choice(list(alphabet), n))
+
+    kinds = [lambda n=n: made(letters + digits, n) for n in (16, 18, 20, 32, 40, 64)] + [lambda n=n: made(upper, n) for n in (16, 32, 40, 64)] + [lambda n=n: made(letters + digits, n) + "." + made(letters + digits, n) for n in (8, 10, 16)] + [lambda: made(letters, 16)]
+    for kind in kinds:
+        found = 0
+        for _ in range(100):
+            secret = kind()
+            text = f"the value is {secret}. It ends here"
+            found += any(secret in text[a:b] or len(text[a:b]) >= len(secret) // 2 and text[a:b] in secret for a, _, b in secret_scan.random_spans(text, [], secret_scan.VOCABULARY))
+        assert found >= 90, secret
+    for text in (f"sha1: {made(upper, 40)}", f"commit {made(upper, 40)}", f"MD5 = {made(upper, 32)}"):
+        assert secret_scan.random_spans(text, [], secret_scan.VOCABULARY) == []
+
+
 # 10
 
 

@@ -1,23 +1,27 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped into lines, one for each block element, in page order.  Lines inside elements that hold no main text
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) become empty lines.  An element is
-known as such by its tag, or by a whole name in its class, id or role: a name marks it if it has a marking word and else
-only words of layout, so `cookie-notice` and `site-header` mark, `with-sidebar` and `legal-analysis` don't.  Where the
-word is one that articles are named by too (LOOSE), the element has to hold the lesser part of the page's text as well.
-
-The text lengths outside links of WINDOW lines in a row are summed; a surge from below THRESHOLD opens a stretch of main
-text and a dive to zero closes it.  All lines between a surge and its dive are kept, however short.  The same sums decide
-on all pages: in an article or main element a line only weighs BONUS times its length and one more, so its links and
-short lines do not close a stretch; no line is dropped for being outside one.
+Markup is stripped into lines, one for each block element, in page order.  Elements that hold no main text (menus,
+headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) give no lines.  An element is known as
+such by its tag, or by a whole name in its class, id or role: a name marks it if it has a marking word and else only words
+of layout, so `cookie-notice` and `site-header` mark, `with-sidebar` and `legal-analysis` don't.  Where the word is one
+that articles are named by too (LOOSE), the element has to hold the lesser part of the page's text as well.
+
+The text lengths outside links of WINDOW lines in a row are summed, in an article or main element BONUS times; a surge
+from below THRESHOLD opens a stretch of main text and a dive to zero closes it.  All lines between a surge and its dive
+are kept, however short, so menus without marks, whose lines are all links, are what dives leave out.  A line of links, or
+a short one behind it, belongs to the text it stands in: of a marked article that a stretch touches all lines are kept,
+elsewhere those with text of their own whose block lies in the same element as a line of a stretch, and all lines between
+two such.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +32,8 @@ from weftgraph.llm import jobs
 #: Lines of a window, its text length that makes a surge, and the weight of lengths inside a marked article.
 WINDOW, THRESHOLD, BONUS = 3, 86, 2
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+OPENS = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -53,6 +58,8 @@ LAYOUT = frozenset(
     primary reader readers reading region right row secondary section site slot small sticky stories story text thread title top unit user users view web
     widget widgets wide wrap wrapper zone""".split()
 )
+#: Elements that are a block of text by themselves; what holds them is what their line lies in.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption summary address".split())
 SCOPES = frozenset(("td", "th", "li", "div", "blockquote", "section"))
 
 
@@ -79,59 +86,122 @@ def _strips(tag: str, attributes: str) -> int:
     return kind
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length outside links, whether inside a marked article) of each line of the page, stripped lines empty."""
-    out: list[tuple[str, int, bool, int]] = []  # the last: number of the loosely marked element, 0 outside
-    stack: list[tuple[str, int, bool, bool]] = []  # open elements: tag, stripped, article, whether a p is open in this scope
+class Tags:
+    """Where tags end: at the first `>` outside quotes, or at the first one where quotes don't close."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def end(self, at: int) -> int:
+        """Position of the `>` of the tag that begins at `at`, -1 if there is none."""
+        if at > self.last:
+            return -1
+        close = self.page.find(">", at)
+        part = self.page[at:close]
+        if '"' not in part and "'" not in part:
+            return close
+        if self.places is None:  # once a page, from the right: the end from each quote and `>`, by what is open there
+            self.places = [m.start() for m in SPECIAL.finditer(self.page)]
+            free = single = double = -1
+            self.ends = [-1] * (len(self.places) + 1)
+            for k in range(len(self.places) - 1, -1, -1):
+                char = self.page[self.places[k]]
+                if char == ">":
+                    free = self.places[k]
+                elif char == "'":
+                    free, single = single, free
+                else:
+                    free, double = double, free
+                self.ends[k] = free
+        found = self.ends[bisect_left(self.places, at)]
+        return found if found >= 0 else close
+
+
+class Line(NamedTuple):
+    """text; length outside links; number of the outermost marked article, of the element it lies in, and whether that is the page itself."""
+
+    text: str
+    free: int
+    article: int
+    holder: int
+    page: bool
+
+
+def lines(page: str) -> tuple[list[Line], list[int], list[int]]:
+    """The lines of a page, and for each element its parent and the last element inside it; elements are numbered as they open, 0 is the page."""
+    out: list[tuple[Line, int]] = []  # with the number of the loosely marked element, 0 outside
+    parent, last, tags = [0], [0], [""]
+    stack: list[tuple[str, int, bool, bool, int]] = []  # open elements: tag, stripped, article, whether a p is open in this scope, number of the block
     opened: Counter[str] = Counter()
-    stripped = articles = links = loose = elements = 0
+    stripped = links = loose = loosely = 0
+    articles: list[int] = []
     parts: list[str] = []
-    linked, gap = 0, False
+    linked, owner = 0, -1  # owner: number of the block in which the line's text begins
 
     def flush() -> None:
-        nonlocal linked, gap
+        nonlocal linked, owner
         text = " ".join("".join(parts).split())
-        if text or gap:
-            out.append((text, max(0, len(text) - linked), articles > 0, elements if loose else 0))
+        if text:
+            holder = parent[owner] if tags[owner] in BLOCKS else owner
+            out.append((Line(text, max(0, len(text) - linked), articles[0] if articles else 0, holder, tags[holder] in ("", "html", "body")), loosely if loose else 0))
         parts.clear()
-        linked, gap = 0, False
+        linked, owner = 0, -1
 
     def put(text: str) -> None:
-        nonlocal linked, gap
-        if stripped:
-            gap = gap or not text.isspace()
-        else:
+        nonlocal linked, owner
+        if not stripped and text:
             text = html.unescape(text)
+            if owner < 0 and not text.isspace():
+                owner = stack[-1][4] if stack else 0
             parts.append(text)
             if links:
                 linked += len(" ".join(text.split()))
 
     def close(tag: str) -> None:
-        nonlocal stripped, articles, links, loose
+        nonlocal stripped, links, loose
         if not opened[tag]:
             return
         name = ""
         while name != tag:
-            name, strip, article, _ = stack.pop()
+            name, strip, article, _, number = stack.pop()
             opened[name] -= 1
             stripped -= strip == 2
             loose -= strip == 1
-            articles -= article
+            if article:
+                articles.pop()
             links -= name == "a"
+            if name not in INLINE:
+                last[number] = len(parent) - 1
 
-    position, size = 0, len(page)
-    while position < size:
-        m = TAG.search(page, position)
+    ends = Tags(page)
+    start = position = 0
+    while True:
+        at = page.find("<", position)
+        if at < 0 or at > ends.last and not page.startswith("<!--", at):
+            at = page.find("<!--", position) if at >= 0 else -1
+            if at < 0:
+                put(page[start:])
+                break
+        if page.startswith("<!--", at):
+            put(page[start:at])
+            end = page.find("-->", at + 4)
+            start = position = len(page) if end < 0 else end + 3
+            continue
+        m = OPENS.match(page, at + 1)
         if m is None:
-            put(page[position:])
-            break
-        if m.start() > position:
-            put(page[position : m.start()])
-        position = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+            if page[at + 1 : at + 2] in ("!", "?"):
+                put(page[start:at])
+                start = position = page.find(">", at) + 1
+            else:
+                position = at + 1
             continue
-        if m[1] or m[4]:
+        end = ends.end(at)
+        put(page[start:at])
+        start = position = end + 1
+        tag = m[2].lower()
+        if m[1]:
             if tag not in INLINE:
                 flush()
             close(tag)
@@ -139,10 +209,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if tag == "br":
             put(" ")
             continue
-        attributes = m[3] or m[6] or ""
+        attributes = page[m.end() : end]
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, position)
-            position = end.end() if end else size
+            closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, position)
+            start = position = closing.end() if closing else len(page)
             flush()
             continue
         if tag not in INLINE:
@@ -157,20 +227,31 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         strip = _strips(tag, attributes)
         article = not strip and not stripped and (tag in ("article", "main") or 'role="main"' in attributes or "articleBody" in attributes)
-        stack.append((tag, strip, article, tag == "p" or tag not in SCOPES and bool(stack) and stack[-1][3]))
+        number = stack[-1][4] if stack else 0
+        if tag not in INLINE:
+            parent.append(number)
+            last.append(0)
+            tags.append(tag)
+            number = len(parent) - 1
+        stack.append((tag, strip, article, tag == "p" or tag not in SCOPES and bool(stack) and stack[-1][3], number))
         opened[tag] += 1
         stripped += strip == 2
-        elements += strip == 1 and not loose
+        if strip == 1 and not loose:
+            loosely += 1
         loose += strip == 1
-        articles += article
+        if article:
+            articles.append(number)
         links += tag == "a"
     flush()
+    for _, _, _, _, number in stack:
+        last[number] = len(parent) - 1
+    last[0] = len(parent) - 1
     held = Counter()
-    for _, free, _, element in out:
-        held[element] += free
+    for line, element in out:
+        held[element] += line.free
     # a loosely marked element with most of the page's text is the article
     lost = {e for e, free in held.items() if e and 2 * free <= held.total()}
-    return [("", 0, inside) if element in lost else (text, free, inside) for text, free, inside, element in out]
+    return [line for line, element in out if element not in lost], parent, last
 
 
 def stretches(lengths: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
@@ -195,14 +276,48 @@ def stretches(lengths: list[int], window: int, threshold: int) -> list[tuple[int
     return found
 
 
+def main_lines(block: list[Line], parent: list[int], last: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[bool]:
+    """Which lines are main text: those of stretches, and those that belong to them by the elements they lie in."""
+    lengths = [BONUS * line.free if line.article else line.free for line in block]
+    found = stretches(lengths, window, threshold) or stretches(lengths, window, max(1, max(lengths, default=0)))
+    keep = [False] * len(block)
+    articles: set[int] = set()
+    spans: dict[int, list[int]] = {}  # of the elements that lines of stretches lie in, the first and last of those lines
+    for first, end in found:
+        for k in range(first, end):
+            keep[k] = True
+            if block[k].free:
+                if block[k].article:
+                    articles.add(block[k].article)
+                spans.setdefault(block[k].holder, [k, k])[1] = k
+    for k, line in enumerate(block):  # lines with text of their own beside those of a stretch
+        if not keep[k] and (line.article in articles or line.free and line.holder in spans):
+            keep[k] = True
+            span = spans.setdefault(line.holder, [k, k])
+            span[0], span[1] = min(span[0], k), max(span[1], k)
+    for page in {line.holder for line in block if line.page}:  # on the page itself links between texts may be menus
+        spans.pop(page, None)
+    inside: dict[int, int] = {}  # the nearest element with a span, by element
+    for k, line in enumerate(block):
+        if keep[k] or line.page:
+            continue
+        chain, at = [], line.holder
+        while at not in inside and at not in spans and at:
+            chain.append(at)
+            at = parent[at]
+        nearest = at if at in spans else inside.get(at, 0)
+        inside.update(dict.fromkeys(chain, nearest))
+        if nearest and nearest <= line.holder <= last[nearest] and spans[nearest][0] < k < spans[nearest][1]:
+            keep[k] = True
+    return keep
+
+
 def main_text(page: str, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """The main text of one page, blocks joined by a space; empty if there is none."""
     if not page:
         return ""
-    block = lines(page)
-    lengths = [BONUS * free + 1 if inside and text else free for text, free, inside in block]
-    kept = stretches(lengths, window, threshold) or stretches(lengths, window, max(1, max(lengths, default=0)))
-    return " ".join(text for first, end in kept for text, _, _ in block[first:end] if text)
+    block, parent, last = lines(page)
+    return " ".join(line.text for line, keep in zip(block, main_lines(block, parent, last, window, threshold), strict=True) if keep)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:

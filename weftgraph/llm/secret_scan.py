@@ -1,12 +1,14 @@
 """Secret scans: patterns of known kinds, and a token-efficiency test for random strings of unknown kind.
 
 A byte-pair vocabulary made from ordinary text spends few characters a token on random strings.  Candidates are runs
-of letters, digits and `+/_-=` of 20 characters or more; those whose characters a token stay below EFFICIENCY are
+of letters, digits and `+/_-=.` of 16 characters or more; those whose characters a token stay below EFFICIENCY are
 secrets of kind `random`.  In a run that isn't, so that ordinary words don't hide a secret beside them, candidates are its
-pieces between `+/_-=`, and stretches of pieces without ordinary ones (numbers, UUIDs, and letters that are one token
-or not below EFFICIENCY).  Digests (candidates of 32, 40, 56, 64, 96 or 128 hex digits), UUIDs, numbers, and strings
-that are listed as known are excluded, as are candidates that a base span overlaps, and two kinds of letters without
-digits: words joined by separators, and identifiers (IDENTIFIER: humps of a camel case of four letters or more each).
+pieces between `+/_-=.`, and stretches of pieces without ordinary ones (numbers, UUIDs, and letters that are one token
+or not below EFFICIENCY).  Known digests are excluded: strings that are listed as known, and hex digits of a digest's
+length (32, 40, 56, 64, 96 or 128) behind a word that names a digest (DIGEST_NAME).  So are UUIDs, numbers, candidates
+that a base span overlaps, and two kinds of letters without digits: words joined by separators, and identifiers
+(IDENTIFIER: humps of a camel case of four letters or more each; WORD: fewer than 20 letters of one case, a capital first
+letter aside).
 """
 
 from __future__ import annotations
@@ -25,18 +27,21 @@ from weftgraph.llm import jobs
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut into pieces before merging.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-EFFICIENCY, LEAST = 2.1, 20
+EFFICIENCY, LEAST = 2.1, 16
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{15,}[A-Za-z0-9+/_=-]")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
+#: Words that name a digest, and the characters before it among which they are looked for.
+DIGEST_NAME, BEFORE = re.compile(r"(?i)\b(?:sha-?[0-9]+|md5|blake[0-9]?[a-z]?|commit|checksum|digest|etag|integrity|revision|blob)\b[^A-Za-z0-9]*$", re.ASCII), 32
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 PIECE = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 IDENTIFIER = re.compile(r"(?:[a-z]{4,}|[A-Z]{4,}(?![a-z]))?(?:[A-Z][a-z]{3,}|[A-Z]{4,}(?![a-z]))+|[A-Z]?[a-z]+(?:[A-Z][a-z]{3,})+")
+WORD = re.compile(r"[A-Z]?[a-z]{,19}|[A-Z]{,19}")
 KEYWORD = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
@@ -65,11 +70,13 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: str,
         return len(part) < efficiency * len(encoding(vocabulary).encode_ordinary(part))
 
     def secret(part: str, start: int) -> bool:
-        if len(part) < LEAST or part in known or len(part) in DIGEST_LENGTHS and DIGEST.fullmatch(part) or UUID.fullmatch(part):
+        if len(part) < LEAST or part in known or UUID.fullmatch(part):
+            return False
+        if len(part) in DIGEST_LENGTHS and DIGEST.fullmatch(part) and DIGEST_NAME.search(text[max(0, start - BEFORE) : start]):
             return False
         if any(a < start + len(part) and start < b for a, _, b in taken):
             return False
-        return bool(MIXED.match(part) or part.isalpha() and not IDENTIFIER.fullmatch(part)) and below(part)
+        return bool(MIXED.match(part) or part.isalpha() and not IDENTIFIER.fullmatch(part) and not (len(part) < 20 and WORD.fullmatch(part))) and below(part)
 
     def ordinary(piece: str) -> bool:
         if piece.isalpha():
