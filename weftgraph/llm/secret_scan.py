@@ -6,7 +6,7 @@ secrets of kind `random`.  In a run that isn't, so that ordinary words don't hid
 pieces between `+/_-=.`, and stretches of pieces without ordinary ones (numbers, UUIDs, and letters that are one token
 or not below EFFICIENCY).  Known digests are excluded: strings that are listed as known, and hex digits of a digest's
 length (32, 40, 56, 64, 96 or 128) behind a word that names a digest (DIGEST_NAME).  So are UUIDs, numbers, candidates
-that a base span overlaps, and two kinds of letters without digits: words joined by separators, and identifiers
+that a base span overlaps, and letters without digits that are, or have among their pieces, words and identifiers
 (IDENTIFIER: humps of a camel case of four letters or more each; WORD: fewer than 20 letters of one case, a capital first
 letter aside).
 """
@@ -42,6 +42,7 @@ MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 PIECE = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 IDENTIFIER = re.compile(r"(?:[a-z]{4,}|[A-Z]{4,}(?![a-z]))?(?:[A-Z][a-z]{3,}|[A-Z]{4,}(?![a-z]))+|[A-Z]?[a-z]+(?:[A-Z][a-z]{3,})+")
 WORD = re.compile(r"[A-Z]?[a-z]{,19}|[A-Z]{,19}")
+LETTERS = re.compile("[A-Za-z]+")
 KEYWORD = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
@@ -76,7 +77,11 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: str,
             return False
         if any(a < start + len(part) and start < b for a, _, b in taken):
             return False
-        return bool(MIXED.match(part) or part.isalpha() and not IDENTIFIER.fullmatch(part) and not (len(part) < 20 and WORD.fullmatch(part))) and below(part)
+        if not MIXED.match(part):
+            pieces = LETTERS.findall(part)
+            if len(pieces) != 1 + len(part) - sum(map(len, pieces)) or any(IDENTIFIER.fullmatch(p) or WORD.fullmatch(p) and (len(p) < 20 or len(pieces) > 1) for p in pieces):
+                return False
+        return below(part)
 
     def ordinary(piece: str) -> bool:
         if piece.isalpha():
