@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import datetime
 import random
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import candidates, graph, joins, matching, predicates, questions, reasoner
+from weftgraph.operators import candidates, changes, graph, joins, matching, predicates, questions, reasoner
+from weftgraph.storage import Round
+from weftgraph.streaming import events
 
 # interval join
 
@@ -217,3 +223,92 @@ def test_repair_fallbacks(spark):
         got.setdefault(r["error_id"], []).append(r["agent"])
     every, three = [f"a{k}" for k in range(5)], ["a0", "a1", "a2"]
     assert {k: sorted(v) for k, v in got.items()} == {1: ["a3"], 2: three, 3: three, 4: every, 5: every, 6: every}
+
+
+# rounds, gates and timers
+
+
+DRIVER = """
+import os, sys
+sys.path.insert(0, {repo!r})
+from weftgraph.session import session
+from weftgraph.storage import Round
+spark = session(2, 2)
+stages = [("doubled", lambda d: d.selectExpr("id * 2 as id")), ("even", lambda d: d.where("id % 4 = 0")), ("last", lambda d: os._exit(3))]
+Round(spark, {folder!r}, "k").run(lambda: spark.range(100), stages)
+"""
+
+
+def test_a_killed_round_goes_on(spark, tmp_path):
+    """The first driver dies in stage three; the second runs that stage alone."""
+    folder = str(tmp_path / "round")
+    repo = str(Path(__file__).resolve().parent.parent)
+    assert subprocess.run([sys.executable, "-c", DRIVER.format(repo=repo, folder=folder)], capture_output=True, timeout=300).returncode == 3
+    calls = []
+
+    def stage(name, make):
+        def run(rows):
+            calls.append(name)
+            return make(rows)
+
+        return name, run
+
+    def stages(third="last"):
+        return [stage("doubled", lambda d: d.selectExpr("id * 2 as id")), stage("even", lambda d: d.where("id % 4 = 0")), stage(third, lambda d: d.selectExpr("sum(id) as total"))]
+
+    second = Round(spark, folder, "k")
+    found = second.run(lambda: spark.range(100), stages())
+    assert found.first()[0] == sum(x for x in range(0, 200, 4)) and calls == ["last"] == second.ran
+    assert Round(spark, folder, "k").run(lambda: spark.range(100), stages()).count() == 1 and calls == ["last"]
+    other = Round(spark, folder, "another")
+    assert other.run(lambda: spark.range(10), stages()).first()[0] == 0 + 4 + 8 + 12 + 16 and other.ran == ["doubled", "even", "last"]
+
+
+def test_gates_of_changed_inputs(spark, tmp_path):
+    path, seen = str(tmp_path / "memo"), []
+
+    def rows(*extra):
+        return spark.createDataFrame([("a", "x", 1, "ok"), ("a", "y", 2, "ok"), ("b", "x", 1, "bad"), ("c", "x", None, "ok"), ("c", "x", None, "ok"), *extra], "gate string, input string, v int, w string")
+
+    def check(due):
+        seen.append(sorted({r["gate"] for r in due.select("gate").collect()}))
+        return due.where("w = 'bad'")
+
+    def run(df, **more):
+        return {r["gate"]: (r["status"], r["hit"]) for r in changes.checked(df, "gate", check, path, **more).collect()}
+
+    assert run(rows()) == {"a": ("pass", False), "b": ("fail", False), "c": ("pass", False)}
+    assert run(rows((None, "x", 1, "bad")).orderBy(F.desc("v"))) == {"a": ("pass", True), "b": ("fail", False), "c": ("pass", True)}
+    assert run(rows(("c", "x", None, "ok"))) == {"a": ("pass", True), "b": ("fail", False), "c": ("pass", False)}
+    assert run(rows().withColumn("input", F.when(F.col("gate") == "a", "z").otherwise(F.col("input")))) == {"a": ("pass", False), "b": ("fail", False), "c": ("pass", True)}
+    assert run(rows(), version="2")["a"] == ("pass", False)
+    assert seen == [["a", "b", "c"], ["b"], ["b", "c"], ["a", "b"], ["a", "b", "c"]]
+    def broken(due):
+        raise ValueError("broken")
+
+    with pytest.raises(ValueError, match="broken"):
+        changes.checked(rows(("d", "x", 1, "ok")), "gate", broken, path)
+    assert "d" not in {r["gate"] for r in spark.read.parquet(path).collect()}
+
+
+def test_watchdog_over_several_runs(spark, tmp_path):
+    """Alarms come when the watermark passes them, from events of several runs; an answer in flight holds the age rule back."""
+    base = datetime.datetime(2024, 1, 1)
+
+    def write(part: int, found: list[tuple]) -> None:
+        rows = [(k, base + datetime.timedelta(minutes=m), s, part * 100 + j) for j, (k, m, s) in enumerate(found)]
+        spark.createDataFrame(rows, "k string, ts timestamp, s int, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run() -> set[tuple]:
+        stream = events.watchdog(events.source(spark, str(tmp_path / "in")), "k", "ts", F.col("s"), "id", 600, 3600, "1 minute")
+        found = events.drained_with_timers(stream, "watch", str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        return {(r["k"], r["reason"], (r["opened"] - zero) // 60_000 if r["opened"] >= 0 else -1, (r["due"] - zero) // 60_000) for r in found.collect()}
+
+    zero = int(base.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    up, down = events.UP, events.DOWN
+    write(0, [("a", 0, up), ("b", 0, up), ("a", 5, down), ("b", 15, 1), ("c", 3, down), ("a", 12, up), ("tick", 20, up)])
+    assert run() == {("c", "disconnected", -1, 13)}
+    write(1, [("b", 75, -1), ("a", 30, down), ("tick", 74, up)])
+    assert run() == {("c", "disconnected", -1, 13), ("a", "disconnected", 12, 40), ("a", "aged", 12, 72)}
+    write(2, [("tick", 90, up)])
+    assert run() == {("c", "disconnected", -1, 13), ("a", "disconnected", 12, 40), ("a", "aged", 12, 72), ("b", "aged", 0, 75)}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.windows import first_per_key
+from weftgraph.storage import exists, stored
 
 
 def added(current: DataFrame, proposed: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -102,6 +103,52 @@ def run_if_changed(state: dict[str, str], name: str, inputs: Sequence[DataFrame]
     return state | {name: key}, True
 
 
+#: Goes into every key of a memo; another one makes all that is kept stale.
+MEMO_VERSION = "1"
+
+
+def memo_keys(inputs: DataFrame, gate: str, parts: str = "input", version: str = MEMO_VERSION) -> DataFrame:
+    """(gate, key): for each gate the digest of all its inputs, whatever their order; repeated rows count.
+
+    inputs: a column `gate`, a column `parts` that names the input a row belongs to, and any others.  The key covers the
+    version, the names and all columns of the rows, so a verdict can't be taken for other inputs than its own.
+    """
+    rest = sorted(c for c in inputs.columns if c not in (gate, parts))
+    row = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    hashed = inputs.select(F.col(gate).alias("gate"), F.col(parts).cast("string").alias("part"), row.alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k in range(8)]
+    digests = hashed.groupBy("gate", "part").agg(F.count("*").cast("string").alias("n"), *sums)
+    one = F.sha2(F.concat_ws("|", F.coalesce("part", F.lit("\x00")), "n", *[f"s{k}" for k in range(8)]), 256)
+    return digests.groupBy("gate").agg(F.array_sort(F.collect_list(one)).alias("all")).select("gate", F.sha2(F.concat_ws("|", F.lit(version), "all"), 256).alias("key"))
+
+
+def remembered(keys: DataFrame, path: str) -> DataFrame:
+    """keys with `hit`: whether the memo at path has the key as passed.  Without a memo nothing is a hit."""
+    if not exists(keys.sparkSession, path):
+        return keys.withColumn("hit", F.lit(False))
+    known = keys.sparkSession.read.parquet(path).select("gate", "key").distinct().withColumn("_hit", F.lit(True))
+    return keys.join(known, ["gate", "key"], "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def checked(inputs: DataFrame, gate: str, check: Callable[[DataFrame], DataFrame], path: str, parts: str = "input", version: str = MEMO_VERSION) -> DataFrame:
+    """(gate, status, hit): `pass` or `fail` of every gate of inputs; only gates whose inputs have changed are checked.
+
+    check takes the inputs of the gates to be checked and gives the gates (column gate) that fail.  Passes are put into
+    the memo at path if they are not in it, each with its key; fails never are, so they are checked again every time.
+    The memo is a folder of Parquet files that later drivers read; a check that raises leaves it as it was.  Null gates
+    are left out.
+    """
+    inputs = inputs.where(F.col(gate).isNotNull())
+    keys = stored(remembered(memo_keys(inputs, gate, parts, version), path), "keys")
+    due = keys.where("not hit").select(F.col("gate").alias(gate))
+    failed = check(inputs.join(due, gate, "left_semi")).select(F.col(gate).alias("gate")).distinct().withColumn("_failed", F.lit(True))
+    verdicts = stored(keys.join(failed, "gate", "left").select("gate", "key", "hit", F.when(F.col("_failed") & ~F.col("hit"), "fail").otherwise("pass").alias("status")), "verdicts")
+    new = verdicts.where("not hit and status = 'pass'").select("gate", "key")
+    if not new.isEmpty():
+        new.coalesce(1 + new.count() // 1_000_000).write.mode("append").parquet(path)
+    return verdicts.select("gate", "status", "hit")
+
+
 def bisected(items: Sequence[str], passes: Callable[[Sequence[str]], bool], budget: int = 32) -> tuple[list[str], list[str], int]:
     """(accepted, rejected, checks): groups that pass are taken whole, others are halved; beyond the budget the unproven are rejected."""
     accepted, rejected, used, queue = [], [], 0, [list(items)] if items else []

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import changes
 from weftgraph.plans.registry import query, table
+from weftgraph.storage import Round, shared_folder
 
 
 @query("""SELECT o_custkey AS id, o_orderkey AS v FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1 AND o_custkey % 3 <> 0 UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey % 3 = 0""")
@@ -67,6 +71,52 @@ def changes_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.purged(orders, table(spark, sf_dir, "lineitem"), "l_orderkey", ["O", "P"])[1].select("l_orderkey", "l_linenumber")
 
 
+@query("""WITH o AS (SELECT o_custkey AS gate, max(o_orderstatus = 'P') AS bad FROM orders GROUP BY 1), c AS (SELECT c_custkey AS gate, coalesce(bad, false) AS bad, c_custkey % 10 = 0 AS changed FROM customer LEFT JOIN o ON gate = c_custkey)
+SELECT gate, CASE WHEN bad OR changed AND gate % 20 = 0 THEN 'fail' ELSE 'pass' END AS status, NOT bad AND NOT changed AS hit FROM c""")
+def gate_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of two checks of each customer and all of its orders: a tenth have changed since the first, a twentieth so that they fail; the rest that passed is not checked again."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("gate"), F.lit("customer").alias("input"), F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("string").alias("value"), F.lit("").alias("status"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gate"), F.lit("orders").alias("input"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("string").alias("value"), F.col("o_orderstatus").alias("status"))
+    path = f"{shared_folder(spark)}/weft-memo-{uuid.uuid4().hex}"
+    before = customers.unionByName(orders)
+    after = before.repartition(5, "id").withColumns({"value": F.when((F.col("gate") % 10 == 0) & (F.col("input") == "customer"), F.concat("value", F.lit("0"))).otherwise(F.col("value")), "status": F.when((F.col("gate") % 20 == 0) & (F.col("input") == "customer"), "P").otherwise(F.col("status"))})
+
+    def pending(rows: DataFrame) -> DataFrame:
+        return rows.where("status = 'P'").select("gate")
+
+    changes.checked(before, "gate", pending, path)
+    return changes.checked(after, "gate", pending, path)
+
+
+@query("""WITH t AS (SELECT o_custkey, sum(o_totalprice)::DECIMAL(38, 2) AS spent FROM orders GROUP BY 1), n AS (SELECT c_nationkey, c_custkey, spent FROM t JOIN customer ON c_custkey = o_custkey)
+SELECT c_nationkey, count(*) AS customers, max(spent)::VARCHAR AS most, 'spent:1,joined:1,grouped:2' AS runs FROM n GROUP BY c_nationkey""")
+def resumed_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round whose last stage fails the first time: the second driver goes on from the stage before it."""
+    folder = f"{shared_folder(spark)}/weft-round-{uuid.uuid4().hex}"
+    tries: dict[str, int] = {}
+
+    def counted(name: str, make: Callable[[DataFrame], DataFrame]) -> tuple[str, Callable[[DataFrame], DataFrame]]:
+        def run(rows: DataFrame) -> DataFrame:
+            tries[name] = tries.get(name, 0) + 1
+            return make(rows)
+
+        return name, run
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        most = rows.groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.max("spent").cast("string").alias("most"))
+        return most.withColumn("customers", F.raise_error(F.lit("lost"))) if tries["grouped"] == 1 else most
+
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    stages = [counted("spent", lambda o: o.groupBy("o_custkey").agg(F.sum("o_totalprice").cast("decimal(38,2)").alias("spent"))), counted("joined", lambda t: t.join(customers, "o_custkey")), counted("grouped", grouped)]
+    for attempt in (1, 2):
+        try:
+            found = Round(spark, folder).run(lambda: table(spark, sf_dir, "orders"), stages)
+        except Exception:
+            if attempt == 2:
+                raise
+    return found.withColumn("runs", F.lit(",".join(f"{name}:{tries[name]}" for name, _ in stages)))
+
+
 @query("SELECT 'same' AS pair, true AS equal UNION ALL SELECT 'dealt anew', true UNION ALL SELECT 'one row more', false")
 def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints that decide whether a stage runs again: of a table, of its rows in another order, of one more row."""

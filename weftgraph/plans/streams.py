@@ -59,3 +59,19 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that twelve hours of silence end, by custom state; those still open are not given."""
     stream = E.source(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return E.drained(E.sessions(stream, "user_id", "ts", 43200), "sessions")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, CASE event_type WHEN 'signup' THEN 2 WHEN 'error' THEN -2 WHEN 'click' THEN 1 WHEN 'purchase' THEN -1 END AS step FROM events WHERE event_type IN ('signup', 'error', 'click', 'purchase')),
+k AS (SELECT *, sum((step = 2)::INT) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e),
+r AS (SELECT *, sum(CASE WHEN abs(step) = 1 THEN step ELSE 0 END) OVER (PARTITION BY user_id, session ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS flying FROM k),
+s AS (SELECT user_id, session, min(t) FILTER (WHERE step = 2) AS opened, min(t) FILTER (WHERE step = -2) AS down FROM r GROUP BY ALL),
+n AS (SELECT *, lead(opened) OVER (PARTITION BY user_id ORDER BY session) AS nxt, (SELECT max(t) - 3600000 FROM e) AS mark FROM s),
+aged AS (SELECT n.user_id, n.opened, n.nxt, n.mark, CASE WHEN arg_max(r.flying, (r.t, r.event_id)) FILTER (WHERE r.t < n.opened + 86400000) <= 0 THEN n.opened + 86400000 ELSE min(r.t) FILTER (WHERE r.t >= n.opened + 86400000 AND r.flying <= 0) END AS due
+  FROM n JOIN r ON r.user_id = n.user_id AND r.session = n.session WHERE n.opened IS NOT NULL GROUP BY n.user_id, n.opened, n.nxt, n.mark)
+SELECT user_id, 'disconnected' AS reason, coalesce(opened, -1) AS opened, down + 21600000 AS due FROM n WHERE down IS NOT NULL AND down + 21600000 < coalesce(nxt, mark) AND down + 21600000 <= mark
+UNION ALL SELECT user_id, 'aged', opened, due FROM aged WHERE due < coalesce(nxt, mark + 1) AND due <= mark""")
+def event_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as connections: signups bring them up, errors take them down, clicks begin and purchases end an answer; six hours of grace, a day at most, by timers."""
+    stream = E.source(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    step = F.expr(f"case event_type when 'signup' then {E.UP} when 'error' then {E.DOWN} when 'click' then 1 when 'purchase' then -1 end")
+    return E.drained_with_timers(E.watchdog(stream, "user_id", "ts", step, "event_id", 6 * 3600, 24 * 3600), "watchdog")

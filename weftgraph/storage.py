@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,43 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+class Round:
+    """Stages of one round, each stored in a folder of its own with a marker that is written last.
+
+    A driver that is lost is followed by one that gives the same folder: it goes on after the last stage with a marker,
+    from what that stage stored; half-written files of the next one are removed.  A marker is named by a digest of `key`
+    and the names of the stages up to it, so a round of another key or other stages starts where it differs.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = ""):
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
+        #: Stages that this driver has run.
+        self.ran: list[str] = []
+
+    def run(self, start: Callable[[], DataFrame], stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+        """The result of the last stage, read from where it is stored.  Each stage takes what the one before it stored, the first start();
+        what a stage stored is removed when the next one is whole."""
+        marks, mark = [], self.key
+        for name, _ in stages:
+            mark = hashlib.sha256(f"{mark}|{name}".encode()).hexdigest()
+            marks.append(mark)
+        places = [f"{self.folder}/{k}-{name}" for k, (name, _) in enumerate(stages)]
+        whole = [k for k, place in enumerate(places) if exists(self.spark, f"{place}/done-{marks[k]}") and exists(self.spark, f"{place}/rows")]
+        at = whole[-1] if whole else -1
+        rows = self.spark.read.parquet(f"{places[at]}/rows") if whole else start()
+        for k in range(at + 1, len(stages)):
+            name, stage = stages[k]
+            remove(self.spark, places[k])
+            stage(rows).write.parquet(f"{places[k]}/rows")
+            target, files = _files(self.spark, f"{places[k]}/done-{marks[k]}")
+            files.create(target, True).close()
+            self.ran.append(name)
+            rows = self.spark.read.parquet(f"{places[k]}/rows")
+            if k:
+                remove(self.spark, f"{places[k - 1]}/rows")
+        return rows
+
+
 def replace_all(tables: dict[str, DataFrame]) -> None:
     """Replaces the tables at several paths together: all are staged first; if a swap fails, all paths get their old tables back."""
     staged: dict[str, str] = {}

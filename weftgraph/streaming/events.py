@@ -12,9 +12,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weftgraph.storage import shared_folder
 
+#: State with timers needs this store.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """The Parquet files under a path as a stream of their rows."""
@@ -35,6 +39,17 @@ def drained(stream: DataFrame, name: str, target: str | None = None, checkpoint:
     return spark.read.schema(stream.schema).parquet(target)
 
 
+def drained_with_timers(stream: DataFrame, name: str, target: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """drained() for a stream whose state has timers; the session's state store is as it was afterwards."""
+    conf, (key, value) = stream.sparkSession.conf, _STORE
+    before = conf.get(key, None)
+    conf.set(key, value)
+    try:
+        return drained(stream, name, target, checkpoint)
+    finally:
+        conf.set(key, before) if before else conf.unset(key)
+
+
 def for_each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hands every new batch to the sink once it is whole; a batch that failed comes again with its number."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -107,3 +122,92 @@ def sessions(events: DataFrame, key: str, at: str, grace_seconds: int, late: str
 
     marked = events.withWatermark(at, late).withColumn("_ms", F.unix_millis(F.col(at)))
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, opened long, closed long", "n long, first long, last long", "append", "EventTimeTimeout")
+
+
+class _Watchdog(StatefulProcessor):
+    """Of one connection: events that the watermark has not passed, and what is known at the last one that it has."""
+
+    def __init__(self, key: str, grace_ms: int, most_ms: int):
+        self.key, self.grace, self.most = key, grace_ms, most_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, seq long, step int")
+        self.known = handle.getValueState("known", "opened long, down long, flying long, aged boolean, lost boolean")
+
+    def _rows(self, key: tuple, found: list[tuple[str, int, int]]) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame([(key[0], *x) for x in found], columns=[self.key, "reason", "opened", "due"])
+
+    def _advanced(self, events: list[tuple[int, int, int]], now: int) -> list[tuple[str, int, int]]:
+        """Takes the events in their order and gives the alarms due up to now."""
+        opened, down, flying, aged, lost = self.known.get() if self.known.exists() else (-1, -1, 0, False, False)
+        out: list[tuple[str, int, int]] = []
+
+        def due(until: int) -> None:
+            nonlocal aged, lost
+            if down >= 0 and not lost and down + self.grace <= until:
+                out.append(("disconnected", opened, down + self.grace))
+                lost = True
+            if opened >= 0 and not aged and flying <= 0 and opened + self.most <= until:
+                out.append(("aged", opened, max(opened + self.most, since)))
+                aged = True
+
+        since = opened
+        for at, _, step in events:
+            due(at - 1)
+            since = at
+            if step == UP:
+                opened, down, flying, aged, lost = at, -1, 0, False, False
+            elif step == DOWN:
+                down = at if down < 0 else down
+            else:
+                flying += step
+            due(at)
+        due(now)
+        self.known.update((opened, down, flying, aged, lost))
+        waits = [t for t, open_ in ((down + self.grace, down >= 0 and not lost), (opened + self.most, opened >= 0 and not aged and flying <= 0)) if open_]
+        if waits:
+            self.handle.registerTimer(min(waits))
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t), int(q), int(s)) for part in rows for t, q, s in zip(part["ms"], part["seq"], part["step"], strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(max(min(new)[0], timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(x) for x in self.waiting.get())
+        ready, rest = [x for x in held if x[0] <= now], [x for x in held if x[0] > now]
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            if rest:
+                self.handle.registerTimer(rest[0][0])
+        yield from self._rows(key, self._advanced(ready, now))
+
+    def close(self) -> None:
+        pass
+
+
+#: Steps of a connection: it comes up, it goes down; +1 and -1 begin and end an answer.
+UP, DOWN = 2, -2
+
+
+def watchdog(events: DataFrame, key: str, at: str, step: Column, order: str, grace_seconds: int, most_seconds: int, late: str = "1 hour") -> DataFrame:
+    """(key, reason, opened, due): when each connection of a stream has to be rebuilt, in milliseconds.
+
+    `disconnected`: it went down and did not come up within the grace.  `aged`: it came up `most_seconds` ago or more and
+    no answer is in flight; while one is, the alarm waits for its end.  Each reason is given once until the connection
+    comes up again (a connection that was never seen up has opened = -1 and doesn't age).  step: UP, DOWN, 1 or -1;
+    order: number that orders events of one millisecond.
+
+    Events wait in the state until the watermark, `late` behind the newest event, has passed them, and are then taken in
+    their order; timers wake a connection when events or alarms are due.  Run it with drained_with_timers().
+    """
+    kind = events.schema[key].dataType.simpleString()
+    marked = events.where(step.isNotNull()).withWatermark(at, late).select(key, at, F.unix_millis(F.col(at)).alias("ms"), F.col(order).cast("long").alias("seq"), step.cast("int").alias("step"))
+    processor = _Watchdog(key, grace_seconds * 1000, most_seconds * 1000)
+    return marked.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, reason string, opened long, due long", "Append", "EventTime")
