@@ -11,7 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import candidates, changes, graph, joins, matching, predicates, questions, reasoner
+from weftgraph.operators import candidates, changes, graph, joins, json_schema, matching, predicates, projection, questions, reasoner
 from weftgraph.storage import Round
 from weftgraph.streaming import events
 
@@ -312,3 +312,37 @@ def test_watchdog_over_several_runs(spark, tmp_path):
     assert run() == {("c", "disconnected", -1, 13), ("a", "disconnected", 12, 40), ("a", "aged", 12, 72)}
     write(2, [("tick", 90, up)])
     assert run() == {("c", "disconnected", -1, 13), ("a", "disconnected", 12, 40), ("a", "aged", 12, 72), ("b", "aged", 0, 75)}
+
+
+# schemas of documents, and projection
+
+
+def test_violations_of_a_schema(spark):
+    tag = {"type": "object", "required": ["k"], "properties": {"k": {"enum": ["a", "b", 1]}, "sub": {"type": "array", "items": {"$ref": "#/$defs/tag"}}}, "additionalProperties": False, "oneOf": [{"required": ["k"], "not": {"required": ["z"]}}]}
+    schema = {"type": "object", "required": ["id", "tags"], "properties": {"id": {"type": "string", "pattern": "^s[a-z0-9]+$"}, "n": {"type": "integer", "minimum": 1}, "tags": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/tag"}}, "d": {"type": "string", "format": "date"}}, "additionalProperties": {"type": "string", "maxLength": 2}, "$defs": {"tag": tag}}
+    cases = {
+        '{"id": "sa", "tags": [{"k": "a"}, {"k": 1}], "n": 2.0, "d": "2024-02-29"}': [],
+        '{"id": "X", "n": 0, "tags": []}': ["$.id pattern", "$.n minimum", "$.tags minItems"],
+        "nope": ["$ json"],
+        '{"id": 5, "tags": [{"k": "c", "y": 1, "sub": [{"k": "a"}, {"k": 1.5, "q": null}]}, 7], "d": "2024-13-01", "more": "abc", "less": 3}': ["$.d format", "$.id type", "$.less type", "$.more maxLength", "$.tags[0].k enum", "$.tags[0].sub[1].k enum", "$.tags[0].sub[1].q additionalProperties", "$.tags[0].y additionalProperties", "$.tags[1] type"],
+        '{"id": "sa", "n": 2.5, "tags": [{}]}': ["$.n type", "$.tags[0] oneOf", "$.tags[0] required"],
+        "[]": ["$ type"],
+        None: ["$ json"],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    found: dict[int, list[str]] = {k: [] for k in range(len(cases))}
+    for r in json_schema.violations(rows, "id", "text", schema).collect():
+        found[r["id"]].append(f"{r['path']} {r['rule']}")
+    assert [sorted(v) for v in found.values()] == [sorted(v) for v in cases.values()]
+    assert json_schema.violations(rows.limit(0), "id", "text", schema).count() == 0
+    for bad in ({"allOf": []}, {"properties": {"a": {"$ref": "other.json"}}}, {"oneOf": [{"type": "string"}]}, {"format": "email"}):
+        with pytest.raises(ValueError):
+            json_schema.Compiled(bad)
+
+
+def test_node_names(spark):
+    from urllib.parse import quote
+
+    ids = ["a b", "x/y", "é漢", "a*b", "~t", "p.q_r-s", "100%", "a+b", ""]
+    found = spark.createDataFrame([(i,) for i in ids], "id string").select("id", projection.node("urn:x:", "catalog", F.col("id")).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in found} == {i: f"urn:x:catalog:{quote(i, safe='._-')}" for i in ids}
