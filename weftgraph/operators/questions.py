@@ -36,8 +36,10 @@ def _half_shared(asked: DataFrame, words: DataFrame) -> DataFrame:
     A question that has half of a word's k terms has one of any k - ceil(k / 2) + 1 of them, so only that many, the ones
     that fewest questions have, are put into the index.
     """
-    often = asked.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     long = words.where(F.size("terms") >= 3).select("word_id", "terms")
+    if long.isEmpty():
+        return long.select(F.lit(None).cast(asked.schema["qid"].dataType).alias("qid"), "word_id").limit(0)
+    often = asked.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     ranked = long.select("word_id", F.size("terms").alias("k"), F.explode("terms").alias("term")).join(often, "term", "left")
     by_rarity = ranked.groupBy("word_id", "k").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("by"))
     postings = by_rarity.select("word_id", F.explode(F.expr("slice(by, 1, k - cast(ceil(k / 2) as int) + 1)")).alias("p")).where("p.n > 0").select("word_id", F.col("p.term").alias("term"))
@@ -73,7 +75,7 @@ def scored(questions: DataFrame, items: DataFrame, names: DataFrame, every: bool
     intents = each.groupBy("qid", "id").agg(F.sum("s").alias("_s"), F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("kind", "ord", "raw")))).alias("_intent"))
     intents = stored(intents.select("qid", "id", "_s", F.col("_intent.raw").alias("intent")), "intents")
 
-    entities = stored(held.join(names.select(F.col("name").alias("word"), "type", F.col("id").alias("entity")), "word").select("qid", "type", "entity").distinct(), "entities")
+    entities = held.join(names.select(F.col("name").alias("word"), "type", F.col("id").alias("entity")), "word").select("qid", "type", "entity").distinct()
     preferred = listed if every else listed.withColumn("_nth", F.row_number().over(Window.partitionBy("types").orderBy(F.col("bucket") != "out_of_scope", "id"))).where("_nth = 1")
     by_type = entities.join(preferred.select("id", F.explode("types").alias("type")), "type").select("qid", "id", "entity")
     if not every:

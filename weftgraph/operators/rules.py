@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,13 +112,17 @@ def _join(left: DataFrame | None, right: DataFrame) -> DataFrame:
 
 
 def solve(triples: DataFrame, patterns: Sequence[Pattern], namespace: str, start: DataFrame | None = None) -> DataFrame:
-    """Solutions of patterns; those that share a variable with what is joined already go first."""
-    left, rest = start, list(patterns)
+    """Solutions of patterns.  Those about one subject are joined on it first; then what is solved of each subject is joined
+    on all variables that it shares with the rest, the one that shares most first."""
+    stars: dict[object, list[Pattern]] = {}
+    for k, pattern in enumerate(patterns):
+        stars.setdefault(pattern[0] if _is_variable(pattern[0]) else k, []).append(pattern)
+    rest = [reduce(_join, (_match(triples, p, namespace) for p in star)) for star in stars.values()]
+    left = start
     while rest:
         known = set(left.columns) if left is not None else set()
-        pick = next((p for p in rest if known & {t for t in p if _is_variable(t)}), rest[0])
-        rest.remove(pick)
-        left = _join(left, _match(triples, pick, namespace))
+        pick = max(range(len(rest)), key=lambda k: (len(known & set(rest[k].columns)), -k))
+        left = _join(left, rest.pop(pick))
     return left
 
 

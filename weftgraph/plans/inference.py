@@ -10,6 +10,7 @@ from weftgraph.operators.reasoner import CHAIN, DOMAIN, FIRST, INVERSE, NIL, RAN
 from weftgraph.operators.rules import Lit, Rule
 from weftgraph.plans.graphs import part_of
 from weftgraph.plans.registry import query, table
+from weftgraph.storage import stored
 
 NS = "urn:weft:"
 
@@ -139,5 +140,6 @@ def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[("Lines", "Order", "", "line", 3, 6, None, "urn:int", "lines"), ("Payer", "Order", "", "by", None, None, "Solvent", None, "customer")],
         *[("Either", "Order", "a", "finished", 1, None, None, None, "finish or urgency"), ("Either", "Order", "b", "urgent", 1, None, None, None, "finish or urgency")],
     ]
+    base = stored(base, "triples")
     found = shapes.violations(base, base, spark.createDataFrame(constraints, shapes.CONSTRAINT))
     return found.select("node", "component", "path", "message")
