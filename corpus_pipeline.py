@@ -5,12 +5,14 @@ Every stage takes (spark, docs, sf_dir) and judges all rows that the stage befor
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontamination, jobs, language_id, mixing, ngram_join, sharding
+from weftgraph.storage import Round
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +59,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all of `documents`."""
-    docs = jobs.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = jobs.stored(stage(spark, docs, sf_dir), name)
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages over all of `documents`; with a folder that an earlier run was given, they go on after its last whole stage."""
+    stages = [(name, lambda docs, stage=stage: stage(spark, docs, sf_dir)) for name, stage in STAGES[:-1]]
+    docs = Round(spark, folder or f"{jobs.shared_folder(spark)}/weft-corpus-{uuid.uuid4().hex}", sf_dir).run(lambda: jobs.table(spark, sf_dir, "documents"), stages)
     return STAGES[-1][1](spark, docs, sf_dir)
