@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import math
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -545,6 +547,31 @@ def test_decontamination_in_passes(spark, docs, monkeypatch):
     assert decontamination.decontaminated(table, items).count() == sum(not r[-1] for r in one)
 
 
+@pytest.mark.parametrize("size", [10_000, 30])
+def test_decontamination_holds_one_pass_at_a_time(spark, monkeypatch, size):
+    """From one pass to fifty, no more than one pass's words are alive on the driver, and the plan of the result stays the same."""
+    words = [f"v{k}" for k in range(1500)]
+    items = spark.createDataFrame([(f"i{k:03}", " ".join(words[15 * k : 15 * k + 15])) for k in range(100)], "item_id string, text string")
+    table = spark.createDataFrame([(k, " ".join(words[15 * k : 15 * k + 30])) for k in range(100)], "doc_id long, text string").repartition(2)
+    alive: list[weakref.ref] = []
+    most, made = [], decontamination.Windows.of
+
+    def counted(held, window):
+        gc.collect()
+        most.append(sum(ref() is not None for ref in alive))
+        windows = made(held, window)
+        alive.append(weakref.ref(windows))
+        return windows
+
+    monkeypatch.setattr(decontamination, "PASS_WORDS", size)
+    monkeypatch.setattr(decontamination.Windows, "of", counted)
+    found = decontamination.contamination(table, items)
+    assert len(most) == -(-1500 // size)
+    assert max(most) <= 1
+    assert [r["n_items"] for r in found.orderBy("doc_id").collect()] == [2] * 99 + [1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 # 8
 
 

@@ -8,23 +8,26 @@ frequent.  With a slop, a posting up to that many words beside its place counts
 is a place for the phrase, which may be up to the slop away from where the rarest term puts it, such that each word stands
 at most the slop beside its own place.  They don't depend on which documents share a segment.
 
-Test items are a table as well.  Their words are dealt into passes of about PASS_WORDS words; each pass is sent to all
-tasks, searches the same index, and the passes' matches meet by document.  Words are equal where their 64-bit hashes are.
+Test items are a table as well.  Their words are dealt into passes of about PASS_WORDS words.  A pass is sent to all tasks,
+searches the index and writes its matches before the next one is read, so the driver holds one pass at a time, however
+large the benchmark is; then the matches of all passes meet by document.  Words are equal where their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm import jobs, textkit
+from weftgraph.storage import exists, remove
 
 #: Words of a window, words between two documents in a segment's numbering, and phrase candidates handled at once.
 WINDOW, GAP, CANDIDATES = 13, 64, 1_000_000
@@ -216,9 +219,11 @@ def index(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("segment", F.monotonically_increasing_id())
 
 
-def occurrences(indexed: DataFrame, windows: Windows, slop: int) -> DataFrame:
+MATCHES = "segment long, nth int, hits array<int>, items array<string>, near array<string>"
+
+
+def occurrences(indexed: DataFrame, shared: Broadcast[Windows], slop: int) -> DataFrame:
     """(segment, nth, hits, items, near) of each document of a stored index that has matches; nth counts in its segment."""
-    shared = indexed.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +239,11 @@ def occurrences(indexed: DataFrame, windows: Windows, slop: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["segment", "nth", "hits", "items", "near"])
 
-    return indexed.select("segment", "n_words", *_ARRAYS).mapInArrow(run, "segment long, nth int, hits array<int>, items array<string>, near array<string>")
+    return indexed.select("segment", "n_words", *_ARRAYS).mapInArrow(run, MATCHES)
 
 
 def search(indexed: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, n_near_items, contaminated) of each document of a stored index().
+    """(doc_id, n_words, n_hit, n_items, items_sha256, n_near_items, contaminated) of each document of a stored index(), stored.
 
     items: (item_id, text).  A document is contaminated if occurrences of windows cover a twentieth of its words or more.
     n_near_items counts the items with a window whose words all stand at most `slop` words beside their place; 0 leaves
@@ -246,23 +251,33 @@ def search(indexed: DataFrame, items: DataFrame, size: int = WINDOW, slop: int =
     """
     if size + 2 * slop > GAP:
         raise ValueError(f"a window of {size} words with a slop of {slop} reaches over the gap of {GAP} words between documents")
+    spark = indexed.sparkSession
     words = jobs.stored(item_words(items, size), "items")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     passes = max(1, -(-total // PASS_WORDS))
-    found = []
-    for k in range(passes):
-        held = words.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k).orderBy("item_id", "words").collect()  # about PASS_WORDS words
-        found.append(occurrences(indexed, Windows.of([(r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in held], size), slop))
+    folder = f"{jobs.shared_folder(spark)}/weft-passes-{uuid.uuid4().hex}"
+    number = F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)).cast("int")
+    words.withColumn("pass", number).repartition("pass").write.partitionBy("pass").parquet(f"{folder}/items")
     jobs.discard(words)
+    for k in range(passes):
+        place = f"{folder}/items/pass={k}"
+        held = spark.read.schema(words.schema).parquet(place).orderBy("item_id", "words").collect() if exists(spark, place) else []  # about PASS_WORDS words
+        shared = spark.sparkContext.broadcast(Windows.of([(r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in held], size))
+        del held
+        occurrences(indexed, shared, slop).write.parquet(f"{folder}/matches/pass={k}")
+        shared.destroy()
     every = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hits", "items", "near")]
-    met = reduce(DataFrame.unionAll, found).groupBy("segment", "nth").agg(*every)
+    met = spark.read.schema(MATCHES).parquet(f"{folder}/matches").groupBy("segment", "nth").agg(*every)
     base = indexed.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("nth", "doc")).select("segment", "nth", "doc.doc_ids", "doc.n_words")
     size_of = {c: F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("hits", "items", "near")}
     digest = F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")).cast("binary"), 256)
     contaminated = (size_of["hits"] > 0) & (20 * size_of["hits"] >= F.col("n_words"))
-    return base.join(met, ["segment", "nth"], "left").select(
+    judged = base.join(met, ["segment", "nth"], "left").select(
         F.col("doc_ids").alias("doc_id"), "n_words", size_of["hits"].alias("n_hit"), size_of["items"].alias("n_items"), digest.alias("items_sha256"), size_of["near"].alias("n_near_items"), contaminated.alias("contaminated")
     )
+    found = jobs.stored(judged, "contamination")
+    remove(spark, folder)
+    return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 2) -> DataFrame:
@@ -272,7 +287,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     that are null, empty or repeated add nothing.  Without items or documents nothing is contaminated.
     """
     indexed = jobs.stored(index(docs), "index", compression="zstd")
-    found = jobs.stored(search(indexed, items, size, slop), "contamination")
+    found = search(indexed, items, size, slop)
     jobs.discard(indexed)
     return found
 
