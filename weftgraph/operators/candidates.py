@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -254,3 +254,30 @@ def appended_playbooks(records: DataFrame, triples: DataFrame, namespace: str, l
     made = of.groupBy(F.col("s").alias("id")).agg(one(label_p).alias("name_zh"), *[one(namespace + p).alias(n) for n, p in names.items()], many(namespace + "hasPossibleCause").alias("cause_refs"), many(namespace + "hasDiagnosticAction").alias("action_refs"))
     defaults = {"name_zh": F.col("id"), "domain": F.lit("fab"), "confidence": F.lit("medium"), "source_type": F.lit("model_prior")}
     return made.withColumns({c: F.coalesce(c, d) for c, d in defaults.items()})
+
+
+def whole_groups(triples: DataFrame, declared: DataFrame, group: Mapping[str, str | None], single: str) -> tuple[DataFrame, DataFrame]:
+    """(triples that stay, removed (s, reason)): a subject keeps its triples of the predicates in `group` only together.
+
+    They go if one of the predicates is missing, if `single` has more than one value, or if a target that is declared, in
+    (node, types array), lacks the type its predicate asks for; of wrong targets the first predicate of `group` is named.
+    Targets that are not declared here are taken as they are.  Repeated triples count once; other triples always stay.
+    """
+    names = list(group)
+    place = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)])
+    asked = F.create_map(*[x for name, kind in group.items() for x in (F.lit(name), F.lit(kind).cast("string"))])
+    inside = triples.where(F.col("p").isin(*names)).select("s", "p", "o").distinct()
+    types = declared.groupBy(F.col("node").alias("o")).agg(F.flatten(F.collect_set("types")).alias("_types"))
+    wrong = F.col("_types").isNotNull() & asked[F.col("p")].isNotNull() & ~F.array_contains("_types", asked[F.col("p")])
+    facts = inside.join(types, "o", "left").groupBy("s").agg(
+        F.count_distinct("p").alias("have"), F.count_if(F.col("p") == single).alias("singles"), F.min(F.when(wrong, place[F.col("p")])).alias("wrong")
+    )
+    texts = F.array(*[F.lit(f"a target of {name} is no {kind}") for name, kind in group.items()])
+    reason = (
+        F.when(F.col("have") < len(names), F.concat(F.lit("has "), F.col("have").cast("string"), F.lit(f" of {len(names)}")))
+        .when(F.col("singles") > 1, F.lit(f"more than one {single}"))
+        .when(F.col("wrong").isNotNull(), F.get(texts, F.col("wrong")))
+    )
+    removed = facts.select("s", reason.alias("reason")).where("reason is not null")
+    gone = removed.select("s", F.explode(F.array(*map(F.lit, names))).alias("p"))
+    return triples.join(gone, ["s", "p"], "left_anti"), removed

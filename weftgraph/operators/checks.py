@@ -240,6 +240,13 @@ def grown(before: Mapping[str, int], after: Mapping[str, int]) -> list[str]:
     return sorted(k for k, n in before.items() if after.get(k, 0) < n)
 
 
+def shrunk(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
+    """(by, before, after): values of a column that fewer rows have after a change than before it; null counts as a value."""
+    counts = before.groupBy(by).agg(F.count("*").alias("before")), after.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("after"))
+    met = counts[0].join(counts[1], F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "before", F.coalesce("after", F.lit(0)).alias("after"))
+    return met.where("after < before")
+
+
 def delivery_manifest(files: DataFrame, digests: DataFrame, headers: DataFrame, classes: DataFrame, formats: Sequence[str], classifications: Sequence[str] = ("internal", "internal_confidential", "restricted")) -> DataFrame:
     """(path, problem) of delivered files.
 

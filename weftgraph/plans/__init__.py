@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import cataloged, changing, counting, expressions, graphs, handling, inference, joining, projecting, ranking, sourcing, streams, texts, validation, whatif  # noqa: F401
+from weftgraph.plans import cataloged, changing, counting, expressions, graphs, guarding, handling, inference, joining, projecting, ranking, sourcing, streams, texts, validation, whatif  # noqa: F401
 from weftgraph.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -235,9 +235,13 @@ def page_texts(pages: DataFrame, most: int = 6000, least: int = 20) -> DataFrame
 
 
 def profiles(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, rows, equipment, phase) of CSV files with a header: row count and the first row's equipment and phase."""
-    rows = spark.read.option("header", True).option("enforceSchema", False).csv(list(paths)).withColumn("path", F.input_file_name())
-    first = [F.first(c, True).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("equipment", "phase")]
+    """(path, rows, equipment, phase) of CSV files with a header: row count and the first equipment and phase in the file's order.
+
+    Large files may be read in pieces by several tasks: rows are ordered by the place of their piece, then within it.
+    """
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(list(paths))
+    rows = rows.withColumns({"path": F.input_file_name(), "_at": F.struct(F.input_file_block_start(), F.monotonically_increasing_id())})
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("equipment", "phase")]
     return rows.groupBy("path").agg(F.count("*").alias("rows"), *first)
 
 
