@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import random
 import subprocess
 import sys
@@ -11,7 +12,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import candidates, changes, graph, joins, json_schema, matching, predicates, projection, questions, reasoner
+from weftgraph.operators import candidates, changes, checks, graph, joins, json_schema, matching, predicates, projection, questions, reasoner
+from weftgraph.sources import sinks, tables
 from weftgraph.storage import Round
 from weftgraph.streaming import events
 
@@ -232,6 +234,7 @@ DRIVER = """
 import os, sys
 sys.path.insert(0, {repo!r})
 from weftgraph.session import session
+from weftgraph.sources import sinks, tables
 from weftgraph.storage import Round
 spark = session(2, 2)
 stages = [("doubled", lambda d: d.selectExpr("id * 2 as id")), ("even", lambda d: d.where("id % 4 = 0")), ("last", lambda d: os._exit(3))]
@@ -346,3 +349,55 @@ def test_node_names(spark):
     ids = ["a b", "x/y", "é漢", "a*b", "~t", "p.q_r-s", "100%", "a+b", ""]
     found = spark.createDataFrame([(i,) for i in ids], "id string").select("id", projection.node("urn:x:", "catalog", F.col("id")).alias("n")).collect()
     assert {r["id"]: r["n"] for r in found} == {i: f"urn:x:catalog:{quote(i, safe='._-')}" for i in ids}
+
+
+# gates around a graph
+
+
+def test_whole_groups(spark):
+    """Groups that lack a predicate, have two values of the single one or a target of a wrong type go; the rest stays."""
+    group = {"d": "Anomaly", "c": None, "a": "Action"}
+    rows = [("ok", "d", "x"), ("ok", "d", "x"), ("ok", "c", "1"), ("ok", "c", "2"), ("ok", "a", "elsewhere"), ("two", "d", "x"), ("two", "d", "y"), ("two", "c", "1"), ("two", "a", "z")]
+    rows += [("wrong", "d", "y"), ("wrong", "c", "1"), ("wrong", "a", "x"), ("half", "c", "1"), ("half", "name", "n"), ("half", None, "q"), ("none", "name", None), (None, "d", "x"), ("late", "d", "x"), ("late", "c", "1"), ("late", "a", "x")]
+    triples = spark.createDataFrame(rows, "s string, p string, o string")
+    declared = spark.createDataFrame([("x", ["Anomaly"]), ("x", ["Other"]), ("y", []), ("z", ["Action"]), (None, ["Anomaly"])], "node string, types array<string>")
+    kept, removed = candidates.whole_groups(triples, declared, group, "d")
+    assert {r["s"]: r["reason"] for r in removed.collect()} == {
+        "two": "more than one d", "wrong": "a target of d is no Anomaly", "late": "a target of a is no Action", "half": "has 1 of 3", None: "has 1 of 3",
+    }
+    left = {(r["s"], r["p"]) for r in kept.collect()}
+    assert {x for x in left if x[0] is not None} == {("ok", "d"), ("ok", "c"), ("ok", "a"), ("half", "name"), ("half", None), ("none", "name")}
+    assert candidates.whole_groups(triples.limit(0), declared, group, "d")[1].count() == 0
+
+
+def test_counts_that_fell(spark):
+    before = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "k string")
+    after = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",)], "k string")
+    assert sorted(map(tuple, checks.shrunk(before, after, "k").collect()), key=repr) == [("a", 2, 1), (None, 2, 1)]
+    assert checks.shrunk(before.limit(0), after, "k").count() == 0
+
+
+def test_export_keeps_files_small(spark, tmp_path, monkeypatch):
+    """A table whose file is too large for one digest is dealt into more files with the same rows."""
+    monkeypatch.setattr(sinks, "FILE_BYTES", 4000)
+    tables_ = {"large": spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h")).coalesce(1), "small": spark.range(3).coalesce(1), "empty": spark.range(0)}
+    manifest = sinks.export(spark, tables_, str(tmp_path)).collect()
+    files = [r for r in manifest if "/large/" in r["path"]]
+    assert len(files) > 20 and sum("/small/" in r["path"] for r in manifest) == 1
+    for r in files[:5]:
+        assert hashlib.sha256(Path(r["path"].removeprefix("file:")).read_bytes()).hexdigest() == r["sha256"]
+    back = spark.read.parquet(f"{tmp_path}/large")
+    assert back.count() == back.distinct().count() == 20_000
+
+
+def test_profile_of_a_file_read_in_pieces(spark, tmp_path):
+    """The first row of a large file is its first one, whichever piece is read first; a column may start with nulls."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 5, None).otherwise(F.concat(F.lit("e"), "id")).alias("equipment"), F.col("id").alias("other")).coalesce(1)
+    rows.write.option("header", True).csv(f"{tmp_path}/d")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        found = tables.profiles(spark, f"{tmp_path}/d").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert [(r["rows"], r["equipment"], r["phase"]) for r in found] == [(4000, "e5", None)]

@@ -111,16 +111,17 @@ def texts_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(matching.first_classes(docs, "doc_id", F.col("text"), words), "doc_id")
 
 
-@query("""SELECT doc_id, greatest(1, count(*))::BIGINT > 0 AS some, true AS fits, true AS whole FROM documents WHERE length(text) > 0 GROUP BY doc_id""")
+@query(r"""SELECT DISTINCT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes, CASE WHEN length(text) = octet_length(encode(text)) AND NOT regexp_matches(text, '[\x0A-\x0D\x1C-\x1E]') THEN (octet_length(encode(text)) + 2047) // 2048 END::BIGINT AS chunks, true AS fits
+FROM documents WHERE length(text) > 0""")
 def chunk_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of at most 2,048 bytes of every text: that they fit, and that they make up the text again."""
+    """Chunks of at most 2,048 bytes of every text: digest and bytes of what they make up again, and how many they are in a single line of one-byte characters."""
     T.register(spark)
     docs = table(spark, sf_dir, "documents").where("char_length(text) > 0").select("doc_id", "text").distinct()
     docs.createOrReplaceTempView("weft_texts")
-    chunks = spark.sql("SELECT doc_id, text, c.chunk_no, c.chunk FROM weft_texts, LATERAL byte_chunks(text, 2048) AS c")
-    made = chunks.groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.max(F.octet_length("chunk")).alias("most"), F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("parts"))
-    whole = F.sha2(F.array_join(F.transform("parts", lambda p: p["chunk"]), ""), 256) == F.col("digest")
-    return made.groupBy("doc_id").agg(F.min(F.col("n") > 0).alias("some"), F.min(F.col("most") <= 2048).alias("fits"), F.min(whole).alias("whole"))
+    chunks = spark.sql("SELECT doc_id, xxhash64(text) AS same, char_length(text) = octet_length(text) AND NOT text RLIKE '[\\\\x0A-\\\\x0D\\\\x1C-\\\\x1E]' AS plain, c.chunk_no, c.chunk FROM weft_texts, LATERAL byte_chunks(text, 2048) AS c")
+    made = chunks.groupBy("doc_id", "same", "plain").agg(F.count("*").alias("n"), F.max(F.octet_length("chunk")).alias("most"), F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("parts"))
+    again = F.array_join(F.transform("parts", lambda p: p["chunk"]), "")
+    return made.select("doc_id", F.sha2(again.cast("binary"), 256).alias("sha256"), F.octet_length(again).cast("long").alias("bytes"), F.when(F.col("plain"), F.col("n")).alias("chunks"), (F.col("most") <= 2048).alias("fits"))
 
 
 @query("SELECT page_id, sha256(coalesce(html, '')) AS sha256 FROM pages")

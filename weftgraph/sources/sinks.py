@@ -47,11 +47,25 @@ def free_names(names: list[str]) -> list[str]:
     return out
 
 
+#: Bytes of an exported file; a table with a larger one is dealt into more files, as a digest takes a file as one value.
+FILE_BYTES = 1 << 29
+
+
 def export(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Writes the tables under folder and gives the manifest (path, sha256, size) of all their files, which is written too."""
+    """Writes the tables under folder and gives the manifest (path, sha256, size) of all their files, which is written too.
+
+    No file is much larger than FILE_BYTES, whatever the sizes of the tables.
+    """
     replace_all({f"{folder}/{name}": df for name, df in tables.items()})
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([f"{folder}/{name}" for name in tables])
-    manifest = files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+
+    def files(*names: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([f"{folder}/{name}" for name in names])
+
+    for name in tables:
+        size = files(name).agg(F.max("length").alias("largest"), F.sum("length").alias("total")).first()
+        if (size["largest"] or 0) > FILE_BYTES:
+            replace_all({f"{folder}/{name}": spark.read.parquet(f"{folder}/{name}").repartition(-(-2 * size["total"] // FILE_BYTES))})
+    manifest = files(*tables).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
     if exists(spark, f"{folder}/manifest"):
         remove(spark, f"{folder}/manifest")
     manifest.coalesce(1).write.json(f"{folder}/manifest")
@@ -70,6 +84,5 @@ def copy_columns(source: DataFrame, path: str, defaults: dict[str, object] | Non
     if not target.isEmpty():
         raise ValueError(f"{path} has rows")
     columns = [F.col(c) if c in source.columns else F.lit((defaults or {}).get(c)).cast(target.schema[c].dataType).alias(c) for c in target.columns]
-    rows = source.select(*[c for c in columns])
-    rows.write.mode("append").parquet(path)
-    return rows.count()
+    source.select(*columns).write.mode("append").parquet(path)
+    return spark.read.parquet(path).count()
