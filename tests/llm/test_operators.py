@@ -267,6 +267,28 @@ def test_components(spark):
     assert len({found[k] for k in range(21)}) == 1 and len({found[k] for k in (50, 75, 100)}) == 1 and found[0] != found[50] and len(found) == 24
 
 
+def test_ngram_join_ranges_follow_the_input(spark, docs, monkeypatch):
+    """Key ranges hold about as many hashes each whatever the partitions of the session, and links don't depend on them."""
+    sizes = spark.createDataFrame([(n,) for n in (1, 4, 5, 10, 1000)], "n long")
+    total = sum(ngram_join.prefix_length(n, 80) for n in (1, 4, 5, 10, 1000))
+    monkeypatch.setattr(ngram_join, "RANGE", 10)
+    assert ngram_join.key_ranges(sizes, 80, 3) == -(-total // 10) and ngram_join.key_ranges(sizes, 80, 500) == 500
+    assert ngram_join.key_ranges(sizes.limit(0), 80, 3) == 3
+    many = sorted(map(tuple, ngram_join.join(docs).collect()), key=repr)
+    monkeypatch.setattr(ngram_join, "RANGE", 10**9)
+    assert sorted(map(tuple, ngram_join.join(docs).collect()), key=repr) == many
+
+
+def test_ngram_join_finds_shingles_of_one_set_in_a_hundred():
+    """A passage of 1 % of the sets of a neighbourhood counts as frequent."""
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(1000, 1 << 62, 200).astype(np.uint64)) for _ in range(1000)]
+    for k in range(0, 1000, 100):
+        sets[k] = np.sort(np.append(sets[k], np.uint64(7)))
+    found = np.frombuffer(ngram_join._frequent(sets), np.uint64).reshape(-1, 2)
+    assert found.tolist() == [[7, 10]]
+
+
 # 5
 
 

@@ -31,6 +31,8 @@ from weftgraph.llm import jobs, textkit
 TILE, CLUSTER, SHINGLES = 2048, 16384, 4_000_000
 #: Shingles among which frequent ones are looked for at once, and frequent ones known to all tasks (16 bytes each).
 COUNTED, FREQUENT = 1_000_000, 100_000
+#: Prefix hashes of a key range, about (20 bytes each): ranges are as many as the corpus needs, whatever the session's partitions.
+RANGE = 2_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -124,9 +126,9 @@ def text_key() -> Column:
 
 
 def _frequent(sets: list[np.ndarray]) -> bytes:
-    """(shingle, sets that have it) of the shingles that at least 8 and a 32nd of the sets have."""
+    """(shingle, sets that have it) of the shingles that at least 8 and a 128th of the sets have."""
     keys, times = np.unique(np.concatenate(sets), return_counts=True)
-    often = times >= max(8, len(sets) // 32)
+    often = times >= max(8, len(sets) // 128)
     return np.stack([keys[often], times[often].astype(np.uint64)], axis=1).tobytes()
 
 
@@ -176,10 +178,15 @@ def frequent_shingles(signs: DataFrame) -> np.ndarray:
     return found[np.argsort(found[:, 0])]
 
 
-def tiles(docs: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(tile, members): sets that share a prefix hash, in size bands; members are set_ids."""
+def key_ranges(sizes: DataFrame, percent: int, least: int) -> int:
+    """Ranges that hold about RANGE prefix hashes each of sets of the given sizes (column n), `least` or more."""
+    total = sizes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    return max(least, -(-int(total) // RANGE))
+
+
+def tiles(docs: DataFrame, shingle: int, percent: int, frequent: np.ndarray, ranges: int) -> DataFrame:
+    """(tile, members): sets that share a prefix hash, in size bands; members are set_ids.  `ranges` groups of keys are handled one by one."""
     spark = docs.sparkSession
-    ranges = 4 * jobs.partitions(spark)
     shared = spark.sparkContext.broadcast(frequent)
     half = TILE // 2
 
@@ -334,7 +341,8 @@ def classified(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     full = signs.where("set_id is not null")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     classes = jobs.stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.min(row).alias("first"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap")), "classes")
-    clusters = jobs.components(plausible(tiles(docs, shingle, percent, frequent_shingles(signs)), classes.select("set_id", "n", "bitmap"), percent))
+    ranges = key_ranges(classes, percent, 4 * jobs.partitions(docs.sparkSession))
+    clusters = jobs.components(plausible(tiles(docs, shingle, percent, frequent_shingles(signs), ranges), classes.select("set_id", "n", "bitmap"), percent))
     members = jobs.stored(classes.join(clusters.withColumnRenamed("node", "set_id"), "set_id").select("first.doc_id", "first.text_key", "set_id", "root", "n"), "members")
     jobs.discard(clusters)
     links = jobs.components(verified(docs, members, shingle, percent))
