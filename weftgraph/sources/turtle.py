@@ -29,7 +29,12 @@ TOKEN = re.compile(
     re.X | re.S,
 )
 ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+END = ("end", "")
 Node = tuple[str, str, str, str]
+#: A longer file is read twice, to see that it parses and then for its rows, a few at a time; written files stay below it.
+LONG = 8_000_000
+#: Rows that go to Spark together, and lines of a written file.
+PIECE = 20_000
 
 
 class TurtleError(ValueError):
@@ -43,29 +48,29 @@ def _unescaped(text: str) -> str:
 class _Reader:
     def __init__(self, text: str, name: str) -> None:
         self.tokens = self._tokens(text)
-        self.at, self.prefixes, self.base = 0, {}, ""
+        self.next: tuple[str, str] = next(self.tokens, END)
+        self.prefixes, self.base = {}, ""
         self.graph, self.rows, self.scope, self.made = "", [], hashlib.sha256(name.encode()).hexdigest()[:12], 0
 
     @staticmethod
-    def _tokens(text: str) -> list[tuple[str, str]]:
-        out, at = [], 0
+    def _tokens(text: str) -> Iterator[tuple[str, str]]:
+        at = 0
         while at < len(text):
             m = TOKEN.match(text, at)
             if m is None:
                 raise TurtleError(f"unexpected {text[at : at + 20]!r}")
             if m.lastgroup != "skip":
-                out.append((m.lastgroup, m[0]))
+                yield m.lastgroup, m[0]
             at = m.end()
-        return out
 
     def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+        return self.next
 
     def take(self, text: str | None = None) -> tuple[str, str]:
         token = self.peek()
         if token[0] == "end" or text is not None and token[1] != text:
             raise TurtleError(f"expected {text or 'more'}, found {token[1]!r}")
-        self.at += 1
+        self.next = next(self.tokens, END)
         return token
 
     def fresh(self) -> Node:
@@ -145,8 +150,12 @@ class _Reader:
             if self.peek()[1] in (".", "]", "}", "") or self.peek()[0] in ("iri", "blank"):
                 return
 
-    def read(self) -> list[tuple]:
+    def read(self) -> Iterator[list[tuple]]:
+        """The rows in lists of some statements each."""
         while self.peek()[0] != "end":
+            if len(self.rows) >= PIECE:
+                yield self.rows
+                self.rows = []
             kind, text = self.peek()
             word = text.lstrip("@").lower()
             if kind in ("at", "name") and word in ("prefix", "base") and (kind == "at" or ":" not in text):
@@ -175,7 +184,7 @@ class _Reader:
                     graph = self.node()[0]
                     self.rows[first:] = [(graph, *row[1:]) for row in self.rows[first:]]
                 self.take(".")
-        return self.rows
+        yield self.rows
 
     def block(self, graph: str) -> None:
         self.take("{")
@@ -192,7 +201,18 @@ class _Reader:
 
 def parsed(text: str, name: str = "") -> list[tuple]:
     """Rows (g, s, p, o, o_kind, o_dt, o_lang); blank nodes carry the file's name so that files don't share them."""
-    return _Reader(text.removeprefix("﻿"), name).read()
+    return [row for rows in _Reader(text.removeprefix("\ufeff"), name).read() for row in rows]
+
+
+def _pieces(content: bytes, name: str) -> Iterator[list[tuple]]:
+    """The rows of a file in lists of some statements each; none before all of it has been seen to parse."""
+    text = content.decode().removeprefix("\ufeff")
+    if len(content) <= LONG:
+        yield [row for rows in _Reader(text, name).read() for row in rows]
+        return
+    for _ in _Reader(text, name).read():
+        pass
+    yield from _Reader(text, name).read()
 
 
 def read(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
@@ -201,13 +221,18 @@ def read(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g", "s", "p", "o", "o_kind", "o_dt", "o_lang", "file", "problem"]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    rows = [(*r, path, None) for r in parsed(content.decode(), path)]
+                    for piece in _pieces(content, path):
+                        for k in range(0, len(piece), PIECE):
+                            yield batch_of([(*r, path, None) for r in piece[k : k + PIECE]])
                 except (TurtleError, UnicodeDecodeError, IndexError) as error:
-                    rows = [(*[None] * 7, path, str(error))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 9, names=names)
+                    yield batch_of([(*[None] * 7, path, str(error))])
 
     found = files.mapInArrow(run, f"{QUAD}, file string, problem string")
     quads = found.where("problem is null").select(*[c.split()[0] for c in QUAD.split(", ")]).distinct()
@@ -226,7 +251,7 @@ def declared_terms(text: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def write(quads: DataFrame, path: str) -> None:
-    """One N-Quads line a row, partitioned by nothing but Spark's own tasks."""
+    """One N-Quads line a row, partitioned by nothing but Spark's own tasks; files are short enough to be parsed one by one."""
     def term(v: str, kind: str, dt: str, lang: str):
         text = F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.replace(F.col(v), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'))
         literal = F.when(F.col(lang) != "", F.concat(text, F.lit("@"), F.col(lang))).when(F.col(dt) != "", F.concat(text, F.lit("^^<"), F.col(dt), F.lit(">"))).otherwise(text)
@@ -236,4 +261,4 @@ def write(quads: DataFrame, path: str) -> None:
         return F.when(F.col(v).startswith("_:"), F.col(v)).otherwise(F.concat(F.lit("<"), F.col(v), F.lit(">")))
 
     graph = F.when(F.col("g") == "", F.lit("")).otherwise(F.concat(F.lit("<"), F.col("g"), F.lit("> ")))
-    quads.select(F.concat(node("s"), F.lit(" "), node("p"), F.lit(" "), term("o", "o_kind", "o_dt", "o_lang"), F.lit(" "), graph, F.lit(".")).alias("value")).write.text(path)
+    quads.select(F.concat(node("s"), F.lit(" "), node("p"), F.lit(" "), term("o", "o_kind", "o_dt", "o_lang"), F.lit(" "), graph, F.lit(".")).alias("value")).write.option("maxRecordsPerFile", PIECE).text(path)
