@@ -14,12 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.storage import stored
+from weftgraph.storage import dealt, stored
 
 RULES = "node int, rule string, arg string, args array<string>, number double, ways array<struct<needs:array<string>,bars:array<string>>>"
 STEPS = "node int, key string, child int"
 #: Keywords that say nothing of a document's validity.
 _SILENT = frozenset(("$schema", "$id", "$defs", "title", "description", "default", "examples", "$comment"))
+#: Documents in a part.
+EACH = 20_000
 _LIMITS = ("minLength", "maxLength", "minItems", "maxItems", "minimum", "maximum")
 
 
@@ -102,10 +104,21 @@ def _broken(rule: Column, kind: Column, keys: Column) -> Column:
 
 
 def _kind() -> Column:
-    """The JSON type of a value."""
-    found = F.schema_of_variant("v")
-    named = F.when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array").when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found == "VOID", "null").when(found == "BIGINT", "integer")
-    return named.when(F.try_variant_get("v", "$", "double") == F.floor(F.try_variant_get("v", "$", "double")), "integer").otherwise("number")
+    """The JSON type of a value; its schema, of all that is in it, is made once."""
+
+    def named(found: Column) -> Column:
+        number = F.try_variant_get("v", "$", "double")
+        plain = F.when(found.startswith("OBJECT"), "object").when(found.startswith("ARRAY"), "array").when(found == "STRING", "string").when(found == "BOOLEAN", "boolean").when(found == "VOID", "null").when(found == "BIGINT", "integer")
+        return plain.when(number == F.floor(number), "integer").otherwise("number")
+
+    return F.get(F.transform(F.array(F.schema_of_variant("v")), named), F.lit(0))
+
+
+def _typed(values: DataFrame) -> DataFrame:
+    """(key, path, node, v, kind, members) of a level's values, as each is looked at for its rules and for what is in it."""
+    kinds = values.select("key", "path", "node", "v", _kind().alias("kind"))
+    names = F.when(F.col("kind") == "object", F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")))
+    return kinds.withColumn("members", F.coalesce(names, F.array().cast("array<string>")))
 
 
 def violations(documents: DataFrame, key: str, text: str, schema: Mapping) -> DataFrame:
@@ -122,20 +135,21 @@ def violations(documents: DataFrame, key: str, text: str, schema: Mapping) -> Da
     rules, steps = F.broadcast(spark.createDataFrame(made.rules, RULES)), spark.createDataFrame(made.steps, STEPS)
     exact, rest = (F.broadcast(steps.where(c)) for c in ("key <> '*'", "key = '*'"))
     known = F.broadcast(steps.where("key not in ('*', '[]')").groupBy("node").agg(F.collect_set("key").alias("known")))
-    read = documents.select(F.col(key).alias("key"), F.try_parse_json(text).alias("v"))
-    level = stored(read.select("key", F.lit("$").alias("path"), F.lit(0).alias("node"), "v"), "level")
+    # texts are few bytes for the work that they are: without a number of parts by rows a level would be in few files, and the next one's work in few tasks
+    texts = stored(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), "texts")
+    read = dealt(texts, "key", each=EACH).select("key", F.lit("$").alias("path"), F.lit(0).alias("node"), F.try_parse_json("text").alias("v"))
+    level = stored(_typed(read), "level")
     found = [level.where("v is null").select("key", "path", F.lit("json").alias("rule"), F.lit("").alias("detail"))]
     level = level.where("v is not null")
     while not level.isEmpty():
-        members = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
-        typed = level.withColumns({"kind": _kind(), "members": F.coalesce(members, F.array().cast("array<string>"))})
-        met = typed.join(rules, "node")
+        met = level.join(rules, "node")
         found.append(met.where(_broken(F.col("rule"), F.col("kind"), F.col("members"))).select("key", "path", "rule", F.coalesce("arg", F.array_join("args", ","), F.col("number").cast("string"), F.lit("")).alias("detail")))
         strange = met.where("rule = 'additionalProperties' and kind = 'object'").select("key", "path", "rule", F.explode(F.array_except("members", "args")).alias("detail"))
         found.append(strange.select("key", F.concat("path", F.lit("."), "detail").alias("path"), "rule", "detail"))
-        inside = typed.where("kind = 'object'").select("key", "path", "node", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "v")).withColumn("path", F.concat("path", F.lit("."), "name"))
-        items = typed.where("kind = 'array'").select("key", "path", "node", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("n", "v")).select("key", F.concat("path", F.lit("["), "n", F.lit("]")).alias("path"), "node", F.lit("[]").alias("name"), "v")
+        inside = level.where("kind = 'object'").select("key", "path", "node", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "v")).withColumn("path", F.concat("path", F.lit("."), "name"))
+        items = level.where("kind = 'array'").select("key", "path", "node", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("n", "v")).select("key", F.concat("path", F.lit("["), "n", F.lit("]")).alias("path"), "node", F.lit("[]").alias("name"), "v")
         own = inside.unionByName(items).join(exact.withColumnRenamed("key", "name"), ["node", "name"]).select("key", "path", F.col("child").alias("node"), "v")
-        others = inside.join(known, "node", "left").where("known is null or not array_contains(known, name)").join(rest.drop("key"), "node").select("key", "path", F.col("child").alias("node"), "v")
-        level = stored(own.unionByName(others), "level")
+        if any(name == "*" for _, name, _ in made.steps):
+            own = own.unionByName(inside.join(known, "node", "left").where("known is null or not array_contains(known, name)").join(rest.drop("key"), "node").select("key", "path", F.col("child").alias("node"), "v"))
+        level = stored(_typed(own), "level")
     return stored(reduce(DataFrame.unionByName, found), "violations").select(F.col("key").alias(key), "path", "rule", "detail")
