@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.schemas import QUAD, TRIPLE_COLUMNS
+from weftgraph.storage import dealt, stored
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -35,6 +36,8 @@ Node = tuple[str, str, str, str]
 LONG = 8_000_000
 #: Rows that go to Spark together, and lines of a written file.
 PIECE = 20_000
+#: Quads in a part where they are told apart.
+EACH = 200_000
 
 
 class TurtleError(ValueError):
@@ -226,16 +229,20 @@ def read(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
 
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                path = path.as_py()
                 try:
-                    for piece in _pieces(content, path):
+                    # a batch may hold all files of a task: one of them is copied at a time
+                    for piece in _pieces(content.as_py(), path):
                         for k in range(0, len(piece), PIECE):
                             yield batch_of([(*r, path, None) for r in piece[k : k + PIECE]])
                 except (TurtleError, UnicodeDecodeError, IndexError) as error:
                     yield batch_of([(*[None] * 7, path, str(error))])
 
-    found = files.mapInArrow(run, f"{QUAD}, file string, problem string")
-    quads = found.where("problem is null").select(*[c.split()[0] for c in QUAD.split(", ")]).distinct()
+    # stored, or files would be parsed once for the quads and once for the issues
+    found = stored(files.mapInArrow(run, f"{QUAD}, file string, problem string"), "parsed")
+    names = [c.split()[0] for c in QUAD.split(", ")]
+    quads = dealt(found.where("problem is null").select(*names), *names, each=EACH).distinct()
     return quads, found.where("problem is not null").select("file", "problem")
 
 
