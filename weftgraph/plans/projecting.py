@@ -56,7 +56,7 @@ def entity_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = """(SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk, CASE WHEN l_suppkey % 3 = 0 THEN 'ext.' ELSE 's.' END || l_suppkey AS dst, l_returnflag AS flag, CASE WHEN l_returnflag = 'R' THEN 'returned by' ELSE 'supplied_by' END AS rel,
-  'p' || l_partkey || '|' || CASE WHEN l_returnflag = 'R' THEN 'returned by' ELSE 'supplied_by' END || '|' || CASE WHEN l_suppkey % 3 = 0 THEN 'ext.' ELSE 's.' END || l_suppkey || '|lines|' AS key FROM lineitem WHERE l_quantity > 45)"""
+  'p' || l_partkey || '|' || CASE WHEN l_returnflag = 'R' THEN 'returned by' ELSE 'supplied_by' END || '|' || CASE WHEN l_suppkey % 3 = 0 THEN 'ext.' ELSE 's.' END || l_suppkey || '|lines|' AS key FROM lineitem)"""
 _AT, _S = f"'{NS}assertion:' || substr(sha256(key), 1, 24)", f"'{NS}catalog:p' || pk"
 _O = f"CASE WHEN sk % 3 = 0 THEN '{NS}external:' ELSE '{NS}catalog:' END || dst"
 _R = f"CASE WHEN flag = 'R' THEN '{NS}relation:returned%20by' ELSE '{NS}suppliedBy' END"
@@ -69,7 +69,7 @@ _R = f"CASE WHEN flag = 'R' THEN '{NS}relation:returned%20by' ELSE '{NS}supplied
 )
 def relation_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and their suppliers as relations: a mapped and an unmapped type, ends outside, and a statement about each."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    lines = table(spark, sf_dir, "lineitem")
     edges = lines.select(
         F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.when(F.col("l_returnflag") == "R", "returned by").otherwise("supplied_by").alias("rel_type"), F.concat(F.when(F.col("l_suppkey") % 3 == 0, "ext.").otherwise("s."), F.col("l_suppkey")).alias("dst"),
         F.lit(None).cast("string").alias("note"), F.when(F.col("l_returnflag") == "A", "high").alias("likelihood"), F.lit(None).cast("string").alias("field"), F.lit(None).cast(PROVENANCE).alias("provenance"), F.lit("lines").alias("_file"),
